@@ -2,19 +2,20 @@
 
 A condition is a small tree: a plain string means "the text contains this token" (case-sensitive);
 the helpers below combine conditions. Trees are data, so they can be stored as JSON, and they compile
-to one boolean Column each. Spark stops at the first deciding test of an `and`/`or`, so a unit pays for
-few of the tokens.
+to one boolean Column each.
+
+A pack with many tokens reads each text once: an Arrow UDF marks which tokens occur in a bit set, and
+the rules are boolean expressions over its bits in the JVM. Small packs use `contains` directly.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from importlib.util import find_spec
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import occurrences
-
 
 def every(*parts):
     return ["every", *parts]
@@ -68,67 +69,165 @@ TEST_MARKERS = none("#[test]", "#[cfg(test)]")
 def rule(rule_id, name, severity, when, *, emitted=None, base=None, tests=True, category="Heuristic", cwe=None):
     """One rule; tests=False keeps it from firing on test code."""
     if not tests:
-        when = every(TEST_MARKERS, when)
+        when = every(when, TEST_MARKERS)
     return {
         "id": rule_id, "name": name, "severity": emitted or severity, "registered": severity, "base": base,
         "category": category, "cwe": cwe, "when": when,
     }
 
 
-def condition(tree, text: Column) -> Column:
-    """Boolean Column of a condition tree over a text column."""
+#: Packs with at least this many distinct tokens are matched in one pass over the text.
+ONE_PASS_TOKENS = 48
+_SKIP = ("line", "lower", "within", "regex", "flag")
+
+
+def tokens_of(tree) -> list[str]:
+    """Tokens a tree looks up in the main text, in order of appearance."""
+    if isinstance(tree, str):
+        return [tree]
+    kind, *parts = tree
+    if kind == "line":
+        return _gate_tokens(parts[0])
+    if kind in _SKIP:
+        return []
+    if kind == "count":
+        return [parts[0]]
+    return [t for p in (parts[1:] if kind == "at_least" else parts) for t in tokens_of(p)]
+
+
+def _gate_tokens(tree) -> list[str]:
+    if isinstance(tree, str):
+        return [tree]
+    if tree[0] in ("every", "some"):
+        return [t for p in tree[1:] for t in _gate_tokens(p)]
+    return []
+
+
+def quote(text: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _gate(tree, test):
+    """What the whole text must contain for one of its lines to satisfy the tree (None: nothing known)."""
+    if isinstance(tree, str):
+        return test(tree)
+    parts = [_gate(p, test) for p in tree[1:]] if tree[0] in ("every", "some") else []
+    if tree[0] == "every":
+        known = [p for p in parts if p is not None]
+        return "(" + " and ".join(known) + ")" if known else None
+    if tree[0] == "some" and all(p is not None for p in parts):
+        return "(" + " or ".join(parts) + ")"
+    return None
+
+
+def condition_sql(tree, text: str, test=None) -> str:
+    """SQL of a condition tree over a text expression; test(token) looks a token up in that text.
+
+    One SQL string per rule keeps the driver fast: a pack has thousands of nodes.
+    """
+    test = test or (lambda token: f"contains({text}, {quote(token)})")
     if isinstance(tree, str):
-        return F.contains(text, F.lit(tree))
+        return test(tree)
     kind, *parts = tree
-    if kind == "every":
-        return reduce(lambda a, b: a & b, [condition(p, text) for p in parts])
-    if kind == "some":
-        return reduce(lambda a, b: a | b, [condition(p, text) for p in parts])
+    if kind in ("every", "some"):
+        return "(" + (" and " if kind == "every" else " or ").join(condition_sql(p, text, test) for p in parts) + ")"
     if kind == "none":
-        return ~condition(["some", *parts], text)
+        return "(not " + condition_sql(["some", *parts], text, test) + ")"
     if kind == "count":
-        return occurrences(text, parts[0]) >= parts[1]
+        token = quote(parts[0])
+        n = f"(length({text}) - length(replace({text}, {token}, ''))) div {len(parts[0])}"
+        return f"({test(parts[0])} and {n} >= {parts[1]})"
     if kind == "at_least":
-        return reduce(lambda a, b: a + b, [condition(p, text).cast("int") for p in parts[1:]]) >= parts[0]
+        return "((" + " + ".join(f"cast({condition_sql(p, text, test)} as int)" for p in parts[1:]) + f") >= {parts[0]})"
     if kind == "regex":
-        return text.rlike(parts[0])
+        return f"({text} rlike {quote(parts[0])})"
     if kind == "line":
-        return F.exists(F.split(text, "\n"), lambda x: condition(parts[0], x))
+        found = f"exists(split({text}, '\\\\n'), one_line -> {condition_sql(parts[0], 'one_line')})"
+        gate = _gate(parts[0], test)
+        return found if gate is None else f"({gate} and {found})"
     if kind == "lower":
-        return condition(parts[0], F.lower(text))
+        return condition_sql(parts[0], f"lower({text})")
     if kind == "within":
-        return condition(parts[1], F.col(parts[0]))
+        return condition_sql(parts[1], parts[0])
     if kind == "flag":
-        return F.coalesce(F.col(parts[0]), F.lit(False))
+        return f"coalesce({parts[0]}, false)"
     raise ValueError(f"unknown condition {kind}")
 
 
+def condition(tree, text: str, test=None) -> Column:
+    """Boolean Column of a condition tree over a text column or SQL expression."""
+    return F.expr(condition_sql(tree, text, test))
+
+
+def _marker(tokens: list[str]):
+    """Arrow UDF text -> array of 64-bit words; bit i says whether tokens[i] occurs."""
+    import pandas as pd
+
+    words = (len(tokens) + 63) // 64
+
+    def mark(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+        import numpy as np
+
+        machine = ahocorasick.Automaton()
+        for i, token in enumerate(tokens):
+            machine.add_word(token, i)
+        machine.make_automaton()
+        second = itemgetter(1)
+
+        def bits(text):
+            found = 0
+            for i in set(map(second, machine.iter(text or ""))):
+                found |= 1 << i
+            return np.frombuffer(found.to_bytes(words * 8, "little"), dtype="<i8")
+
+        return texts.map(bits)
+
+    mark.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(mark, "array<bigint>")
+
+
+def with_token_test(df: DataFrame, trees, text: str):
+    """(df, test): df prepared so that test(token) is cheap SQL, for all tokens of the trees."""
+    tokens = list(dict.fromkeys(t for tree in trees for t in tokens_of(tree) if t))
+    if len(tokens) < ONE_PASS_TOKENS or find_spec("ahocorasick") is None:
+        return df, None
+    place = {t: i for i, t in enumerate(tokens)}
+    marked = df.withColumn("_bits", _marker(tokens)(F.col(text)))
+
+    def test(token):
+        if token == "":
+            return "true"
+        i = place[token]
+        return f"(getbit(get(_bits, {i // 64}), {i % 64}) = 1)"
+
+    return marked, test
+
+
 def scan_rules(units: DataFrame, rules: list[dict], text: str = "code", keep: list[str] | None = None) -> DataFrame:
     """Findings of every rule on every unit: one projection, no join, no shuffle.
 
     Adds id, rule_pos (place in the list), vuln_type, severity, category, cwe.
     """
     keep = keep or [c for c in units.columns if c != text]
-    col = F.col(text)
-    tests = [
-        F.when(
-            condition(r["when"], col),
-            F.struct(
-                F.lit(r["id"]).alias("id"), F.lit(i).alias("rule_pos"), F.lit(r["name"]).alias("vuln_type"),
-                F.lit(r["severity"]).alias("severity"), F.lit(r["category"]).alias("category"),
-                F.lit(r["cwe"]).cast("string").alias("cwe"),
-            ),
-        )
+    units, test = with_token_test(units, [r["when"] for r in rules], text)
+    hit = [
+        f"case when {condition_sql(r['when'], text, test)} then named_struct('id', {quote(r['id'])}, 'rule_pos', {i}, "
+        f"'vuln_type', {quote(r['name'])}, 'severity', {r['severity']}, 'category', {quote(r['category'])}, "
+        f"'cwe', cast({quote(r['cwe']) if r['cwe'] else 'null'} as string)) end"
         for i, r in enumerate(rules)
     ]
-    return units.select(*keep, F.inline(F.array_compact(F.array(*tests))))
+    # inline + filter stays inside generated code; array_compact would evaluate every rule interpreted
+    return units.select(*keep, F.expr(f"inline(array({', '.join(hit)}))")).filter("id is not null")
 
 
 def rule_hits(units: DataFrame, rules: list[dict], text: str = "code", keep: list[str] | None = None) -> DataFrame:
     """Like scan_rules, but one row per unit with the array of rule ids that fired."""
     keep = keep or [c for c in units.columns if c != text]
-    tests = [F.when(condition(r["when"], F.col(text)), F.lit(r["id"])) for r in rules]
-    return units.select(*keep, F.array_compact(F.array(*tests)).alias("ids"))
+    units, test = with_token_test(units, [r["when"] for r in rules], text)
+    hit = [f"case when {condition_sql(r['when'], text, test)} then {quote(r['id'])} end" for r in rules]
+    return units.select(*keep, F.expr(f"array_compact(array({', '.join(hit)}))").alias("ids"))
 
 
 def rule_table(spark, rules: list[dict]) -> DataFrame:
@@ -139,9 +238,19 @@ def rule_table(spark, rules: list[dict]) -> DataFrame:
     )
 
 
+def _vector_udf(fn):
+    import pandas as pd
+
+    def call(s: pd.Series) -> pd.Series:
+        return fn(s)
+
+    call.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(call, "boolean")
+
+
 def scan_callbacks(units: DataFrame, callbacks: dict, text: str = "code", keep: list[str] | None = None) -> DataFrame:
     """Escape hatch: {rule id: pandas function Series[str] -> Series[bool]} in one Arrow pass per rule."""
     keep = keep or [c for c in units.columns if c != text]
-    tests = [F.when(F.pandas_udf(fn, "boolean")(F.col(text)), F.lit(name)) for name, fn in callbacks.items()]
+    tests = [F.when(_vector_udf(fn)(F.col(text)), F.lit(name)) for name, fn in callbacks.items()]
     hits = units.select(*keep, F.array(*tests).alias("_ids"))
     return hits.select(*keep, F.explode(F.array_compact("_ids")).alias("id"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import has_any, hits, line_array, line_count, occurrences, package_from_path
-from auditlake.rules.engine import condition, every, line, lower, none, regex, rule, scan_rules, some, within
+from auditlake.rules.engine import condition, condition_sql, every, line, lower, none, regex, rule, scan_rules, some, within
 
 # --- value protocols ----------------------------------------------------------------------------
 
@@ -194,7 +194,7 @@ ARITHMETIC_CALLS = some("checked_add", "checked_sub", "checked_mul", "checked_di
 FEATURES = {
     "unchecked_arithmetic": every(some(" + ", " - ", " * ", " / ", "+= ", "-= ", "*= ", "/= "), none(ARITHMETIC_CALLS)),
     "checked_arithmetic": ARITHMETIC_CALLS,
-    "signer_check": some("Signer", "is_signer", "has_one", "constraint = authority"),
+    "signer_check": some("is_signer", "Signer", "has_one", "constraint", "require_keys_eq!", "account(signer", "authority", ".key()"),
     "owner_check": some("owner", "Owner", "has_one", "constraint", "Account<"),
     "pda_check": some("find_program_address", "create_program_address", "seeds =", "bump =", "account(seeds"),
 }
@@ -202,7 +202,7 @@ FEATURES = {
 
 def feature_flags(df: DataFrame, text: str = "content", keep: list[str] | None = None, features=FEATURES) -> DataFrame:
     keep = keep or [c for c in df.columns if c != text]
-    return df.select(*keep, *[condition(t, F.col(text)).alias(n) for n, t in features.items()])
+    return df.select(*keep, *[condition(t, text).alias(n) for n, t in features.items()])
 
 
 SAFETY_CHECKS = [
@@ -266,7 +266,7 @@ def mine_invariants(files: DataFrame, text: str = "content", keep: list[str] | N
     """(invariant_id, category, expression, confidence, counterexample) per file; ids count within the file."""
     keep = keep or [c for c in files.columns if c != text]
     tests = [
-        F.when(condition(t, F.col(text)), F.struct(F.lit(p).alias("prefix"), F.lit(c).alias("category"), F.lit(e).alias("expression"),
+        F.when(condition(t, text), F.struct(F.lit(p).alias("prefix"), F.lit(c).alias("category"), F.lit(e).alias("expression"),
                                                   F.lit(conf).alias("confidence"), F.lit(bad).cast("string").alias("counterexample")))
         for p, c, t, e, conf, bad in table
     ]
@@ -540,13 +540,13 @@ NEAR_REMAINING = {
 def unanswered_lines(files: DataFrame, spec: dict, text: str = "content", keep: list[str] | None = None) -> DataFrame:
     """Event lines without evidence from `before` lines above up to `after` lines below, within the file's row."""
     keep = keep or [c for c in files.columns if c != text]
-    rows = files.filter(condition(spec["event"], F.col(text))).select(*keep, line_array(F.col(text)).alias("_lines"))
+    rows = files.filter(condition(spec["event"], text)).select(*keep, line_array(F.col(text)).alias("_lines"))
     rows = rows.select(*keep, "_lines", F.posexplode("_lines").alias("_i", "line"))
     code = F.trim("line")
-    rows = rows.filter(condition(spec["event"], F.col("line")) & ~code.startswith("//"))
+    rows = rows.filter(condition(spec["event"], "line") & ~code.startswith("//"))
     start = F.greatest(F.col("_i") - spec["before"], F.lit(0))
-    window = F.slice("_lines", start + 1, F.col("_i") + spec["after"] - start)
-    answered = F.exists(window, lambda x: condition(spec["evidence"], x))
+    rows = rows.withColumn("_w", F.slice("_lines", start + 1, F.col("_i") + spec["after"] - start))
+    answered = F.expr(f"exists(_w, x -> {condition_sql(spec['evidence'], 'x')})")
     return rows.filter(~answered).select(*keep, (F.col("_i") + 1).alias("line_no"), "line")
 
 

@@ -82,3 +82,13 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the optimizer's size estimate proves the side small."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(df) if int(str(size)) <= limit else df
+
+
+#: Inputs below this estimate are spread over all cores before CPU-heavy narrow work.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
+    """Repartition a small input (often one file, one task); large inputs keep their splits."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df

@@ -129,17 +129,11 @@ def join_context(units: DataFrame, structs: DataFrame, file: str = "file_path")
 def units_with_context(df: DataFrame, text: str = "content", keep: list[str] | None = None) -> DataFrame:
     """extract_units with the account struct in front, looked up inside the file's own row (no shuffle)."""
     keep = keep or [c for c in df.columns if c != text]
-    col = F.col(text)
-    names = F.regexp_extract_all(col, F.lit(STRUCT_BLOCK), F.lit(2))
-    blocks = F.regexp_extract_all(col, F.lit(STRUCT_BLOCK), F.lit(1))
-    structs = F.transform(F.arrays_zip(names.alias("n"), blocks.alias("b")), lambda s: s)
-    with_structs = df.withColumn("_structs", structs)
-    units = extract_units(with_structs, text, [*keep, "_structs"])
-    wanted = F.nullif(F.regexp_extract("code", CONTEXT_NAME, 1), F.lit(""))
-    block = F.element_at(F.filter("_structs", lambda s: s["n"] == F.col("_s")), -1)["b"]
-    units = units.withColumn("_s", wanted).withColumn(
-        "accounts_struct", F.when(F.exists("_structs", lambda s: s["n"] == F.col("_s")), block)
-    )
+    blocks = df.withColumn("_structs", F.regexp_extract_all(F.col(text), F.lit(STRUCT_BLOCK), F.lit(1)))
+    units = extract_units(blocks, text, [*keep, "_structs"])
+    units = units.withColumn("_s", F.nullif(F.regexp_extract("code", CONTEXT_NAME, 1), F.lit("")))
+    named = F.expr("filter(_structs, b -> b rlike concat('struct ', _s, '\\\\b'))")
+    units = units.withColumn("accounts_struct", F.when(F.col("_s").isNotNull(), F.get(F.reverse(named), F.lit(0))))
     code = F.when(
         F.col("accounts_struct").isNotNull(),
         F.concat(F.lit("/* ACCOUNTS_STRUCT: "), "_s", F.lit(" */\n"), "accounts_struct", F.lit("\n/* HANDLER: */\n"), "code"),
