@@ -92,3 +92,23 @@ def call_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 EDGES_SQL = """edges AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS src,
   CASE WHEN l_returnflag = 'R' THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS dst FROM lineitem WHERE l_returnflag IN ('R', 'A'))"""
+
+
+def user_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event with the previous event type of the same user."""
+    from auditlake.operators.ordered import with_previous
+
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    return with_previous(e, "user_id", ["ts", "event_id"], ["event_type"], F.to_date("ts"), "_prev")
+
+
+def user_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, entries): observed successions of event types per user, and each user's first type."""
+    steps = user_steps(spark, sf)
+    edges = steps.filter("_prev is not null").select("user_id", F.col("_prev.event_type").alias("src"), F.col("event_type").alias("dst")).distinct()
+    return edges, steps.filter("_prev is null").select("user_id", F.col("event_type").alias("node"))
+
+
+STEPS_SQL = """steps AS (SELECT user_id, event_id, ts, event_type, value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+ edges AS (SELECT DISTINCT user_id, prev AS src, event_type AS dst FROM steps WHERE prev IS NOT NULL),
+ entries AS (SELECT user_id, event_type AS node FROM steps WHERE prev IS NULL)"""

@@ -1,0 +1,43 @@
+"""State of foreachBatch jobs as one folder per batch.
+
+Batch n reads the state of the latest batch before it and writes its own output and state under its
+number. A batch that is run again after a failure overwrites only itself, so results count once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class BatchState:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def _folder(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.root + "/state")
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+    def before(self, batch_id: int) -> DataFrame | None:
+        """State left by the latest finished batch before this one."""
+        fs, folder = self._folder()
+        if not fs.exists(folder):
+            return None
+        done = [s.getPath().getName() for s in fs.listStatus(folder)]
+        numbers = [int(n.split("=")[1]) for n in done if n.startswith("batch=")]
+        ready = [n for n in numbers if n < batch_id and fs.exists(
+            self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state/batch={n}/_SUCCESS"))]
+        return self.spark.read.parquet(f"{self.root}/state/batch={max(ready)}") if ready else None
+
+    def save(self, batch_id: int, state: DataFrame, output: DataFrame | None = None) -> None:
+        if output is not None:
+            output.write.mode("overwrite").parquet(f"{self.root}/output/batch={batch_id}")
+        state.write.mode("overwrite").parquet(f"{self.root}/state/batch={batch_id}")
+
+
+def run_batches(stream: DataFrame, handle, checkpoint: str, **trigger):
+    """Start a foreachBatch query; by default it takes what is there and stops."""
+    return (
+        stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
