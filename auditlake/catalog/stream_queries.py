@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from auditlake.catalog.base import query, table
-from auditlake.catalog.corpus import FILES_SQL, code_files
+from auditlake.catalog.corpus import code_files
 from auditlake.catalog.monitor_queries import WATCH_SQL
 from auditlake.operators.admission import token_bucket
 from auditlake.session import shared_folder, write_cut
@@ -18,7 +18,7 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def events(spark, sf):
-    return read_stream(spark, f"{sf}/events.parquet", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    return read_stream(spark, sf, EVENTS, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def folder(spark, name):
@@ -167,5 +167,3 @@ def stream_scan(spark, sf):
     out = jobs.current_findings(spark, root)
     return out.groupBy("program", "id").agg(F.count(F.lit(1)).alias("n"))
 
-
-_ = FILES_SQL

@@ -23,8 +23,6 @@ def token_bucket(
     ts is a TIMESTAMP; seq breaks ties. state: key, tokens, last_ts from an earlier run; keys without
     state start full.
     """
-    import pandas as pd
-
     base = requests.withColumn("_us", F.unix_micros(F.col(ts)))
     seen = with_previous(base, key, ["_us", seq], ["_us"], bucket, "_prev")
     gap = F.col("_us") - F.col("_prev._us")
@@ -39,9 +37,10 @@ def token_bucket(
         sessions = sessions.withColumn("_begin", F.when(first, refill).otherwise(F.lit(float(burst))))
     else:
         sessions = sessions.withColumn("_begin", F.lit(float(burst)))
-    cols = [*requests.columns, "_us", "_session", "_start", "_begin"]
+    names = requests.columns
+    cols = [*names, "_us", "_session", "_start", "_begin"]
     ready = sessions.select(*cols).repartition(key, "_session").sortWithinPartitions(key, "_session", "_us", seq)
-    schema = ready.select(*requests.columns).schema.add("admitted", "boolean").add("tokens", "double")
+    schema = ready.select(*names).schema.add("admitted", "boolean").add("tokens", "double")
 
     def fold(batches):
         last, tokens, at = None, float(burst), 0
@@ -58,11 +57,10 @@ def token_bucket(
                     tokens -= 1.0
                 admitted.append(ok)
                 left.append(tokens)
-            out = pdf[list(requests.columns)].copy()
+            out = pdf[names].copy()
             out["admitted"], out["tokens"] = admitted, left
             yield out
 
-    assert pd is not None
     return ready.mapInPandas(fold, schema)
 
 
