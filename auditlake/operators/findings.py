@@ -168,8 +168,10 @@ def group_root_cause(findings: DataFrame, seq: str = "seq", scope: list[str] | N
     stays a table.
     """
     keys = [*(scope or []), "id"]
-    counts = findings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_locations"))
-    return keep_first(findings, keys, [F.asc(seq)]).join(counts, keys)
+    rest = [c for c in findings.columns if c not in keys]
+    grouped = findings.groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), seq).alias("_first"), F.count(F.lit(1)).alias("n_locations"))
+    return grouped.select(*keys, "_first.*", "n_locations").select(*findings.columns, "n_locations")
 
 
 def root_cause_locations(findings: DataFrame, seq: str = "seq", scope: list[str] | None = None) -> DataFrame:
