@@ -241,7 +241,7 @@ def contexts(spark, sf):
 
 
 @query("assign_confidence", f"""{WITH}, {CTX_SQL}, b AS (SELECT DISTINCT id, severity FROM findings),
-base AS (SELECT 'SOL-' || lpad(CAST(1 + p_partkey % 90 AS VARCHAR), 3, '0') AS id, max(CAST(50 + p_partkey % 90 % 40 AS DOUBLE)) AS base FROM part WHERE p_partkey % 90 < 80 GROUP BY 1),
+base AS (SELECT 'SOL-' || lpad(CAST(1 + p_partkey % 90 AS VARCHAR), 3, '0') AS id, max(CASE WHEN p_partkey % 90 < 80 THEN CAST(50 + p_partkey % 90 % 40 AS DOUBLE) END) AS base FROM part GROUP BY 1),
 j AS (SELECT f.*, coalesce(base, 80.0) AS base, mitigated_ids, CAST(maturity AS DOUBLE) AS maturity, typed_ratio FROM findings f LEFT JOIN base USING (id) LEFT JOIN ctx USING (program)),
 v AS (SELECT *, base
   + CASE WHEN (id = 'SOL-063' AND (contains(vulnerable_code, '.unwrap()') OR contains(vulnerable_code, 'remaining_accounts[')))
@@ -258,9 +258,9 @@ v AS (SELECT *, base
   + CASE severity WHEN 1 THEN -15 WHEN 2 THEN -10 WHEN 5 THEN 5 ELSE 0 END AS c FROM j)
 SELECT program, id, severity, origin, CAST(floor(least(95.0, greatest(15.0, c))) AS INTEGER) AS confidence FROM v""")
 def assign_confidence(spark, sf):
-    base = table(spark, sf, "part").filter("p_partkey % 90 < 80").select(
+    base = table(spark, sf, "part").select(
         F.concat(F.lit("SOL-"), F.lpad((F.col("p_partkey") % 90 + 1).cast("string"), 3, "0")).alias("id"),
-        (F.col("p_partkey") % 90 % 40 + 50).alias("v")).groupBy("id").agg(F.max("v").alias("base_confidence"))
+        F.when(F.col("p_partkey") % 90 < 80, F.col("p_partkey") % 90 % 40 + 50).alias("v")).groupBy("id").agg(F.max("v").alias("base_confidence"))
     return ops.assign_confidence(findings(spark, sf), contexts(spark, sf), base).select(
         "program", "id", "severity", "origin", "confidence")
 

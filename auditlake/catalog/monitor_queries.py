@@ -38,7 +38,7 @@ def authority_totals(spark, sf):
 
 @query("verification_lag", """WITH s AS (SELECT user_id AS validator, event_id AS slot, CASE WHEN event_type <> 'signup' THEN epoch_ms(ts) // 1000000 END AS bt, 2 + user_id % 3 AS n FROM events),
  l AS (SELECT *, lag(bt) OVER (PARTITION BY validator ORDER BY slot) AS p, row_number() OVER (PARTITION BY validator ORDER BY slot) AS rn FROM s)
- SELECT validator, slot, CAST(coalesce(least(greatest(abs(bt - p) * 1000 - 400, 0), 5000), least(greatest(3000 // n - 400, 0), 5000)) AS BIGINT) AS lag_ms FROM l WHERE rn > 1""")
+ SELECT validator, slot, CAST(CASE WHEN bt IS NULL OR p IS NULL THEN least(greatest(3000 // n - 400, 0), 5000) ELSE least(greatest(abs(bt - p) * 1000 - 400, 0), 5000) END AS BIGINT) AS lag_ms FROM l WHERE rn > 1""")
 def verification_lag(spark, sf):
     s = table(spark, sf, "events").select(
         F.col("user_id").alias("validator"), F.col("event_id").alias("slot"),

@@ -46,14 +46,14 @@ def verify_score(spark, sf):
     return counted(spark, sf).select("s_suppkey", scores.verify_score().alias("score"), scores.verify_tier().alias("tier"))
 
 
-@query("guard_risk", """SELECT l_suppkey, CAST(least(100, sum(CASE l_returnflag WHEN 'A' THEN 25 WHEN 'R' THEN 15 WHEN 'N' THEN 2 ELSE 0 END
- + CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 25 ELSE 0 END)) AS INTEGER) AS guard_risk FROM lineitem WHERE l_quantity = 1 GROUP BY l_suppkey""")
+@query("guard_risk", """SELECT l_suppkey, l_shipdate, CAST(least(100, sum(CASE l_returnflag WHEN 'A' THEN 25 WHEN 'R' THEN 15 WHEN 'N' THEN 2 ELSE 0 END
+ + CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 25 ELSE 0 END)) AS INTEGER) AS guard_risk FROM lineitem GROUP BY l_suppkey, l_shipdate""")
 def guard_risk(spark, sf):
     flag = F.col("l_returnflag")
-    df = table(spark, sf, "lineitem").filter("l_quantity = 1").select(
-        "l_suppkey", F.when(flag == "A", "Critical").when(flag == "R", "High").otherwise("Low").alias("severity"),
+    df = table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_shipdate", F.when(flag == "A", "Critical").when(flag == "R", "High").otherwise("Low").alias("severity"),
         F.when(F.col("l_linestatus") == "O", "KnownMalicious").otherwise("Typosquat").alias("category"))
-    return scores.guard_risk(df, ["l_suppkey"])
+    return scores.guard_risk(df, ["l_suppkey", "l_shipdate"])
 
 
 @query("health_score", f"""WITH {COUNTED_SQL} SELECT s_suppkey, CAST(floor(greatest(0.0, least(100.0, 100.0::DOUBLE - least(critical * 15.0::DOUBLE / (1 + critical * 0.2::DOUBLE), 40) - least(high * 10.0::DOUBLE / (1 + high * 0.3::DOUBLE), 25)
@@ -98,15 +98,15 @@ def tokens(spark, sf):
 
 @query("token_risk", f"""WITH {TOKEN_SQL}, fl AS (SELECT *, mint_authority IS NOT NULL AS can_mint, freeze_authority IS NOT NULL AS can_freeze, top_holder_concentration > 50 AS concentrated,
   NOT liquidity_locked AS nolock, coalesce(liquidity_lock_duration < 2592000, FALSE) AS shortlock FROM tokens),
- c AS (SELECT l_suppkey AS mint, count(*) FILTER (least(5, l_linenumber) >= 4) AS hi, count(*) FILTER (l_linenumber = 3) AS med FROM lineitem WHERE l_quantity = 1 AND l_discount = 0 GROUP BY 1),
+ c AS (SELECT l_suppkey AS mint, count(*) FILTER (l_quantity = 1 AND l_discount = 0 AND l_linenumber >= 4) AS hi, count(*) FILTER (l_quantity = 1 AND l_discount = 0 AND l_linenumber = 3) AS med FROM lineitem GROUP BY 1),
  s AS (SELECT fl.*, CAST(floor(least(100.0, (CASE WHEN can_mint THEN 20 ELSE 0 END) + (CASE WHEN can_freeze THEN 10 ELSE 0 END) + (CASE WHEN is_upgradeable THEN 10 ELSE 0 END)
   + (CASE WHEN concentrated THEN 10 ELSE 0 END) + (CASE WHEN nolock THEN 7 ELSE 0 END) + (CASE WHEN shortlock THEN 3 ELSE 0 END) + least(coalesce(hi, 0) * 8.0, 30) + least(coalesce(med, 0) * 3.0, 10))) AS INTEGER) AS risk_score FROM fl LEFT JOIN c USING (mint)),
  p AS (SELECT *, CASE WHEN can_mint AND concentrated THEN least(risk_score / 100.0::DOUBLE * 1.5::DOUBLE, 0.99::DOUBLE) ELSE risk_score / 100.0::DOUBLE END AS p1 FROM s)
  SELECT mint, risk_score, round(CASE WHEN is_upgradeable AND nolock THEN least(p1 * 1.3::DOUBLE, 0.99::DOUBLE) ELSE p1 END, 2) AS rug_probability,
  CASE WHEN risk_score <= 10 THEN 'A+' WHEN risk_score <= 20 THEN 'A' WHEN risk_score <= 30 THEN 'B' WHEN risk_score <= 40 THEN 'C' WHEN risk_score <= 50 THEN 'D' WHEN risk_score <= 70 THEN 'E' ELSE 'F' END AS grade FROM p""")
 def token_risk(spark, sf):
-    f = table(spark, sf, "lineitem").filter("l_quantity = 1 and l_discount = 0").select(
-        F.col("l_suppkey").alias("mint"), F.least(F.lit(5), F.col("l_linenumber")).alias("severity"))
+    severity = F.when(F.expr("l_quantity = 1 and l_discount = 0"), F.least(F.lit(5), F.col("l_linenumber"))).otherwise(1)
+    f = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("mint"), severity.alias("severity"))
     return scores.token_risk(tokens(spark, sf), f).select("mint", "risk_score", "rug_probability", "grade")
 
 
@@ -165,17 +165,17 @@ def assessment_score(spark, sf):
     return counts.select("l_orderkey", scores.assessment_score(flags).alias("score"))
 
 
-ASSESS_SQL = """assess AS (SELECT o_orderkey AS target, o_custkey % 100 AS analyst FROM orders), conf AS (SELECT l_orderkey AS target, l_suppkey % 100 AS analyst FROM lineitem),
- analysts AS (SELECT c_custkey AS analyst, CAST(greatest(0, floor(c_acctbal)) AS INTEGER) AS reputation_bps FROM customer WHERE c_custkey < 100),
+ASSESS_SQL = """assess AS (SELECT o_orderkey AS target, o_custkey AS analyst FROM orders), conf AS (SELECT l_orderkey AS target, l_suppkey AS analyst FROM lineitem),
+ analysts AS (SELECT c_custkey AS analyst, CAST(greatest(0, floor(c_acctbal)) AS INTEGER) AS reputation_bps FROM customer),
  counted AS (SELECT target, count(DISTINCT conf.analyst) AS n FROM conf JOIN assess USING (target) WHERE conf.analyst <> assess.analyst GROUP BY target),
  confirmed AS (SELECT a.target, a.analyst, coalesce(n, 0) AS confirmations, CAST(least(100, reputation_bps * 50 // 10000 + least(coalesce(n, 0) * 10, 50)) AS INTEGER) AS confidence,
    CASE WHEN coalesce(n, 0) >= 1 THEN 'Confirmed' ELSE 'Pending' END AS status FROM assess a LEFT JOIN counted USING (target) LEFT JOIN analysts USING (analyst))"""
 
 
 def _confirmed(spark, sf):
-    a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("target"), (F.col("o_custkey") % 100).alias("analyst"))
-    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target"), (F.col("l_suppkey") % 100).alias("analyst"))
-    who = table(spark, sf, "customer").filter("c_custkey < 100").select(
+    a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("analyst"))
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_suppkey").alias("analyst"))
+    who = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("analyst"), F.greatest(F.lit(0), F.floor("c_acctbal")).cast("int").alias("reputation_bps"))
     return scores.confirm_assessments(a, c, who), who
 
@@ -474,19 +474,19 @@ def scan_stats(spark, sf):
     return aggregates.scan_stats(table(spark, sf, "documents"), ["lang"], "source", "n_chars", "doc_id", lines)
 
 
-@query("baseline_anomalies", """WITH s AS (SELECT l_suppkey, 'check_to_mutation_ratio' AS metric, count(*) FILTER (l_returnflag = 'A') / greatest(count(*) FILTER (l_returnflag = 'R'), 1) AS observed FROM lineitem WHERE l_quantity <= 2 GROUP BY 1
- UNION ALL SELECT l_suppkey, 'signer_check_frequency', count(*) FILTER (l_linestatus = 'O') / count(*) FROM lineitem WHERE l_quantity <= 2 GROUP BY 1),
+@query("baseline_anomalies", """WITH s AS (SELECT l_suppkey, l_quantity, 'check_to_mutation_ratio' AS metric, count(*) FILTER (l_returnflag = 'A') / greatest(count(*) FILTER (l_returnflag = 'R'), 1) AS observed FROM lineitem GROUP BY 1, 2
+ UNION ALL SELECT l_suppkey, l_quantity, 'signer_check_frequency', count(*) FILTER (l_linestatus = 'O') / count(*) FROM lineitem GROUP BY 1, 2),
  d AS (SELECT *, abs((observed - e) / e) AS dev FROM s JOIN (VALUES ('check_to_mutation_ratio', 1.2::DOUBLE), ('signer_check_frequency', 0.8::DOUBLE)) b(metric, e) USING (metric))
- SELECT l_suppkey, metric, round(dev, 6) AS deviation, CASE WHEN dev > 1.5 THEN 'High' WHEN dev > 1.0 THEN 'Medium' ELSE 'Low' END AS severity, round(least(0.95, dev / 2), 6) AS confidence FROM d WHERE dev > 0.75""")
+ SELECT l_suppkey, l_quantity, metric, round(dev, 6) AS deviation, CASE WHEN dev > 1.5 THEN 'High' WHEN dev > 1.0 THEN 'Medium' ELSE 'Low' END AS severity, round(least(0.95, dev / 2), 6) AS confidence FROM d WHERE dev > 0.75""")
 def baseline_anomalies(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity <= 2")
+    li = table(spark, sf, "lineitem")
     flag = lambda c, v: F.count_if(F.col(c) == v)
-    per = li.groupBy("l_suppkey").agg((flag("l_returnflag", "A") / F.greatest(flag("l_returnflag", "R"), F.lit(1))).alias("check_to_mutation_ratio"),
+    per = li.groupBy("l_suppkey", "l_quantity").agg((flag("l_returnflag", "A") / F.greatest(flag("l_returnflag", "R"), F.lit(1))).alias("check_to_mutation_ratio"),
                                       (flag("l_linestatus", "O") / F.count(F.lit(1))).alias("signer_check_frequency"))
-    stats = per.unpivot(["l_suppkey"], ["check_to_mutation_ratio", "signer_check_frequency"], "metric", "observed")
+    stats = per.unpivot(["l_suppkey", "l_quantity"], ["check_to_mutation_ratio", "signer_check_frequency"], "metric", "observed")
     base = spark.createDataFrame(list(aggregates.BASELINE.items()), "metric string, expected double")
     out = aggregates.baseline_anomalies(stats, base)
-    return out.select("l_suppkey", "metric", F.round("deviation", 6).alias("deviation"), "severity", F.round("confidence", 6).alias("confidence"))
+    return out.select("l_suppkey", "l_quantity", "metric", F.round("deviation", 6).alias("deviation"), "severity", F.round("confidence", 6).alias("confidence"))
 
 
 @query("ensemble", """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 9 AS conf, CASE l_returnflag WHEN 'A' THEN 0.3::DOUBLE WHEN 'R' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END AS w,

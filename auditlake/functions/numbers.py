@@ -11,8 +11,8 @@ def clamp(col: Column, low, high) -> Column:
 
 
 def saturating_sub(a: Column, b) -> Column:
-    """a - b, never below zero."""
-    return F.greatest(a - b, F.lit(0))
+    """a - b, never below zero; null stays null (greatest alone would turn it into zero)."""
+    return F.when(a.isNotNull(), F.greatest(a - b, F.lit(0)))
 
 
 def int_div(a: Column, b) -> Column:
@@ -110,9 +110,17 @@ def interval_sub(a: Column, b: Column) -> Column:
     return F.struct((a.lo - b.hi).cast(_WIDE).alias("lo"), (a.hi - b.lo).cast(_WIDE).alias("hi"))
 
 
+def _all_known(parts) -> Column:
+    out = F.lit(True)
+    for p in parts:
+        out = out & p.isNotNull()
+    return out
+
+
 def _corners(parts) -> Column:
     parts = [p.cast(_WIDE) for p in parts]
-    return F.struct(F.least(*parts).alias("lo"), F.greatest(*parts).alias("hi"))
+    known = _all_known(parts)
+    return F.struct(F.when(known, F.least(*parts)).alias("lo"), F.when(known, F.greatest(*parts)).alias("hi"))
 
 
 def interval_mul(a: Column, b: Column) -> Column:
@@ -127,12 +135,15 @@ def interval_div(a: Column, b: Column) -> Column:
 
 
 def interval_join(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a.lo, b.lo).alias("lo"), F.greatest(a.hi, b.hi).alias("hi"))
+    return F.struct(
+        F.when(_all_known([a.lo, b.lo]), F.least(a.lo, b.lo)).alias("lo"),
+        F.when(_all_known([a.hi, b.hi]), F.greatest(a.hi, b.hi)).alias("hi"),
+    )
 
 
 def interval_meet(a: Column, b: Column) -> Column:
     lo, hi = F.greatest(a.lo, b.lo), F.least(a.hi, b.hi)
-    return F.when(lo <= hi, F.struct(lo.alias("lo"), hi.alias("hi")))
+    return F.when(F.coalesce(lo <= hi, F.lit(True)), F.struct(lo.alias("lo"), hi.alias("hi")))
 
 
 def interval_widen(old: Column, new: Column) -> Column:

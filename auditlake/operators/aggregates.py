@@ -201,7 +201,7 @@ ANOMALY = 0.75
 
 def baseline_anomalies(stats: DataFrame, baseline: DataFrame, threshold: float = ANOMALY) -> DataFrame:
     """stats: <keys>, metric, observed; baseline: metric, expected."""
-    deviation = F.abs((F.col("observed") - F.col("expected")) / F.col("expected"))
+    deviation = F.abs(F.try_divide(F.col("observed") - F.col("expected"), F.col("expected")))
     severity = F.when(F.col("deviation") > 1.5, "High").when(F.col("deviation") > 1.0, "Medium").otherwise("Low")
     return (
         stats.join(small_side(baseline), "metric").withColumn("deviation", deviation)

@@ -56,10 +56,11 @@ def verification_lag(
     """
     seen = with_previous(slots, key, [slot], [block_time], bucket, "_prev")
     delta = F.abs(F.col(block_time) - F.col(f"_prev.{block_time}")) * 1000
-    lag = F.least(saturating_sub(delta, F.lit(SLOT_MS)), F.lit(LAG_CAP_MS))
+    capped = lambda ms: F.when(ms.isNotNull(), F.least(saturating_sub(ms, F.lit(SLOT_MS)), F.lit(LAG_CAP_MS)))
+    lag = capped(delta)
     if {"num_slots", "sample_period_secs"} <= set(slots.columns):
         mean = int_div(F.col("sample_period_secs") * 1000, F.nullif(F.col("num_slots"), F.lit(0)))
-        spare = F.coalesce(F.least(saturating_sub(mean, F.lit(SLOT_MS)), F.lit(LAG_CAP_MS)), F.lit(0))
+        spare = F.coalesce(capped(mean), F.lit(0))
     else:
         spare = F.lit(0)
     return seen.filter("_prev is not null").withColumn("lag_ms", F.coalesce(lag, spare).cast("bigint")).drop("_prev")
@@ -72,7 +73,7 @@ def _last_n(samples: DataFrame, key: str, order, n: int) -> DataFrame:
 
 def skip_rate(samples: DataFrame, key: str = "validator", order=("ts",), n: int = 10) -> DataFrame:
     """Shortfall of transactions per slot against the target over the last n samples, per cent."""
-    per = F.sum("num_transactions") / F.sum("num_slots")
+    per = F.try_divide(F.sum("num_transactions"), F.sum("num_slots"))
     rate = F.least(F.greatest((F.lit(EXPECTED_TX) - per) / EXPECTED_TX * 100, F.lit(0.0)), F.lit(100.0))
     return _last_n(samples, key, order, n).groupBy(key).agg(F.coalesce(rate, F.lit(0.0)).alias("skip_rate"))
 
@@ -80,7 +81,7 @@ def skip_rate(samples: DataFrame, key: str = "validator", order=("ts",), n: int
 def stress(samples: DataFrame, key: str = "validator", order=("ts",), n: int = 5) -> DataFrame:
     """Mean load over the last n samples (mean of ratios) and its band."""
     per = F.avg(F.try_divide(F.col("num_transactions"), F.col("num_slots")))
-    level = F.least(per / FULL_TX * 100, F.lit(100.0))
+    level = F.when(per.isNotNull(), F.least(per / FULL_TX * 100, F.lit(100.0)))
     out = _last_n(samples, key, order, n).groupBy(key).agg(F.coalesce(level, F.lit(0.0)).alias("stress"))
     severity = F.when(F.col("stress") > 90, "Critical").when(F.col("stress") > 80, "High").when(
         F.col("stress") > STRESS_LIMIT, "Medium")

@@ -46,7 +46,7 @@ def protocol_score(
     critical="critical", high="high", medium="medium", low="low", verified="source_verified",
     authority="authority_kind", threshold="threshold", signers="signers", guard="guard_risk",
 ) -> Column:
-    weak = (F.col(signers) > 0) & (F.col(threshold) / F.col(signers) < 0.5)
+    weak = (F.col(signers) > 0) & (F.try_divide(F.col(threshold), F.col(signers)) < 0.5)
     owner = (
         F.when(F.col(authority) == "SingleWallet", 20)
         .when(F.col(authority) == "Unknown", 25)

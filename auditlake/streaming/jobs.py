@@ -67,9 +67,10 @@ LATENCY_MS, LAG_MS, SKIP = 1000.0, 500.0, 3.0
 
 def interval_metrics(samples: DataFrame, by: list[str], window: str = "1 minute") -> DataFrame:
     """Per key and interval: latency, load and skip rate. Works on a stream with a watermark and in batch."""
-    per_slot = F.sum("num_transactions") / F.sum("num_slots")
+    per_slot = F.try_divide(F.sum("num_transactions"), F.sum("num_slots"))
     skip = F.least(F.greatest((F.lit(3000.0) - per_slot) / 3000.0 * 100, F.lit(0.0)), F.lit(100.0))
-    stress = F.least(F.avg(F.try_divide(F.col("num_transactions"), F.col("num_slots"))) / 5000.0 * 100, F.lit(100.0))
+    load = F.avg(F.try_divide(F.col("num_transactions"), F.col("num_slots")))
+    stress = F.when(load.isNotNull(), F.least(load / 5000.0 * 100, F.lit(100.0))).otherwise(F.lit(0.0))
     grouped = samples.groupBy(*by, F.window("ts", window).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("latency_ms"), skip.alias("skip_rate"), stress.alias("stress"))
     return grouped.select(*by, F.col("w.start").alias("start"), "n", "latency_ms", "skip_rate", "stress")
