@@ -12,7 +12,7 @@ from auditlake.operators.temporal import Transitions
 PART = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
 SUPP = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
 SOURCES_SQL = "sources AS (SELECT 'p' || p_partkey AS node, p_type AS label FROM part WHERE p_size = 7)"
-SINKS_SQL = "sinks AS (SELECT 's' || s_suppkey AS node, CASE WHEN s_nationkey < 12 THEN 'StateWrite' ELSE 'ValidationBypass' END AS sink_kind FROM supplier WHERE s_nationkey % 4 = 3)"
+SINKS_SQL = "sinks AS (SELECT 's' || s_suppkey AS node, CASE WHEN s_nationkey < 6 THEN 'StateWrite' WHEN s_nationkey < 12 THEN 'TokenTransfer' WHEN s_nationkey < 18 THEN 'CPIInvoke' ELSE 'ValidationBypass' END AS sink_kind FROM supplier)"
 
 
 def sources(spark, sf):
@@ -20,8 +20,9 @@ def sources(spark, sf):
 
 
 def sinks(spark, sf):
-    kind = F.when(F.col("s_nationkey") < 12, "StateWrite").otherwise("ValidationBypass")
-    return table(spark, sf, "supplier").filter("s_nationkey % 4 = 3").select(SUPP.alias("node"), kind.alias("sink_kind"))
+    n = F.col("s_nationkey")
+    kind = F.when(n < 6, "StateWrite").when(n < 12, "TokenTransfer").when(n < 18, "CPIInvoke").otherwise("ValidationBypass")
+    return table(spark, sf, "supplier").select(SUPP.alias("node"), kind.alias("sink_kind"))
 
 
 LABELS_SQL = """seen(node, label, hops) AS (SELECT node, label, 0 FROM sources UNION SELECT e.dst, s.label, s.hops + 1 FROM seen s JOIN edges e ON e.src = s.node WHERE s.hops < 9),
@@ -82,7 +83,7 @@ def propagate_with_conditions(spark, sf):
 
 
 @query("taint_flows", f"""WITH RECURSIVE {EDGES_SQL}, {SOURCES_SQL}, {SINKS_SQL}, {LABELS_SQL}, k AS (SELECT node, hops, CASE label WHEN 'ECONOMY' THEN 'InstructionData' WHEN 'SMALL' THEN 'OracleData' ELSE label END AS label FROM labels)
- SELECT node, label, sink_kind, CASE WHEN sink_kind = 'ValidationBypass' THEN 'High' WHEN label = 'InstructionData' THEN 'High' WHEN label = 'OracleData' THEN 'Medium' ELSE 'Low' END AS severity FROM k JOIN sinks USING (node)""")
+ SELECT node, label, sink_kind, CASE WHEN sink_kind = 'ValidationBypass' THEN 'High' WHEN label = 'InstructionData' AND sink_kind = 'TokenTransfer' THEN 'Critical' WHEN label = 'InstructionData' AND sink_kind = 'StateWrite' THEN 'High' WHEN label = 'OracleData' AND sink_kind = 'StateWrite' THEN 'Medium' ELSE 'Low' END AS severity FROM k JOIN sinks USING (node)""")
 def taint_flows(spark, sf):
     label = F.when(F.col("label") == "ECONOMY", "InstructionData").when(F.col("label") == "SMALL", "OracleData").otherwise(F.col("label"))
     labels = graph.propagate_labels(call_edges(spark, sf), sources(spark, sf).withColumn("label", label))

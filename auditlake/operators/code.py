@@ -229,13 +229,12 @@ def cpi_targets(units: DataFrame, keys: list[str], text: str = "code") -> DataFr
 # --- account structs ----------------------------------------------------------------------------
 
 FIELD = (
-    r"([\s\S]*?)\bpub\s+(\w+)\s*:\s*((?:[^,<>\n]|<[^<>]*(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>[^<>]*)*>)+)"
+    r"[\s\S]*?\bpub\s+\w+\s*:\s*(?:[^,<>\n]++|<[^<>]*+(?:<[^<>]*+(?:<[^<>]*+>[^<>]*+)*+>[^<>]*+)*+>)++"
 )
 
 
-def account_type(t: Column) -> Column:
-    """Class of an account field by its type text (blanks removed)."""
-    inner = type_argument(t)
+def account_type(t: Column, inner: Column) -> Column:
+    """Class of an account field by its type text (blanks removed) and its type argument."""
     return (
         F.when(has(t, "Signer"), "Signer").when(has(t, "Program<"), "Program").when(has(t, "SystemAccount"), "SystemAccount")
         .when(has(t, "UncheckedAccount"), "UncheckedAccount").when(has(t, "AccountInfo"), "RawAccountInfo")
@@ -264,24 +263,27 @@ def _constraints(attr: Column) -> Column:
 
 
 def with_fields(structs: DataFrame, body: str = "body") -> DataFrame:
-    """Add `fields`: the struct's account fields as one array, so later checks stay inside the row."""
-    parts = [F.regexp_extract_all(F.col(body), F.lit(FIELD), F.lit(i)) for i in (1, 2, 3)]
-    raw = F.arrays_zip(parts[0].alias("lead"), parts[1].alias("name"), parts[2].alias("type"))
-
-    def field(x, i):
-        t = F.replace(x["type"], F.lit(" "), F.lit(""))
-        attr = F.regexp_replace(x["lead"], r"//[^\n]*", "")
-        cons = _constraints(attr)
-        kinds = F.transform(cons, lambda c: c["kind"])
-        kind = account_type(t)
-        return F.struct(
-            i.alias("pos"), x["name"].alias("name"), t.alias("type_text"), kind.alias("account_type"), type_argument(t).alias("type_arg"),
-            cons.alias("constraints"), F.array_contains(kinds, "Mutable").alias("is_mutable"),
-            (F.array_contains(kinds, "SignerConstraint") | (kind == "Signer")).alias("is_signer"),
-            has(x["lead"], "CHECK").alias("has_check"), F.trim(attr).alias("attr"),
-        )
+    """Add `fields`: the struct's account fields as one array, so later checks stay inside the row.
 
-    return structs.withColumn("fields", F.transform(raw, field))
+    Built in three steps (pieces, attributes, classes) so that each step reads finished values.
+    """
+    pieces = F.regexp_extract_all(F.col(body), F.lit(FIELD), F.lit(0))
+    head = r"\bpub\s+(\w+)\s*:\s*"
+    rows = structs.withColumn("_f", F.transform(pieces, lambda x, i: F.struct(
+        i.alias("pos"), F.regexp_extract(x, head, 1).alias("name"),
+        F.replace(F.regexp_extract(x, head + r"([\s\S]*)$", 2), F.lit(" "), F.lit("")).alias("type_text"),
+        F.regexp_extract(x, r"^([\s\S]*?)" + head, 1).alias("lead"))))
+    rows = rows.withColumn("_f", F.transform("_f", lambda x: F.struct(
+        x["pos"], x["name"], x["type_text"], has(x["lead"], "CHECK").alias("has_check"),
+        F.trim(F.regexp_replace(x["lead"], r"//[^\n]*", "")).alias("attr"), type_argument(x["type_text"]).alias("type_arg"))))
+    rows = rows.withColumn("_f", F.transform("_f", lambda x: F.struct(
+        x["pos"], x["name"], x["type_text"], x["has_check"], x["attr"], x["type_arg"], _constraints(x["attr"]).alias("constraints"),
+        account_type(x["type_text"], x["type_arg"]).alias("account_type"))))
+    has_kind = lambda x, kind: F.exists(x["constraints"], lambda c: c["kind"] == kind)
+    fields = F.transform("_f", lambda x: F.struct(
+        x["pos"], x["name"], x["type_text"], x["account_type"], x["type_arg"], x["constraints"], has_kind(x, "Mutable").alias("is_mutable"),
+        (has_kind(x, "SignerConstraint") | (x["account_type"] == "Signer")).alias("is_signer"), x["has_check"], x["attr"]))
+    return rows.withColumn("fields", fields).drop("_f")
 
 
 def account_fields(structs: DataFrame, keys: list[str], body: str = "body") -> DataFrame:

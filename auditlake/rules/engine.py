@@ -135,9 +135,7 @@ def condition_sql(tree, text: str, test=None) -> str:
     if kind == "none":
         return "(not " + condition_sql(["some", *parts], text, test) + ")"
     if kind == "count":
-        token = quote(parts[0])
-        n = f"(length({text}) - length(replace({text}, {token}, ''))) div {len(parts[0])}"
-        return f"({test(parts[0])} and {n} >= {parts[1]})"
+        return f"({count_sql(parts[0], text, test)} >= {parts[1]})"
     if kind == "at_least":
         return "((" + " + ".join(f"cast({condition_sql(p, text, test)} as int)" for p in parts[1:]) + f") >= {parts[0]})"
     if kind == "regex":
@@ -155,6 +153,12 @@ def condition_sql(tree, text: str, test=None) -> str:
     raise ValueError(f"unknown condition {kind}")
 
 
+def count_sql(token: str, text: str, test=None) -> str:
+    """SQL of the number of occurrences; texts without the token are not searched again."""
+    n = f"(length({text}) - length(replace({text}, {quote(token)}, ''))) div {len(token)}"
+    return f"(case when {test(token)} then {n} else 0 end)" if test else f"({n})"
+
+
 def condition(tree, text: str, test=None) -> Column:
     """Boolean Column of a condition tree over a text column or SQL expression."""
     return F.expr(condition_sql(tree, text, test))

@@ -107,8 +107,10 @@ def extract_structs(df: DataFrame, text: str = "content", keep: list[str] | None
     """Struct blocks: struct_name, block, body."""
     keep = keep or [c for c in df.columns if c != text]
     col = F.col(text)
-    parts = [F.regexp_extract_all(col, F.lit(STRUCT_BLOCK), F.lit(i)) for i in (1, 2, 3)]
-    return df.select(*keep, F.inline(F.arrays_zip(*parts)).alias("block", "struct_name", "body"))
+    blocks = df.select(*keep, F.explode(F.regexp_extract_all(col, F.lit(STRUCT_BLOCK), F.lit(1))).alias("block"))
+    return blocks.select(
+        *keep, "block", F.regexp_extract("block", r"struct\s+(\w+)", 1).alias("struct_name"),
+        F.regexp_extract("block", r"\{([^{}]*)\}$", 1).alias("body"))
 
 
 CONTEXT_NAME = r"Context<(?:[^<>]*,\s*)?([A-Z]\w*)\s*>"
