@@ -206,23 +206,23 @@ def maturity(spark, sf):
 # --- votes, metrics, timing ---------------------------------------------------------------------
 
 VOTES_SQL = """votes AS (SELECT user_id AS finding_id, event_type AS model, CASE WHEN value < 20 THEN 'CONFIRMED' WHEN value < 60 THEN 'REJECTED' ELSE 'UNCERTAIN' END AS verdict,
- CAST(least(1.0, value / 100) AS DECIMAL(6,4)) AS confidence FROM events), models AS (SELECT * FROM (VALUES ('click', 1.5), ('view', 0.5), ('error', 2.0)) v(model, weight))"""
+ least(1.0::DOUBLE, floor(value) / 100) AS confidence FROM events), models AS (SELECT * FROM (VALUES ('click', 1.5), ('view', 0.5), ('error', 2.0)) v(model, weight))"""
 
 
 @query("consensus", f"""WITH {VOTES_SQL}, a AS (SELECT finding_id, count(*) AS n_votes, sum(CASE WHEN verdict = 'CONFIRMED' THEN coalesce(weight, 1.0) ELSE 0 END)::DOUBLE AS c,
  sum(CASE WHEN verdict = 'REJECTED' THEN coalesce(weight, 1.0) ELSE 0 END)::DOUBLE AS r, sum(coalesce(weight, 1.0))::DOUBLE AS w, sum(coalesce(weight, 1.0)::DOUBLE * confidence::DOUBLE) AS wc FROM votes LEFT JOIN models USING (model) GROUP BY finding_id),
  f AS (SELECT *, greatest(c, r) / w AS agreement, wc / w AS conf FROM a)
- SELECT finding_id, n_votes, CASE WHEN c > r AND agreement >= 0.6 THEN 'CONFIRMED' WHEN r > c AND agreement >= 0.6 THEN 'REJECTED' ELSE 'UNCERTAIN' END AS verdict, round(agreement, 6) AS agreement, round(conf, 6) AS confidence,
+ SELECT finding_id, n_votes, CASE WHEN c > r AND agreement >= 0.6 THEN 'CONFIRMED' WHEN r > c AND agreement >= 0.6 THEN 'REJECTED' ELSE 'UNCERTAIN' END AS verdict, round(agreement, 8) AS agreement, round(conf, 8) AS confidence,
  (c > r AND agreement >= 0.6 AND conf >= 0.2) AS should_report FROM f""")
 def consensus(spark, sf):
     v = F.col("value")
     votes = table(spark, sf, "events").select(
         F.col("user_id").alias("finding_id"), F.col("event_type").alias("model"),
         F.when(v < 20, "CONFIRMED").when(v < 60, "REJECTED").otherwise("UNCERTAIN").alias("verdict"),
-        F.least(F.lit(1.0), v / 100).cast("decimal(6,4)").cast("double").alias("confidence"))
+        F.least(F.lit(1.0), F.floor(v) / 100).alias("confidence"))
     models = spark.createDataFrame([("click", 1.5), ("view", 0.5), ("error", 2.0)], "model string, weight double")
     out = aggregates.consensus(votes, models, floor=0.2)
-    return out.withColumns({"agreement": F.round("agreement", 6), "confidence": F.round("confidence", 6)})
+    return out.withColumns({"agreement": F.round("agreement", 8), "confidence": F.round("confidence", 8)})
 
 
 @query("metrics", """SELECT event_type, date_trunc('day', ts) AS day, count(v) AS count, sum(v)::BIGINT AS sum_ms, (sum(v) // count(v))::BIGINT AS avg_ms, min(v) AS min_ms, max(v) AS max_ms

@@ -106,7 +106,8 @@ def wave_weights(dim: int) -> list[list[float]]:
 
 def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int = 2, node: str = "node", vector: str = "features", dim: int = 64) -> DataFrame:
     """Rounds of: sum of the in-neighbours plus twice the own vector, times the layer weights, ReLU."""
-    matrix = F.lit(wave_weights(dim))
+    rows = ("array(" + ", ".join(f"{w!r}D" for w in row) + ")" for row in wave_weights(dim))
+    matrix = F.expr("array(" + ", ".join(rows) + ")")
     state = nodes.select(node, F.col(vector).cast("array<double>").alias("_v"))
     e = edges.select(F.col("src").alias(node), "dst").distinct()
     cells = [f"_{i}" for i in range(dim)]

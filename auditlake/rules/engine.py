@@ -226,6 +226,12 @@ def scan_rules(units: DataFrame, rules: list[dict], text: str = "code", keep: li
     return units.select(*keep, F.expr(f"inline(array({', '.join(hit)}))")).filter("id is not null")
 
 
+def emit(df: DataFrame, keep, tests: list[Column], mark: str) -> DataFrame:
+    """One row per test that holds; tests are when(condition, struct) columns, mark is a struct field
+    that is never null. Inline and filter stay in generated code."""
+    return df.select(*keep, F.inline(F.array(*tests))).filter(F.col(mark).isNotNull())
+
+
 def rule_hits(units: DataFrame, rules: list[dict], text: str = "code", keep: list[str] | None = None) -> DataFrame:
     """Like scan_rules, but one row per unit with the array of rule ids that fired."""
     keep = keep or [c for c in units.columns if c != text]

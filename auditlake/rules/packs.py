@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import has_any, hits, line_array, line_count, occurrences, package_from_path
-from auditlake.rules.engine import condition, condition_sql, every, line, lower, none, regex, rule, scan_rules, some, within
+from auditlake.rules.engine import condition, condition_sql, emit, every, line, lower, none, regex, rule, scan_rules, some, within
 
 # --- value protocols ----------------------------------------------------------------------------
 
@@ -108,23 +108,29 @@ UNSAFE_LINES = (
     ("zeroed_init", "TransmuteCall", "High", "High", r"zeroed\s*\(\)\s*\.\s*assume_init"),
     ("ptr_cast", "TransmuteCall", "High", "High", r"\bas\s+\*(?:const|mut)\s"),
 )
+#: Every unsafe pattern needs one of these.
+UNSAFE_TOKENS = ("unsafe", "union", "asm!", "extern", "#[no_mangle]", "#[link", "*const", "*mut", "_ptr(", ".offset(", ".add(", "from_raw",
+                 "null", "ptr::", "transmute", "assume_init", "into_raw", "zeroed")
 UNSAFE_CALLS = ("invoke", "sol_memcpy", "sol_memset", "AccountInfo", "from_raw_parts")
 
 
-def scan_line_patterns(files: DataFrame, patterns, text: str = "content", keep: list[str] | None = None) -> DataFrame:
+def scan_line_patterns(
+    files: DataFrame, patterns, text: str = "content", keep: list[str] | None = None, tokens=()
+) -> DataFrame:
     """Line findings of (id, category, severity, severity when documented, pattern).
 
-    Lines stay in the file's row: the row's line array is filtered per pattern, and the SAFETY comment
-    is looked up in the three lines above.
+    tokens: texts without any of them are skipped. A line is first tested against all patterns at once;
+    the SAFETY comment is looked up in the three lines above, in the file's own row.
     """
     keep = keep or [c for c in files.columns if c != text]
     lines = F.col("_lines")
     rows = files.select(*keep, line_array(F.col(text)).alias("_lines"), F.col(text).alias("_text"))
-    rows = rows.filter(F.col("_text").rlike("|".join(p[4] for p in patterns).replace("^", "(?m)^", 1) if any("^" in p[4] for p in patterns)
-                                            else "|".join(p[4] for p in patterns)))
+    if tokens:
+        rows = rows.filter(has_any(F.col("_text"), tokens))
     exploded = rows.select(*keep, "_lines", F.posexplode("_lines").alias("_i", "line"))
     code = F.trim("line")
     exploded = exploded.filter(~code.startswith("//") & ~code.startswith("/*") & ~code.startswith("*"))
+    exploded = exploded.filter(F.col("line").rlike("|".join(f"(?:{p[4]})" for p in patterns)))
     above = F.slice(lines, F.greatest(F.col("_i") - 2, F.lit(1)), F.least(F.col("_i"), F.lit(3)))
     documented = (F.col("_i") > 0) & F.exists(above, lambda x: F.trim(x).rlike("^///? SAFETY:"))
     tests = [
@@ -132,12 +138,12 @@ def scan_line_patterns(files: DataFrame, patterns, text: str = "content", keep:
             F.lit(i).alias("id"), F.lit(c).alias("category"), F.when(documented, s2).otherwise(s1).alias("severity")))
         for i, c, s1, s2, p in patterns
     ]
-    return exploded.select(*keep, (F.col("_i") + 1).alias("line_no"), "line", F.inline(F.array_compact(F.array(*tests))))
+    return emit(exploded, [*keep, (F.col("_i") + 1).alias("line_no"), "line"], tests, "id")
 
 
 def scan_unsafe(files: DataFrame, text: str = "content", keep: list[str] | None = None) -> DataFrame:
     """Unsafe constructs; a block that touches program memory is one step worse."""
-    out = scan_line_patterns(files, UNSAFE_LINES, text, keep)
+    out = scan_line_patterns(files, UNSAFE_LINES, text, keep, UNSAFE_TOKENS)
     worse = (F.col("id") == "unsafe_block") & has_any(F.col("line"), UNSAFE_CALLS)
     raised = F.when(F.col("severity") == "High", "Critical").otherwise("High")
     return out.withColumn("severity", F.when(worse, raised).otherwise(F.col("severity")))
@@ -184,7 +190,7 @@ def scan_arithmetic(files: DataFrame, text: str = "content", keep: list[str] | N
                F.struct(F.lit(kind).alias("kind"), F.lit(s).alias("cvss")))
         for kind, s, p in ARITHMETIC
     ]
-    return lines.select(*keep, (F.col("_i") + 1).alias("line_no"), F.inline(F.array_compact(F.array(*tests))))
+    return emit(lines, [*keep, (F.col("_i") + 1).alias("line_no")], tests, "kind")
 
 
 # --- boolean feature and safety checks ----------------------------------------------------------
@@ -394,7 +400,7 @@ def runtime_diffs(df: DataFrame, text: str = "content", keep: list[str] | None =
         F.when(has_any(F.col(text), tokens), F.struct(F.lit(i).alias("id"), F.lit(t).alias("title"), F.lit(s).alias("severity")))
         for i, t, s, tokens in table
     ]
-    return df.select(*keep, F.inline(F.array_compact(F.array(*tests))))
+    return emit(df, keep, tests, "id")
 
 
 def syscall_usage(df: DataFrame, text: str = "content", keep: list[str] | None = None, table=SYSCALLS) -> DataFrame:
@@ -408,7 +414,7 @@ def syscall_usage(df: DataFrame, text: str = "content", keep: list[str] | None =
             tests.append(F.when(F.contains(col, F.lit(token)), F.struct(
                 F.lit(name).alias("syscall"), F.lit(token).alias("token"), line_no.alias("line_no"), F.lit(cost).alias("cu_cost"),
                 F.lit(other).alias("cu_cost_other"), F.lit(cost != other).alias("has_diff"))))
-    return df.select(*keep, F.inline(F.array_compact(F.array(*tests))))
+    return emit(df, keep, tests, "syscall")
 
 
 COMPATIBILITY = [
