@@ -132,7 +132,7 @@ def stream_scoreboard(spark, sf):
     stream = events(spark, sf).select(F.col("user_id").alias("program"), "ts", (F.floor("value") % 101).alias("score"))
     drained(jobs.upsert_scoreboard(stream, root))
     newest = spark.read.parquet(f"{root}/state").groupBy("program").agg(F.max_by("score", "batch").alias("score"))
-    return rank_scoreboard(newest, buckets=[-F.col("score"), F.floor(F.col("program") / 1000)]).select("rank", "program", "score")
+    return rank_scoreboard(newest).select("rank", "program", "score")
 
 
 def _requests(e):

@@ -225,11 +225,9 @@ def diff_findings(before: DataFrame, after: DataFrame, keys=("id", "location", "
     return a.join(b, list(keys), "full").select(*keys, state.alias("state"))
 
 
-def rank_scoreboard(df: DataFrame, score: str = "score", tie: str = "program", buckets: list | None = None) -> DataFrame:
+def rank_scoreboard(df: DataFrame, score: str = "score", tie: str = "program") -> DataFrame:
     """Position 1..n by score, best first; ties by name."""
-    if buckets is None:
-        buckets = [-F.col(score), F.substring(F.col(tie).cast("string"), 1, 3)]
-    return global_rank(df, [F.desc(score), F.asc(tie)], buckets)
+    return global_rank(df, [F.desc(score), F.asc(tie)])
 
 
 # --- confidence -------------------------------------------------------------------------------

@@ -7,6 +7,8 @@ Otherwise the best normalised edit similarity above the threshold wins, earliest
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,12 +102,12 @@ def _blocked(distinct: DataFrame, legit: DataFrame, threshold: float) -> DataFra
     edits = F.greatest(F.ceil(F.length("l") * ((1 - threshold) / threshold)) - 1, F.lit(0)).cast("int")
     pieces = lists.withColumn("k", edits).withColumn("_p", F.explode(_pieces(F.col("l"), F.col("k"))))
     pieces = pieces.select("pos", "legit", "l", "k", "_p.off", "_p.piece", F.length("_p.piece").alias("len"))
-    lengths = pieces.select("len").distinct()
-    windows = rest.join(F.broadcast(lengths), F.length("n") >= F.col("len")).withColumn(
+    longest = math.ceil(threshold / (1 - threshold))  # len / (k + 1), rounded up
+    windows = rest.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.length("n"), F.lit(longest))))).withColumn(
         "at", F.explode(F.sequence(F.lit(0), F.length("n") - F.col("len")))
     ).withColumn("piece", F.substr(F.col("n"), F.col("at") + 1, F.col("len")))
     pairs = (
-        windows.join(pieces.drop("len"), "piece")
+        windows.filter("n <> ''").join(pieces.drop("len"), "piece")
         .filter((F.abs(F.col("at") - F.col("off")) <= F.col("k")) & (
             F.least(F.length("n"), F.length("l")) > F.greatest(F.length("n"), F.length("l")) * threshold))
         .select("name", "n", "pos", "legit", "l").distinct()

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.session import write_cut
+
 
 def _names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -70,20 +72,21 @@ def running_total(df: DataFrame, keys, order, value: Column, bucket: Column, nam
     )
 
 
-def global_rank(df: DataFrame, order, buckets, name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order, name: str = "rank") -> DataFrame:
     """Add `name`: 1..n over the whole table, without one task seeing every row.
 
-    buckets is an ordered list of column expressions whose ascending order never contradicts
-    `order`. Only the bucket counts (one row per bucket) meet in a single window.
+    The table is range-partitioned by a global sort (balanced by sampling, whatever the skew) and
+    written once with its place inside the partition; the counts of the partitions before it, one row
+    per task, give the offset.
     """
-    order = _names(order)
-    names = [f"_k{i}" for i in range(len(buckets))]
-    df = df.withColumns(dict(zip(names, buckets)))
-    counts = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inner = df.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
-    return inner.join(offsets, names).withColumn(name, F.col("_off") + F.col("_r")).drop(*names, "_r", "_off")
+    placed = write_cut(df.orderBy(*_names(order)).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.col("_id") - F.shiftleft(part, 33)
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row per task
+    return joined.withColumn(name, F.col("_off") + local + 1).drop("_part", "_id", "_off")
 
 
 def nearest_marks(
