@@ -80,6 +80,16 @@ def strip_spaces(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.strip_spaces(F.col("text"))).alias("stripped"))
 
 
+_NORMAL = "replace(replace(text, ' the ', ' Signer < '), ' of ', ' Token > ')"
+
+
+@query("normalize_code", f"SELECT doc_id, md5(replace(replace({_NORMAL}, 'Signer < ', 'Signer<'), 'Token >', 'Token>')) AS code FROM documents")
+def normalize_code(spark, sf):
+    """Prose with two words read as spaced type names."""
+    spaced = F.replace(F.replace("text", F.lit(" the "), F.lit(" Signer < ")), F.lit(" of "), F.lit(" Token > "))
+    return table(spark, sf, "documents").select("doc_id", F.md5(tx.normalize_code(spaced)).alias("code"))
+
+
 @query("fingerprint", "SELECT doc_id, 'DOC-' || substring(upper(sha256(source || ':' || lang || ':' || text)), 1, 16) AS fp FROM documents")
 def fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.fingerprint(["source", "lang", "text"], 16, "DOC-").alias("fp"))

@@ -377,3 +377,18 @@ def to_findings(spark, sf):
 @query("grades", f"""SELECT p_partkey, {grade_sql('(p_size * 2)')} AS grade FROM part""")
 def grades(spark, sf):
     return table(spark, sf, "part").select("p_partkey", grade(F.col("p_size") * 2).alias("grade"))
+
+
+@query("detectors", f"""{WITH} SELECT detector, id, severity, count(*) AS n FROM (SELECT 'strong' AS detector, id, severity FROM findings WHERE confidence >= 80
+ UNION ALL SELECT 'auth', id, severity FROM findings WHERE category = 'Authorization') WHERE severity >= 3 GROUP BY ALL""")
+def detectors(spark, sf):
+    """Two plug-ins and one that fails; the failure becomes a row of the error table."""
+    from auditlake.plans.detectors import Detector, DetectorSet
+
+    registry = DetectorSet(floor=3)
+    registry.register(Detector("strong", "1", lambda df: df.filter("confidence >= 80")))
+    registry.register(Detector("auth", "1", lambda df: df, F.col("category") == "Authorization"))
+    registry.register(Detector("broken", "1", lambda df: df.select("no_such_column")))
+    found, errors = registry.run(findings(spark, sf))
+    assert errors.count() == 1
+    return found.groupBy("detector", "id", "severity").agg(F.count(F.lit(1)).alias("n"))

@@ -186,6 +186,20 @@ def natural_loops(spark, sf):
     return graph.natural_loops(edges, graph.back_edges(edges, doms, ["user_id"]), ["user_id"])
 
 
+CODE_SQL = "CASE node WHEN 'purchase' THEN 'return x' WHEN 'signup' THEN 'for i in 0..n' ELSE 'step()' END"
+
+
+@query("unbounded_loops", f"""WITH RECURSIVE {STEPS_SQL}, {DOM_SQL}, {BACK_SQL}, body(user_id, tail, header, node) AS (SELECT user_id, tail, header, tail FROM backs UNION SELECT user_id, tail, header, header FROM backs
+  UNION SELECT b.user_id, b.tail, b.header, e.src FROM body b JOIN edges e ON e.user_id = b.user_id AND e.dst = b.node WHERE b.node <> b.header)
+ SELECT user_id, tail, header, count(*) AS n_blocks FROM (SELECT *, {CODE_SQL} AS code FROM body) GROUP BY ALL HAVING NOT bool_or((node = header AND contains(code, '..')) OR contains(code, 'return'))""")
+def unbounded_loops(spark, sf):
+    edges, doms = _doms(spark, sf)
+    loops = graph.natural_loops(edges, graph.back_edges(edges, doms, ["user_id"]), ["user_id"])
+    text = F.when(F.col("node") == "purchase", "return x").when(F.col("node") == "signup", "for i in 0..n").otherwise("step()")
+    blocks = loops.select("user_id", "node").distinct().withColumn("code", text)
+    return graph.unbounded_loops(loops, blocks, ["user_id"]).drop("id")
+
+
 @query("unguarded", f"""WITH RECURSIVE {STEPS_SQL}, {DOM_SQL}, b AS (SELECT DISTINCT user_id, 'process_' || (user_id % 5) AS fn, node FROM reach),
  g AS (SELECT user_id, node FROM b WHERE node = 'signup' AND user_id % 3 <> 0), s AS (SELECT * FROM b WHERE node IN ('purchase', 'click'))
  SELECT user_id, node, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.user_id = s.user_id) THEN 'SOL-CFG-01' ELSE 'SOL-CFG-02' END AS id FROM s
@@ -254,6 +268,14 @@ def dead_definitions(spark, sf):
     return graph.dead_definitions(defs, graph.live_variables(user_graph(spark, sf)[0], uses, defs, KEY), KEY)
 
 
+@query("dataflow_findings", f"""{FLOW} SELECT user_id, node, var, 'DF-SOL-090' AS id, 3 AS severity, 40 AS confidence FROM uses u WHERE NOT EXISTS (SELECT 1 FROM rd WHERE rd.user_id = u.user_id AND rd.node = u.node AND rd.var = u.var)
+ UNION ALL SELECT user_id, node, var, 'DF-SOL-091', 1, 30 FROM defs d WHERE NOT EXISTS (SELECT 1 FROM lv WHERE lv.user_id = d.user_id AND lv.node = d.node AND lv.var = d.var)""")
+def dataflow_findings(spark, sf):
+    defs, uses, rd = _reaching(spark, sf)
+    live = graph.live_variables(user_graph(spark, sf)[0], uses, defs, KEY)
+    return graph.dataflow_findings(graph.uninitialized_uses(uses, rd, KEY), graph.dead_definitions(defs, live, KEY), KEY)
+
+
 @query("value_flow", f"{FLOW}, c AS (SELECT user_id, node, var, use_id, def_id FROM uses JOIN rd USING (user_id, node, var)) SELECT use_id, user_id, node FROM c WHERE def_id = (SELECT min(def_id) FROM c)")
 def value_flow(spark, sf):
     _, uses, rd = _reaching(spark, sf)

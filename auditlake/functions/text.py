@@ -58,13 +58,22 @@ def strip_spaces(col: Column) -> Column:
     return F.replace(col, F.lit(" "), F.lit(""))
 
 
+# Type names and attribute openings a token printer spaces out, and the closers it separates.
+SPACED_TYPES = (
+    "Signer Account Program AccountInfo UncheckedAccount AccountLoader InterfaceAccount Interface SystemAccount Context Box "
+    "Option Vec Result CpiContext"
+).split()
+SPACED_CLOSERS = ("'info", "TokenAccount", "Token", "Mint", "Vault", "System")
+SPACED_ATTRIBUTES = (("(signer )", "(signer)"), ("(mut )", "(mut)"), ("(mut , ", "(mut, "), ("(init , ", "(init, "))
+
+
 def normalize_code(col: Column) -> Column:
-    """Undo the blanks a token printer puts around punctuation."""
-    out = F.regexp_replace(col, r"\s*(::|\.)\s*", "$1")
-    out = F.regexp_replace(out, r"\s*([(\[<])\s*", "$1")
-    out = F.regexp_replace(out, r"\s+([)\]>,;:?])", "$1")
-    out = F.regexp_replace(out, r"([&!#])\s+", "$1")
-    return F.regexp_replace(out, r"\s+!\(", "!(")
+    """Undo the blanks a token printer puts into attributes and account types."""
+    pairs = [("# [", "#["), *[(f"{t} < ", f"{t}<") for t in SPACED_TYPES], *[(f"{c} >", f"{c}>") for c in SPACED_CLOSERS],
+             ("'info , ", "'info, "), *SPACED_ATTRIBUTES]
+    for old, new in pairs:
+        col = F.replace(col, F.lit(old), F.lit(new))
+    return col
 
 
 def fn_names(col: Column, keyword: str = "fn") -> Column:

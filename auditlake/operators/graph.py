@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import has_any
 from auditlake.session import RoundTable, small_side, write_cut
 
 
@@ -303,6 +304,23 @@ def unguarded(blocks: DataFrame, doms: DataFrame, keys, entry_prefixes=("process
     return bypassed.withColumn("id", F.lit("SOL-CFG-01")).unionByName(bare.withColumn("id", F.lit("SOL-CFG-02")))
 
 
+# Header tokens of a bounded iteration and body tokens that leave or limit a loop.
+BOUNDED_HEADER = ("..", "take(", "chunks(", "windows(")
+BOUNDED_BODY = ("break", "return", "MAX_", "limit")
+
+
+def unbounded_loops(loops: DataFrame, blocks: DataFrame, keys, header=BOUNDED_HEADER, body=BOUNDED_BODY) -> DataFrame:
+    """CFG-04: loops (keys, tail, header, node) without a bound in their header or body.
+    blocks: keys, node, code."""
+    keys = list(keys)
+    ids = [*keys, "tail", "header"]
+    code = loops.join(blocks.select(*keys, "node", "code"), [*keys, "node"])
+    at_header = F.col("node") == F.col("header")
+    bounded = (at_header & has_any(F.col("code"), header)) | has_any(F.col("code"), body)
+    out = code.groupBy(*ids).agg(F.bool_or(bounded).alias("_ok"), F.count_distinct("node").alias("n_blocks"))
+    return out.filter("not _ok").select(*ids, "n_blocks", F.lit("SOL-CFG-04").alias("id"))
+
+
 # --- data flow ----------------------------------------------------------------------------------
 
 def reaching_definitions(edges: DataFrame, defs: DataFrame, keys) -> DataFrame:
@@ -349,6 +367,14 @@ def dead_definitions(defs: DataFrame, live: DataFrame, keys) -> DataFrame:
     return defs.join(live, [*keys, "node", "var"], "left_anti")
 
 
+def dataflow_findings(uninitialized: DataFrame, dead: DataFrame, keys) -> DataFrame:
+    """Both data-flow results as findings: (keys, node, var, id, severity, confidence)."""
+    cols = [*keys, "node", "var"]
+    make = lambda df, rule, severity, confidence: df.select(
+        *cols, F.lit(rule).alias("id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))
+    return make(uninitialized, "DF-SOL-090", 3, 40).unionByName(make(dead, "DF-SOL-091", 1, 30))
+
+
 def value_flow(chains: DataFrame, def_id) -> DataFrame:
     """Uses one definition flows to."""
     return chains.filter(F.col("def_id") == def_id)
