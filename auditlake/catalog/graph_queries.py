@@ -9,20 +9,27 @@ from auditlake.functions.numbers import cosine, norm
 from auditlake.operators import code, graph, vectors
 from auditlake.operators.temporal import Transitions
 
-PART = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
-SUPP = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+
+def part_node():
+    return F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+
+
+def supplier_node():
+    return F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+
+
 SOURCES_SQL = "sources AS (SELECT 'p' || p_partkey AS node, p_type AS label FROM part WHERE p_size = 7)"
 SINKS_SQL = "sinks AS (SELECT 's' || s_suppkey AS node, CASE WHEN s_nationkey < 6 THEN 'StateWrite' WHEN s_nationkey < 12 THEN 'TokenTransfer' WHEN s_nationkey < 18 THEN 'CPIInvoke' ELSE 'ValidationBypass' END AS sink_kind FROM supplier)"
 
 
 def sources(spark, sf):
-    return table(spark, sf, "part").filter("p_size = 7").select(PART.alias("node"), F.col("p_type").alias("label"))
+    return table(spark, sf, "part").filter("p_size = 7").select(part_node().alias("node"), F.col("p_type").alias("label"))
 
 
 def sinks(spark, sf):
     n = F.col("s_nationkey")
     kind = F.when(n < 6, "StateWrite").when(n < 12, "TokenTransfer").when(n < 18, "CPIInvoke").otherwise("ValidationBypass")
-    return table(spark, sf, "supplier").select(SUPP.alias("node"), kind.alias("sink_kind"))
+    return table(spark, sf, "supplier").select(supplier_node().alias("node"), kind.alias("sink_kind"))
 
 
 LABELS_SQL = """seen(node, label, hops) AS (SELECT node, label, 0 FROM sources UNION SELECT e.dst, s.label, s.hops + 1 FROM seen s JOIN edges e ON e.src = s.node WHERE s.hops < 9),
@@ -50,7 +57,7 @@ def has_path(spark, sf):
 @query("reachable_avoiding", f"""WITH RECURSIVE {EDGES_SQL}, {SOURCES_SQL}, guards AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey >= 5),
  seen(node) AS (SELECT node FROM sources UNION SELECT e.dst FROM seen s JOIN edges e ON e.src = s.node WHERE e.dst NOT IN (SELECT node FROM guards)) SELECT node FROM seen""")
 def reachable_avoiding(spark, sf):
-    guards = table(spark, sf, "supplier").filter("s_nationkey >= 5").select(SUPP.alias("node"))
+    guards = table(spark, sf, "supplier").filter("s_nationkey >= 5").select(supplier_node().alias("node"))
     return graph.reachable_avoiding(call_edges(spark, sf), sources(spark, sf), guards)
 
 
@@ -58,7 +65,7 @@ def reachable_avoiding(spark, sf):
  seen(node, label, hops) AS (SELECT node, label, 0 FROM sources UNION SELECT e.dst, s.label, s.hops + 1 FROM seen s JOIN edges e ON e.src = s.node WHERE s.hops < 9 AND e.dst NOT IN (SELECT node FROM clean))
  SELECT node, label, CAST(min(hops) AS INTEGER) AS hops FROM seen GROUP BY ALL""")
 def propagate_labels(spark, sf):
-    clean = table(spark, sf, "supplier").filter("s_nationkey >= 20").select(SUPP.alias("node"))
+    clean = table(spark, sf, "supplier").filter("s_nationkey >= 20").select(supplier_node().alias("node"))
     out = graph.propagate_labels(call_edges(spark, sf), sources(spark, sf), clean)
     return out.select("node", "label", (F.size("path") - 1).alias("hops"))
 
@@ -109,8 +116,8 @@ LIFT_SQL = """lifted AS (SELECT src, dst, starts_with(src, 's') AND CAST(src[2:]
 def raise_levels(spark, sf):
     edges = call_edges(spark, sf)
     lifts = F.col("src").startswith("s") & (F.substring("src", 2, 20).cast("bigint") % 3 == 0)
-    seeds = table(spark, sf, "part").select(PART.alias("node"), F.when(F.col("p_size") == 50, 2).otherwise(0).alias("level"))
-    caps = table(spark, sf, "supplier").filter("s_nationkey = 9").select(SUPP.alias("node"), F.lit(1).alias("cap"))
+    seeds = table(spark, sf, "part").select(part_node().alias("node"), F.when(F.col("p_size") == 50, 2).otherwise(0).alias("level"))
+    caps = table(spark, sf, "supplier").filter("s_nationkey = 9").select(supplier_node().alias("node"), F.lit(1).alias("cap"))
     return graph.raise_levels(edges.withColumn("lifts", F.coalesce(lifts, F.lit(False))), seeds, caps=caps)
 
 
