@@ -157,10 +157,6 @@ DOM_SQL = """reach(user_id, node) AS (SELECT * FROM entries UNION SELECT r.user_
  doms AS (SELECT a.user_id, a.node, b.node AS dom FROM reach a JOIN reach b USING (user_id) WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.user_id = a.user_id AND f.d = b.node AND f.node = a.node))"""
 
 
-def _daily_graph(spark, sf):
-    return user_graph(spark, sf)
-
-
 def _doms(spark, sf):
     edges, entries = user_graph(spark, sf)
     return edges, graph.dominators(edges, entries, ["user_id"])

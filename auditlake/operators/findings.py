@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import clamp
-from auditlake.functions.text import basename, has, has_any, strip_spaces
+from auditlake.functions.text import basename, has, has_any
 from auditlake.operators.ordered import global_rank
 from auditlake.session import small_side
 
@@ -315,7 +315,3 @@ def base_from_rules(rules: DataFrame) -> DataFrame:
         by_severity = F.when(F.col("severity") == severity, F.lit(value)).otherwise(by_severity)
     full = rules.withColumn("_base", F.coalesce(F.col("base_confidence"), by_severity))
     return full.groupBy("id").agg(F.max_by("_base", "pos").alias("base_confidence"))
-
-
-def code_without_spaces(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("norm_code", strip_spaces(F.col("vulnerable_code")))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import clean_version, valid_program_id, version_listed
-from auditlake.operators.findings import keep_first
 from auditlake.session import small_side
 
 
@@ -191,15 +190,3 @@ def to_findings(df: DataFrame, mapping: dict[str, Column], severity: dict[str, i
     for name, value in severity.items():
         rank = F.when(F.lower(F.col(label)) == name.lower(), F.lit(value)).otherwise(rank)
     return df.select(*[c.alias(n) for n, c in mapping.items()], rank.cast("int").alias("severity"))
-
-
-def first_match(df: DataFrame, patterns: list[tuple[str, str]], text: Column, name: str) -> DataFrame:
-    """Value of the first listed token that occurs in the text; the list is a bounded constant."""
-    out = F.lit(None).cast("string")
-    for token, value in reversed(patterns):
-        out = F.when(F.contains(text, F.lit(token)), F.lit(value)).otherwise(out)
-    return df.withColumn(name, out)
-
-
-def first_per(df: DataFrame, keys, order) -> DataFrame:
-    return keep_first(df, keys, order)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import clamp, int_div
 from auditlake.functions.text import occurrences
-from auditlake.operators.findings import keep_first
 
 
 def _count(cond) -> Column:
@@ -341,8 +340,3 @@ def maturity(weights=MATURITY, typed: str = "typed_ratio", typed_weight: float =
     for name, value in weights.items():
         score = score + F.when(F.col(name), F.lit(value)).otherwise(F.lit(0.0))
     return score / (sum(weights.values()) + typed_weight)
-
-
-def latest(df: DataFrame, key: str, at: str) -> DataFrame:
-    """Newest row per key."""
-    return keep_first(df, [key], [F.desc(at)])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
 from auditlake.operators import code, graph
+from auditlake.rules import packs
 from auditlake.sources.corpus import extract_structs, extract_units, source_string
 
 TEXT = """#[derive(Accounts)]
@@ -66,6 +67,41 @@ def test_aliasing(spark):
     assert found == set()
 
 
+STRUCTS = """#[derive(Accounts)]
+pub struct Bad<'info> {
+    #[account(mut)]
+    pub source: AccountInfo<'info>,
+    #[account(mut)]
+    pub destination: AccountInfo<'info>,
+    #[account(init_if_needed, close = taker)]
+    pub state: Account<'info, State>,
+    #[account(seeds = [b"fixed"])]
+    pub note: Account<'info, Note>,
+    pub oracle_program: AccountInfo<'info>,
+}
+#[derive(Accounts)]
+pub struct Good<'info> {
+    /// CHECK: owner is compared in the handler
+    #[account(owner = crate::ID)]
+    pub raw: UncheckedAccount<'info>,
+    pub user: Signer<'info>,
+}
+"""
+
+
+def test_account_safety_rules(spark):
+    s = extract_structs(source_string(spark, STRUCTS))
+    found = {(r["struct_name"], r["field"], r["id"]) for r in packs.account_safety(s, ["struct_name"]).collect()}
+    want = {
+        ("source", "OWNER-01"), ("destination", "OWNER-01"), ("oracle_program", "OWNER-01"), ("oracle_program", "CONFUSION-01"),
+        ("state", "CLOSE-01"), ("state", "CLOSE-02"), ("state", "CLOSE-03"), ("state", "ANCHOR-REINIT"), ("state", "ANCHOR-CLOSE"),
+        ("state", "PDA-03"), ("state", "ANCHOR-INIT-SEEDS"), ("note", "PDA-01"), ("note", "ANCHOR-BUMP"), ("note", "ANCHOR-SEEDS"),
+        ("oracle_program", "ANCHOR-PROGRAM"), ("", "SIGNER-02")}
+    assert found == {("Bad", f, i) for f, i in want}
+    pairs = packs.duplicate_mutable(s, ["struct_name"]).select("account_a", "account_b").collect()
+    assert [tuple(r) for r in pairs] == [("source", "destination")]
+
+
 def test_alias_counts_match_pairs(spark):
     rng = random.Random(4)
     fields, links = [], []

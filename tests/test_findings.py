@@ -83,12 +83,6 @@ def test_non_program_paths(spark):
     assert [r[0] for r in ops.drop_non_program(df).collect()] == ["src/main.rs", "lib.rs"]
 
 
-def test_scores():
-    from auditlake.operators.scores import GUARD_POINTS
-
-    assert GUARD_POINTS["Critical"] == 25
-
-
 def test_protocol_score_and_grade(spark):
     data = [(0, 0, 0, 0, True, "Immutable", 0, 0, 0), (1, 2, 0, 1, False, "Multisig", 1, 3, 9), (9, 0, 0, 0, True, "Unknown", 0, 0, 0)]
     df = spark.createDataFrame(data, "critical int, high int, medium int, low int, source_verified boolean, authority_kind string, threshold int, signers int, guard_risk int")
