@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.catalog.base import FINDINGS_SQL, findings, query, table
-from auditlake.catalog.finding_queries import COUNTS, PROGRAMS_SQL, PROTOCOL_SQL, expected_bugs, EXPECTED_SQL, MATCHED, programs
-from auditlake.functions.numbers import grade
+from auditlake.catalog.finding_queries import EXPECTED_SQL, MATCHED, PROGRAMS_SQL, PROTOCOL_SQL, expected_bugs, programs
 from auditlake.operators import aggregates, evaluate, fuzzy, lookups, scores
 
 WITH = f"WITH {FINDINGS_SQL}"
