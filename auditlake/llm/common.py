@@ -22,7 +22,7 @@ LOOKUP_ROWS = 50_000
 #: Copies of a larger lookup table over which the rows of a hot key are dealt.
 LOOKUP_SALTS = 16
 #: Bytes of text hashed at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1

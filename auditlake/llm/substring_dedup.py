@@ -176,7 +176,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs_of[low + rows[new]], pa.int64()), pa.array(hashes[new].view(np.int64))], ["doc", "hash"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    held = write_cut(rows.mapInArrow(post, "doc long, hash long"))
+    held = rows.mapInArrow(post, "doc long, hash long")  # made twice rather than kept: as many rows as repeated words
     owners = held.groupBy("hash").agg(F.min("doc").alias("owner"), F.max("doc").alias("top")).where("owner < top").select("hash", "owner")
     return held.join(owners, "hash").where("doc > owner").select("doc", "hash")
 
@@ -199,8 +199,8 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def remove(batches):
         for batch in batches:
             lost_of = batch.column(len(schema.fields))
-            kept, removed, total = [], [], []
             for low, high, words in text_chunks(batch.column(at)):
+                kept, removed = [], []
                 gone = np.zeros(len(words.starts) + 1, np.int64)
                 hashes = None
                 for row in range(low, high):
@@ -219,11 +219,10 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         kept.append(b" ".join(raw[words.starts[k] : words.ends[k]] for k in np.flatnonzero(~covered[a:b]) + a))
                     else:
                         kept.append(b" ".join(raw[words.bounds[row] : words.bounds[row + 1]].split()))
-                    total.append(int(b - a))
                     removed.append(int(covered[a:b].sum()))
-            columns = [batch.column(k) for k in range(len(schema.fields))]
-            columns += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, out.fieldNames())
+                columns = [batch.column(k).slice(low, high - low) for k in range(len(schema.fields))]
+                columns += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, out.fieldNames())
 
     names = [*schema.fieldNames(), "__lost"]
     return touched.select(*names).unionByName(others.select(*names)).mapInArrow(remove, out)
