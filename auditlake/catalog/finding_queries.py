@@ -218,12 +218,8 @@ def root_cause_locations(spark, sf):
     return out.select("program", "id", F.col("seq.a").alias("origin"), "place")
 
 
-@query("annotate_root_cause", f"""{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY program, id ORDER BY seq) rn FROM findings),
- p AS (SELECT program, id, count(*) n, string_agg(CASE WHEN rn > 1 THEN CASE WHEN function_name = '' THEN split_part(location, '/', 2)
-   ELSE split_part(location, '/', 2) || ':' || function_name END END, ', ' ORDER BY seq) AS places FROM r GROUP BY program, id)
- SELECT r.program, r.id, CASE WHEN n = 1 THEN description WHEN n <= 201 THEN description || ' [found in ' || n || ' locations; also in: ' || places || ']'
-  ELSE description || ' [found in ' || n || ' locations]' END AS description
- FROM r JOIN p ON r.program = p.program AND r.id = p.id WHERE rn = 1""")
+@query("annotate_root_cause", f"""{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY program, id ORDER BY seq) rn, count(*) OVER (PARTITION BY program, id) n FROM findings)
+ SELECT program, id, CASE WHEN n = 1 THEN description ELSE description || ' [found in ' || n || ' locations]' END AS description FROM r WHERE rn = 1""")
 def annotate_root_cause(spark, sf):
     return ops.annotate_root_cause(findings(spark, sf), scope=["program"]).select("program", "id", "description")
 

@@ -160,8 +160,7 @@ def assessment_score(spark, sf):
     sev = F.least(F.lit(5), F.col("l_linenumber"))
     counts = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         *[F.sum((sev == i + 1).cast("int")).alias(n) for i, n in enumerate(names)])
-    flags = F.flatten(F.array(*[F.array_repeat(F.lit(n), F.least(F.col(n), F.lit(320)).cast("int")) for n in names]))
-    return counts.select("l_orderkey", scores.assessment_score(flags).alias("score"))
+    return counts.select("l_orderkey", scores.assessment_score_of_counts({n: F.col(n) for n in names}).alias("score"))
 
 
 ASSESS_SQL = """assess AS (SELECT o_orderkey AS target, o_custkey AS analyst FROM orders), conf AS (SELECT l_orderkey AS target, l_suppkey AS analyst FROM lineitem),

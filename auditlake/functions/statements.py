@@ -50,9 +50,10 @@ def stmt_kind(code: Column) -> Column:
 
 # Words the assignment reader does not take for variables.
 NOT_VARIABLES = (
-    "let mut pub fn if else match return true false self Self as u8 u16 u32 u64 u128 i8 i16 i32 i64 i128 usize isize "
-    "bool str String Ok Err Some None Result Option Vec"
-).split()
+    "let", "mut", "pub", "fn", "if", "else", "match", "return", "true", "false", "self", "Self", "as", "u8", "u16", "u32",
+    "u64", "u128", "i8", "i16", "i32", "i64", "i128", "usize", "isize", "bool", "str", "String", "Ok", "Err", "Some", "None",
+    "Result", "Option", "Vec",
+)
 
 
 def variables(col: Column) -> Column:

@@ -60,9 +60,9 @@ def strip_spaces(col: Column) -> Column:
 
 # Type names and attribute openings a token printer spaces out, and the closers it separates.
 SPACED_TYPES = (
-    "Signer Account Program AccountInfo UncheckedAccount AccountLoader InterfaceAccount Interface SystemAccount Context Box "
-    "Option Vec Result CpiContext"
-).split()
+    "Signer", "Account", "Program", "AccountInfo", "UncheckedAccount", "AccountLoader", "InterfaceAccount", "Interface",
+    "SystemAccount", "Context", "Box", "Option", "Vec", "Result", "CpiContext",
+)
 SPACED_CLOSERS = ("'info", "TokenAccount", "Token", "Mint", "Vault", "System")
 SPACED_ATTRIBUTES = (("(signer )", "(signer)"), ("(mut )", "(mut)"), ("(mut , ", "(mut, "), ("(init , ", "(init, "))
 
@@ -84,9 +84,10 @@ def fn_names(col: Column, keyword: str = "fn") -> Column:
 
 # Words that are never identifiers.
 KEYWORDS = (
-    "let mut fn pub if else match for while loop return break continue in as ref move self Self "
-    "true false use mod struct enum impl trait where type const static unsafe async await dyn crate super"
-).split()
+    "let", "mut", "fn", "pub", "if", "else", "match", "for", "while", "loop", "return", "break", "continue", "in", "as",
+    "ref", "move", "self", "Self", "true", "false", "use", "mod", "struct", "enum", "impl", "trait", "where", "type", "const",
+    "static", "unsafe", "async", "await", "dyn", "crate", "super",
+)
 
 
 def identifiers(col: Column, keywords=KEYWORDS) -> Column:

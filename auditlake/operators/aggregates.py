@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import int_div
 from auditlake.functions.text import fingerprint
-from auditlake.session import small_side
 
 
 def consensus(votes: DataFrame, models: DataFrame, threshold: float = 0.6, floor: float = 0.5) -> DataFrame:
     """Weighted verdict per finding. votes: finding_id, model, verdict, confidence; models: model, weight."""
-    v = votes.join(small_side(models.select("model", "weight")), "model", "left")
+    v = votes.join(models.select("model", "weight"), "model", "left")
     w = F.coalesce(F.col("weight"), F.lit(1.0))
 
     def weight_of(name):
@@ -204,7 +203,7 @@ def baseline_anomalies(stats: DataFrame, baseline: DataFrame, threshold: float =
     deviation = F.abs(F.try_divide(F.col("observed") - F.col("expected"), F.col("expected")))
     severity = F.when(F.col("deviation") > 1.5, "High").when(F.col("deviation") > 1.0, "Medium").otherwise("Low")
     return (
-        stats.join(small_side(baseline), "metric").withColumn("deviation", deviation)
+        stats.join(baseline, "metric").withColumn("deviation", deviation)
         .filter(F.col("deviation") > threshold)
         .withColumn("severity", severity)
         .withColumn("confidence", F.least(F.lit(0.95), F.col("deviation") / 2))
@@ -224,7 +223,7 @@ def ensemble(findings: DataFrame, weights: DataFrame, threshold: float) -> DataF
         boost = F.when(F.col("severity") == name, F.lit(value)).otherwise(boost)
     factor = F.lit(0.5) + F.coalesce(F.col("weight"), F.lit(METHOD_OTHER))
     return (
-        findings.join(small_side(weights.select("method", "weight")), "method", "left")
+        findings.join(weights.select("method", "weight"), "method", "left")
         .withColumn("confidence", F.least(F.col("confidence") * factor * boost, F.lit(0.99)))
         .filter(F.col("confidence") >= threshold).drop("weight")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from auditlake.functions import statements as st
 from auditlake.functions.text import has, has_any, line_array
 from auditlake.operators.ordered import running_total
-from auditlake.session import small_side
 
 UNIT_KEYS = ["program", "file_path", "fn_name"]
 
@@ -408,6 +407,6 @@ def effects_after_calls(blocks: DataFrame, key: str = "fn", order: str = "block"
     """
     first = blocks.filter("is_call").groupBy(key).agg(F.min(order).alias("first_call"))
     counted = running_total(blocks, key, [order], F.col("is_call").cast("bigint"), bucket if bucket is not None else F.lit(0), "_calls")
-    effects = counted.filter("is_effect").join(small_side(first), key).filter(F.col(order) > F.col("first_call"))
+    effects = counted.filter("is_effect").join(first, key).filter(F.col(order) > F.col("first_call"))
     before = F.col("_calls") - F.col("is_call").cast("bigint")
     return effects.select(key, order, "first_call", before.alias("n_calls_before"))

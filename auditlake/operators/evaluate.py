@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators.findings import match_expected
-from auditlake.session import small_side
 
 
 def verdict(
@@ -35,7 +34,7 @@ def classify_findings(findings: DataFrame, programs: DataFrame) -> DataFrame:
     label = verdict(
         F.col("_cat"), F.col("severity"), F.col("confidence"), F.col("id"), F.col("_exp"), F.col("function_name")
     )
-    return findings.join(small_side(p), "program").withColumn("verdict", label).drop("_cat", "_exp")
+    return findings.join(p, "program").withColumn("verdict", label).drop("_cat", "_exp")
 
 
 def evaluate(findings: DataFrame, programs: DataFrame) -> DataFrame:

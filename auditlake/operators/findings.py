@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from auditlake.functions.numbers import clamp
 from auditlake.functions.text import basename, has, has_any
 from auditlake.operators.ordered import global_rank
-from auditlake.session import small_side
 
 
 def keep_first(df: DataFrame, keys, order) -> DataFrame:
@@ -117,9 +116,9 @@ def filter_categories(findings: DataFrame, allow=(), deny=()) -> DataFrame:
 
 # Ids that matter for a token's exit risk.
 RUG_IDS = (
-    "SOL-001 SOL-003 SOL-005 SOL-007 SOL-010 SOL-011 SOL-017 SOL-021 SOL-031 SOL-041 "
-    "SOL-048 SOL-053 SOL-054 SOL-055 SOL-056 SOL-057 SOL-058 SOL-064 SOL-067 SOL-068"
-).split()
+    "SOL-001", "SOL-003", "SOL-005", "SOL-007", "SOL-010", "SOL-011", "SOL-017", "SOL-021", "SOL-031", "SOL-041", "SOL-048",
+    "SOL-053", "SOL-054", "SOL-055", "SOL-056", "SOL-057", "SOL-058", "SOL-064", "SOL-067", "SOL-068",
+)
 
 
 def select_ids(findings: DataFrame, ids=RUG_IDS) -> DataFrame:
@@ -188,33 +187,12 @@ def root_cause_locations(findings: DataFrame, seq: str = "seq", scope: list[str]
     )
 
 
-def annotate_root_cause(
-    findings: DataFrame, seq: str = "seq", scope: list[str] | None = None, inline: int = 200
-) -> DataFrame:
-    """group_root_cause with the places written into the description.
-
-    A group with more than `inline` further places keeps its count in the description and leaves the
-    places to `root_cause_locations`.
-    """
-    keys = [*(scope or []), "id"]
-    primary = group_root_cause(findings, seq, scope)
-    short = primary.filter(F.col("n_locations") <= inline + 1).select(*keys)
-    places = (
-        root_cause_locations(findings, seq, scope)
-        .join(short, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(seq, "place"))).alias("_p"))
-        .select(*keys, F.array_join(F.transform("_p", lambda x: x["place"]), ", ").alias("_places"))
-    )
-    note = F.concat(
-        F.col("description"), F.lit(" [found in "), F.col("n_locations").cast("string"), F.lit(" locations"),
-        F.coalesce(F.concat(F.lit("; also in: "), F.col("_places")), F.lit("")), F.lit("]"),
-    )
-    return (
-        primary.join(places, keys, "left")
-        .withColumn("description", F.when(F.col("n_locations") > 1, note).otherwise(F.col("description")))
-        .drop("_places", "n_locations")
-    )
+def annotate_root_cause(findings: DataFrame, seq: str = "seq", scope: list[str] | None = None) -> DataFrame:
+    """group_root_cause with the number of places written into the description; the places themselves are `root_cause_locations`,
+    a table that can be as long as the findings."""
+    note = F.concat(F.col("description"), F.lit(" [found in "), F.col("n_locations").cast("string"), F.lit(" locations]"))
+    described = F.when(F.col("n_locations") > 1, note).otherwise(F.col("description"))
+    return group_root_cause(findings, seq, scope).withColumn("description", described).drop("n_locations")
 
 
 def diff_findings(before: DataFrame, after: DataFrame, keys=("id", "location", "function_name")) -> DataFrame:
@@ -302,7 +280,7 @@ def assign_confidence(
     kept = [c for c in findings.columns if c != "confidence"]
     return (
         findings.select(*kept)
-        .join(small_side(base.select("id", "base_confidence")), "id", "left")
+        .join(base.select("id", "base_confidence"), "id", "left")
         .join(context.select(by, "mitigated_ids", "maturity", "typed_ratio"), by, "left")
         .select(*kept, F.floor(clamp(value, 15.0, 95.0)).cast("int").alias("confidence"))
     )

@@ -16,20 +16,15 @@ from auditlake.functions.text import normalized_levenshtein
 
 STRUCTURAL = 0.95
 THRESHOLD = 0.75
-#: A legitimate list up to this many names travels inside the plan; a longer one is joined.
-INLINE_NAMES = 2_000
 
 
 def typosquats(names: DataFrame, legit, name: str = "name", threshold: float = THRESHOLD) -> DataFrame:
     """(name, likely_target, similarity) for each suspicious distinct name.
 
-    legit: list of names in order, or a DataFrame (pos, legit). Short lists are evaluated in one
-    narrow projection; long ones go through the blocked join.
+    legit: list of names in order, or a DataFrame (pos, legit).
     """
     distinct = names.select(F.col(name).alias("name")).distinct()
-    if isinstance(legit, list) and len(legit) <= INLINE_NAMES:
-        return _inline(distinct, legit, threshold)
-    if isinstance(legit, list):
+    if isinstance(legit, (list, tuple)):
         legit = names.sparkSession.createDataFrame(list(enumerate(legit)), "pos long, legit string")
     return _blocked(distinct, legit, threshold)
 
@@ -39,32 +34,6 @@ def _variants(lower: Column) -> list[Column]:
             F.replace(lower, F.lit("@"), F.lit(""))]
 
 
-def _inline(distinct: DataFrame, legit: list[str], threshold: float) -> DataFrame:
-    table = F.lit([x.lower() for x in legit])
-    shown = F.lit(list(legit))
-    n = F.lower(F.col("name"))
-    equal = F.array_position(table, n)
-    swaps = [F.array_position(table, v) for v in _variants(n)]
-    firsts = [F.when(s > 0, s) for s in swaps]
-    structural = F.least(*firsts)
-    df = distinct.withColumns({"_eq": F.when(equal > 0, equal), "_st": structural})
-    # an exact entry ends the search unless a structural match stands before it
-    df = df.filter(F.col("_eq").isNull() | (F.col("_st") < F.col("_eq")))
-    def close(x, i):
-        shorter, longer = F.least(F.length(x), F.length(n)), F.greatest(F.length(x), F.length(n))
-        sim = F.when(shorter > longer * threshold, normalized_levenshtein(n, x)).otherwise(F.lit(0.0))
-        return F.struct(sim.alias("sim"), (-i).alias("order"))
-
-    best = F.array_max(F.transform(table, close))
-    df = df.withColumn("_best", F.when(F.col("_st").isNull(), best))
-    df = df.filter(F.col("_st").isNotNull() | (F.col("_best.sim") > threshold))
-    target = F.when(F.col("_st").isNotNull(), F.element_at(shown, F.col("_st").cast("int"))).otherwise(
-        F.element_at(shown, (F.lit(1) - F.col("_best.order")).cast("int"))
-    )
-    sim = F.when(F.col("_st").isNotNull(), F.lit(STRUCTURAL)).otherwise(F.col("_best.sim"))
-    return df.select("name", target.alias("likely_target"), sim.alias("similarity"))
-
-
 def _pieces(col: Column, max_edits: Column) -> Column:
     """Cut a string into max_edits + 1 pieces: (offset, piece). An edit can spoil one piece only."""
     parts = max_edits + 1
@@ -80,7 +49,7 @@ def _pieces(col: Column, max_edits: Column) -> Column:
 
 
 def _blocked(distinct: DataFrame, legit: DataFrame, threshold: float) -> DataFrame:
-    """The same result by equi-joins only.
+    """Best match of each name by equi-joins only.
 
     sim > t means edits < (1-t)*longest, and longest < len(legit)/t, so at most
     k = ceil((1-t)/t*len) - 1 edits. One of k+1 pieces of the legitimate name then occurs unchanged

@@ -14,17 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import has_any
-from auditlake.session import RoundTable, small_side, write_cut
+from auditlake.session import RoundTable, write_cut
 
 
-def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None) -> DataFrame:
-    """Closure of start under step; one row per key, taken from the first round that reaches it."""
+def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None, whole: bool = False) -> DataFrame:
+    """Closure of start under step; one row per key, taken from the first round that reaches it. With whole, rounds that end before
+    the closure does are an error."""
     table = RoundTable(start.sparkSession)
     new, rounds = table.append(start.dropDuplicates(keys)), 0
     while new and (max_rounds is None or rounds < max_rounds):
         known = table.all().select(*keys)
         found = step(table.last()).dropDuplicates(keys).join(known, keys, "left_anti")
         new, rounds = table.append(found.select(*start.columns)), rounds + 1
+    if new and whole:
+        raise RuntimeError(f"not finished after {rounds} rounds: {new} rows are still new")
     return table.all()
 
 
@@ -74,7 +77,7 @@ def reachable_avoiding(edges: DataFrame, seeds: DataFrame, guards: DataFrame, ke
 
 
 def propagate_labels(
-    edges: DataFrame, sources: DataFrame, sanitizers: DataFrame | None = None, keys=(), max_rounds: int = 100
+    edges: DataFrame, sources: DataFrame, sanitizers: DataFrame | None = None, keys=(), max_rounds: int | None = None
 ) -> DataFrame:
     """Labels along edges: one row per (node, label) with its shortest path (smallest one on ties).
 
@@ -92,10 +95,10 @@ def propagate_labels(
             *keys, F.col("_to").alias("node"), "label", F.concat("path", F.array(F.col("_to").cast("string"))).alias("path"))
         return moved.groupBy(*keys, "node", "label").agg(F.min("path").alias("path"))
 
-    return grow(start, step, [*keys, "node", "label"], max_rounds)
+    return grow(start, step, [*keys, "node", "label"], max_rounds, True)
 
 
-def propagate_in_context(edges: DataFrame, sources: DataFrame, k: int = 3, keys=(), max_rounds: int = 100) -> DataFrame:
+def propagate_in_context(edges: DataFrame, sources: DataFrame, k: int = 3, keys=(), max_rounds: int | None = None) -> DataFrame:
     """Labels with their last k call sites. edges also carry `site` (null inside a function).
 
     Rows are keyed by (node, label, context): the same label under two call strings stays apart.
@@ -110,10 +113,10 @@ def propagate_in_context(edges: DataFrame, sources: DataFrame, k: int = 3, keys=
         return frontier.join(e, [*keys, "node"]).select(
             *keys, F.col("_to").alias("node"), "label", F.when(F.col("site").isNull(), F.col("context")).otherwise(cut).alias("context"))
 
-    return grow(start, step, [*keys, "node", "label", "context"], max_rounds)
+    return grow(start, step, [*keys, "node", "label", "context"], max_rounds, True)
 
 
-def propagate_with_conditions(edges: DataFrame, sources: DataFrame, keys=(), max_rounds: int = 100) -> DataFrame:
+def propagate_with_conditions(edges: DataFrame, sources: DataFrame, keys=(), max_rounds: int | None = None) -> DataFrame:
     """Labels with every branch condition met on some path: rows (node, label, condition).
 
     edges carry `cond` (null without one). The row with condition '' says the label arrives at all.
@@ -127,7 +130,7 @@ def propagate_with_conditions(edges: DataFrame, sources: DataFrame, keys=(), max
         return frontier.join(e, [*keys, "node"]).select(
             *keys, F.col("_to").alias("node"), "label", F.explode(carried).alias("condition"))
 
-    return grow(start, step, [*keys, "node", "label", "condition"], max_rounds)
+    return grow(start, step, [*keys, "node", "label", "condition"], max_rounds, True)
 
 
 # Severity of a flow by source kind and sink kind.
@@ -182,7 +185,7 @@ def raise_levels(
     e = _edges(edges, keys, ["lifts"])
     if caps is not None:
         c = caps.select(*keys, F.col("node").alias("_to"), "cap")
-        e = write_cut(e.join(small_side(c), [*keys, "_to"], "left"))
+        e = write_cut(e.join(c, [*keys, "_to"], "left"))
     else:
         e = e.withColumn("cap", F.lit(None).cast("int"))
     spark = seeds.sparkSession

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import clean_version, valid_program_id, version_listed
-from auditlake.session import small_side
 
 
 def enrich(findings: DataFrame, kb: DataFrame, fill: dict[str, str]) -> DataFrame:
@@ -17,7 +16,7 @@ def enrich(findings: DataFrame, kb: DataFrame, fill: dict[str, str]) -> DataFram
     wanted = sorted(set(fill.values()))
     rows = kb.select("pos", F.explode("detector_ids").alias("id"), F.struct(*wanted).alias("_kb"))
     first = rows.groupBy("id").agg(F.min_by("_kb", "pos").alias("_kb"))
-    joined = findings.join(small_side(first), "id", "left")
+    joined = findings.join(first, "id", "left")
     for target, source in fill.items():
         kept = F.col(target)
         if dict(findings.dtypes)[target] == "string":
@@ -43,7 +42,7 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, carry=("severity",
             F.col("_versions"),
         )
     )
-    return deps.join(small_side(adv), cond).drop("_name", "_eco", "_versions")
+    return deps.join(adv, cond).drop("_name", "_eco", "_versions")
 
 
 def _controls(spark, catalogue) -> DataFrame:
@@ -112,12 +111,12 @@ def deadline(severity: Column) -> Column:
 def suggest_fixes(findings: DataFrame, patterns: DataFrame, fixes: DataFrame) -> DataFrame:
     """id -> pattern -> fix text; findings without a pattern keep null."""
     table = patterns.join(fixes, "pattern", "left").select("id", "pattern", "fix")
-    return findings.join(small_side(table), "id", "left")
+    return findings.join(table, "id", "left")
 
 
 def insights(findings: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
     """Expert advice by id, left join on a small reference table."""
-    return findings.join(small_side(table), key, "left")
+    return findings.join(table, key, "left")
 
 
 # Transaction risk when the lookup knows nothing, and the limits of a safe one.
@@ -141,8 +140,8 @@ def assess_transactions(tx_programs: DataFrame, safe: DataFrame, scoreboard: Dat
         .otherwise(F.lit(UNKNOWN_RISK))
     )
     each = (
-        tx_programs.join(small_side(known), "program_id", "left")
-        .join(small_side(scores), "program_id", "left")
+        tx_programs.join(known, "program_id", "left")
+        .join(scores, "program_id", "left")
         .withColumn("risk", risk)
     )
     overall = F.floor(F.sum("risk") / F.count(F.lit(1))).cast("int")

@@ -17,6 +17,14 @@ def _names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _carry(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on the keys and the bucket in which nulls are equal."""
+    keys = [*keys, "_b"]
+    named = summary.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in summary.columns if c not in keys))
+    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, match, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def with_previous(df: DataFrame, keys, order, cols, bucket: Column | None = None, name: str = "prev") -> DataFrame:
     """Add `name`: struct of the previous row's cols within the key, null for the first row."""
     keys, order, cols = _names(keys), _names(order), _names(cols)
@@ -30,7 +38,7 @@ def with_previous(df: DataFrame, keys, order, cols, bucket: Column | None = None
     carry = last.select(
         *keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry")
     )
-    joined = inner.join(carry, [*keys, "_b"], "left")
+    joined = _carry(inner, carry, keys)
     picked = F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_p"))
     return joined.withColumn(name, picked).drop("_b", "_p", "_n", "_carry")
 
@@ -50,7 +58,7 @@ def fill_forward(df: DataFrame, keys, order, col: str, bucket: Column | None = N
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*keys, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     return (
-        inner.join(carry, [*keys, "_b"], "left")
+        _carry(inner, carry, keys)
         .withColumn(name, F.coalesce("_f", "_carry"))
         .drop("_b", "_f", "_carry")
     )
@@ -66,7 +74,7 @@ def running_total(df: DataFrame, keys, order, value: Column, bucket: Column, nam
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(*keys, "_b", F.sum("_sum").over(before).alias("_carry"))
     return (
-        inner.join(carry, [*keys, "_b"])
+        _carry(inner, carry, keys)
         .withColumn(name, F.col("_s") + F.coalesce(F.col("_carry"), F.lit(0)))
         .drop("_b", "_v", "_s", "_carry")
     )
@@ -105,7 +113,7 @@ def nearest_marks(
     edge = df.groupBy(*keys, "_b").agg(F.max("_m").alias("_hi"), F.min("_m").alias("_lo"))
     below = edge.select(*keys, (F.col("_b") + 1).alias("_b"), F.col("_hi"))
     above = edge.select(*keys, (F.col("_b") - 1).alias("_b"), F.col("_lo"))
-    out = inner.join(below, [*keys, "_b"], "left").join(above, [*keys, "_b"], "left")
+    out = _carry(_carry(inner, below, keys), above, keys)
     out = out.withColumn(prev, F.coalesce("_p", "_hi")).withColumn(nxt, F.coalesce("_q", "_lo"))
     out = out.withColumn(prev, F.when(F.col(pos) - F.col(prev) <= width, F.col(prev)))
     out = out.withColumn(nxt, F.when(F.col(nxt) - F.col(pos) <= width, F.col(nxt)))

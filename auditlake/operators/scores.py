@@ -281,6 +281,12 @@ FLAG_WEIGHTS = {"Info": 1, "Low": 3, "Medium": 5, "High": 8, "Critical": 10}
 FLAG_FULL = 320
 
 
+def assessment_score_of_counts(counts: dict[str, Column], weights=FLAG_WEIGHTS, full: int = FLAG_FULL) -> Column:
+    """The same from the number of flags of each severity, so that a target with many flags stays a few numbers."""
+    total = sum((F.coalesce(n, F.lit(0)).cast("long") * weights.get(name, 0) for name, n in counts.items()), F.lit(0).cast("long"))
+    return F.least(int_div(total * 100, full), F.lit(100)).cast("int")
+
+
 def assessment_score(flags: Column, weights=FLAG_WEIGHTS, full: int = FLAG_FULL) -> Column:
     """Whole-number score of an array of flag severities."""
     def weight(x):

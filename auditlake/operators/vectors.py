@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import cosine, rms_deviation
-from auditlake.session import small_side
 
 EMBEDDING_DIM = 128
 DEFAULT_WEIGHT = 0.1
@@ -78,7 +77,7 @@ def nearest_patterns(vectors: DataFrame, patterns: DataFrame, key: str, vector:
     blocks = packed.groupBy("_block").agg(F.collect_list("_p").alias("_patterns"))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     side = vectors.select(key, F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt"))
-    small = small_side(patterns)
+    small = patterns
     if small is not patterns:
         met = side.withColumn("_block", numbers).join(F.broadcast(blocks), "_block")
     else:
@@ -133,5 +132,5 @@ def vector_deviation(vectors: DataFrame, node: str = "node", vector: str = "feat
     keyed = vectors.withColumn("_g", group)
     mean = keyed.groupBy("_g").agg(*[F.avg(v[i]).alias(f"_{i}") for i in range(dim)])
     mean = mean.select("_g", F.array(*[F.col(f"_{i}") for i in range(dim)]).alias("_mean"))
-    joined = keyed.join(small_side(mean) if by else F.broadcast(mean), "_g")  # without groups: one row
+    joined = keyed.join(mean if by else F.broadcast(mean), "_g")  # without groups: one row
     return joined.select(*vectors.columns, rms_deviation(v, F.col("_mean")).alias("deviation"))

@@ -45,7 +45,7 @@ class DetectorSet:
                 found.schema  # analysis errors of lazy plans surface here
                 parts.append(found)
             except Exception as e:  # noqa: BLE001 - any failure of a plug-in becomes a row
-                errors.append((d.name, d.version, type(e).__name__, str(e)[:500]))
+                errors.append((d.name, d.version, type(e).__name__, str(e)))
         problems = df.sparkSession.createDataFrame(errors, "detector string, detector_version string, error string, message string")
         if not parts:
             return None, problems

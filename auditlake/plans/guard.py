@@ -9,7 +9,6 @@ from auditlake.operators.fuzzy import typosquats
 from auditlake.operators.lookups import match_advisories
 from auditlake.operators.scores import guard_risk
 from auditlake.rules.packs import LEGIT_CARGO, LEGIT_NPM, scan_dependency_sources, scan_hooks
-from auditlake.session import small_side
 from auditlake.sources.manifests import read_cargo_manifests, read_npm_manifests, read_npm_scripts
 
 COLUMNS = ["manifest", "package_name", "version", "ecosystem", "severity", "category", "title"]
@@ -26,7 +25,7 @@ def typosquat_findings(deps: DataFrame, legit: list[str]) -> DataFrame:
     """Names are compared once each, then joined back to the manifests that use them."""
     squats = typosquats(deps, legit)
     title = F.concat(F.lit("Possible typosquat: `"), "name", F.lit("` looks like `"), "likely_target", F.lit("`"))
-    return deps.join(small_side(squats), "name").select(
+    return deps.join(squats, "name").select(
         "manifest", F.col("name").alias("package_name"), "version", "ecosystem", F.lit("High").alias("severity"),
         F.lit("Typosquat").alias("category"), title.alias("title"))
 

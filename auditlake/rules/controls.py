@@ -29,14 +29,14 @@ OWASP_SCS = [
     ("OWASPSCS", "SCS-09", "Event Emission", ["SOL-064"]),
     ("OWASPSCS", "SCS-10", "Upgrade Safety", ["SOL-058", "SOL-067"]),
 ]
-CHAIN_FOUNDATION = [
-    ("Foundation", "SF-01", "Signer Verification", ["SOL-001"]),
-    ("Foundation", "SF-02", "Account Ownership", ["SOL-003", "SOL-007"]),
-    ("Foundation", "SF-03", "PDA Validation", ["SOL-005", "SOL-010"]),
-    ("Foundation", "SF-04", "Integer Safety", ["SOL-021", "SOL-041"]),
-    ("Foundation", "SF-05", "CPI Safety", ["SOL-031", "SOL-056"]),
-    ("Foundation", "SF-06", "Account Closure", ["SOL-011", "SOL-048"]),
-    ("Foundation", "SF-07", "Reentrancy Guards", ["SOL-017"]),
-    ("Foundation", "SF-08", "Authority Management", ["SOL-053", "SOL-054", "SOL-055"]),
+SOLANA_FOUNDATION = [
+    ("SolanaFoundation", "SF-01", "Signer Verification", ["SOL-001"]),
+    ("SolanaFoundation", "SF-02", "Account Ownership", ["SOL-003", "SOL-007"]),
+    ("SolanaFoundation", "SF-03", "PDA Validation", ["SOL-005", "SOL-010"]),
+    ("SolanaFoundation", "SF-04", "Integer Safety", ["SOL-021", "SOL-041"]),
+    ("SolanaFoundation", "SF-05", "CPI Safety", ["SOL-031", "SOL-056"]),
+    ("SolanaFoundation", "SF-06", "Account Closure", ["SOL-011", "SOL-048"]),
+    ("SolanaFoundation", "SF-07", "Reentrancy Guards", ["SOL-017"]),
+    ("SolanaFoundation", "SF-08", "Authority Management", ["SOL-053", "SOL-054", "SOL-055"]),
 ]
-FRAMEWORKS = {"SOC2": SOC2, "ISO27001": ISO27001, "OWASPSCS": OWASP_SCS, "Foundation": CHAIN_FOUNDATION}
+FRAMEWORKS = {"SOC2": SOC2, "ISO27001": ISO27001, "OWASPSCS": OWASP_SCS, "SolanaFoundation": SOLANA_FOUNDATION}

@@ -10,7 +10,7 @@ the rules are boolean expressions over its bits in the JVM. Small packs use `con
 
 from __future__ import annotations
 
-from importlib.util import find_spec
+from functools import lru_cache
 from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
@@ -76,8 +76,6 @@ def rule(rule_id, name, severity, when, *, emitted=None, base=None, tests=True,
     }
 
 
-#: Packs with at least this many distinct tokens are matched in one pass over the text.
-ONE_PASS_TOKENS = 48
 _SKIP = ("line", "lower", "within", "regex", "flag")
 
 
@@ -164,21 +162,28 @@ def condition(tree, text: str, test=None) -> Column:
     return F.expr(condition_sql(tree, text, test))
 
 
-def _marker(tokens: list[str]):
-    """Arrow UDF text -> array of 64-bit words; bit i says whether tokens[i] occurs."""
+@lru_cache(maxsize=16)
+def _machine(tokens: tuple[str, ...]):
+    """Automaton over the tokens, built once in a worker."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for i, token in enumerate(tokens):
+        machine.add_word(token, i)
+    machine.make_automaton()
+    return machine
+
+
+def _marker(tokens: tuple[str, ...]):
+    """Arrow UDF text -> array of 64-bit words; bit i says whether tokens[i] occurs. A null text is empty."""
     import pandas as pd
 
     words = (len(tokens) + 63) // 64
 
     def mark(texts: pd.Series) -> pd.Series:
-        import ahocorasick
         import numpy as np
 
-        machine = ahocorasick.Automaton()
-        for i, token in enumerate(tokens):
-            machine.add_word(token, i)
-        machine.make_automaton()
-        second = itemgetter(1)
+        machine, second = _machine(tokens), itemgetter(1)
 
         def bits(text):
             found = 0
@@ -193,9 +198,10 @@ def _marker(tokens: list[str]):
 
 
 def with_token_test(df: DataFrame, trees, text: str):
-    """(df, test): df prepared so that test(token) is cheap SQL, for all tokens of the trees."""
-    tokens = list(dict.fromkeys(t for tree in trees for t in tokens_of(tree) if t))
-    if len(tokens) < ONE_PASS_TOKENS or find_spec("ahocorasick") is None:
+    """(df, test): df prepared so that test(token) is cheap SQL, for all tokens of the trees. A null text counts as empty."""
+    df = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    tokens = tuple(dict.fromkeys(t for tree in trees for t in tokens_of(tree) if t))
+    if not tokens:
         return df, None
     place = {t: i for i, t in enumerate(tokens)}
     marked = df.withColumn("_bits", _marker(tokens)(F.col(text)))

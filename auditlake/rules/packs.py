@@ -45,11 +45,11 @@ PROTOCOL_FIELDS = {
     "token": ((1, "^mint$|^supply$|decimals"),),
 }
 PROTOCOL_FUNCTIONS = {
-    "amm": ((3, "swap exchange trade"), (2, "add_liquidity remove_liquidity deposit_liquidity")),
-    "lending": ((3, "borrow repay liquidate"), (2, "deposit_collateral withdraw_collateral")),
-    "staking": ((3, "stake unstake claim_rewards"),),
-    "aggregator": ((3, "route aggregate multi_hop"),),
-    "token": ((1, "mint_to burn transfer"),),
+    "amm": ((3, ("swap", "exchange", "trade")), (2, ("add_liquidity", "remove_liquidity", "deposit_liquidity"))),
+    "lending": ((3, ("borrow", "repay", "liquidate")), (2, ("deposit_collateral", "withdraw_collateral"))),
+    "staking": ((3, ("stake", "unstake", "claim_rewards")),),
+    "aggregator": ((3, ("route", "aggregate", "multi_hop")),),
+    "token": ((1, ("mint_to", "burn", "transfer")),),
 }
 PROTOCOL_NAMES = {"amm": "Amm", "lending": "Lending", "staking": "Staking", "aggregator": "Aggregator", "token": "Token"}
 
@@ -65,7 +65,7 @@ def classify_protocol(fields: DataFrame, functions: DataFrame, by: str) -> DataF
     ])
     fn = F.col("fn_name")
     fn_score = functions.select(by, *[
-        sum((F.when(fn.isin(*names.split()), w).otherwise(0) for w, names in signals), F.lit(0)).alias(kind)
+        sum((F.when(fn.isin(*names), w).otherwise(0) for w, names in signals), F.lit(0)).alias(kind)
         for kind, signals in PROTOCOL_FUNCTIONS.items()
     ])
     kinds = list(PROTOCOL_NAMES)
@@ -343,22 +343,22 @@ def scan_dependency_sources(deps: DataFrame, path: str = "path", git: str = "git
 
 
 LEGIT_NPM = (
-    "@solana/web3.js @solana/spl-token @solana/spl-account-compression @solana/spl-memo @solana/spl-name-service "
-    "@solana/spl-stake-pool @solana/spl-token-lending @solana/spl-governance @solana/wallet-adapter-base "
-    "@solana/wallet-adapter-react @solana/wallet-adapter-wallets @coral-xyz/anchor @coral-xyz/borsh "
-    "@metaplex-foundation/mpl-token-metadata @metaplex-foundation/umi @metaplex-foundation/mpl-bubblegum @solana/pay "
-    "@solana/buffer-layout @solana/spl-token-registry @project-serum/anchor @project-serum/serum @solflare-wallet/sdk "
-    "@phantom/wallet-sdk @raydium-io/raydium-sdk @orca-so/whirlpools-sdk @jup-ag/core @jup-ag/api "
-    "@marinade.finance/marinade-ts-sdk @switchboard-xyz/solana.js @pyth-network/client borsh bn.js bs58 tweetnacl "
-    "buffer-layout solana-bankrun"
-).split()
+    "@solana/web3.js", "@solana/spl-token", "@solana/spl-account-compression", "@solana/spl-memo", "@solana/spl-name-service",
+    "@solana/spl-stake-pool", "@solana/spl-token-lending", "@solana/spl-governance", "@solana/wallet-adapter-base",
+    "@solana/wallet-adapter-react", "@solana/wallet-adapter-wallets", "@coral-xyz/anchor", "@coral-xyz/borsh",
+    "@metaplex-foundation/mpl-token-metadata", "@metaplex-foundation/umi", "@metaplex-foundation/mpl-bubblegum",
+    "@solana/pay", "@solana/buffer-layout", "@solana/spl-token-registry", "@project-serum/anchor", "@project-serum/serum",
+    "@solflare-wallet/sdk", "@phantom/wallet-sdk", "@raydium-io/raydium-sdk", "@orca-so/whirlpools-sdk", "@jup-ag/core",
+    "@jup-ag/api", "@marinade.finance/marinade-ts-sdk", "@switchboard-xyz/solana.js", "@pyth-network/client", "borsh",
+    "bn.js", "bs58", "tweetnacl", "buffer-layout", "solana-bankrun",
+)
 LEGIT_CARGO = (
-    "solana-sdk solana-program solana-client solana-cli solana-transaction-status solana-account-decoder solana-rpc "
-    "solana-program-test solana-banks-client solana-clap-utils solana-logger solana-measure solana-metrics anchor-lang "
-    "anchor-spl anchor-client anchor-syn spl-token spl-token-2022 spl-associated-token-account spl-memo spl-name-service "
-    "spl-stake-pool spl-governance mpl-token-metadata mpl-bubblegum pyth-sdk-solana switchboard-solana clockwork-sdk "
-    "borsh bs58"
-).split()
+    "solana-sdk", "solana-program", "solana-client", "solana-cli", "solana-transaction-status", "solana-account-decoder",
+    "solana-rpc", "solana-program-test", "solana-banks-client", "solana-clap-utils", "solana-logger", "solana-measure",
+    "solana-metrics", "anchor-lang", "anchor-spl", "anchor-client", "anchor-syn", "spl-token", "spl-token-2022",
+    "spl-associated-token-account", "spl-memo", "spl-name-service", "spl-stake-pool", "spl-governance", "mpl-token-metadata",
+    "mpl-bubblegum", "pyth-sdk-solana", "switchboard-solana", "clockwork-sdk", "borsh", "bs58",
+)
 
 # --- runtime differences ------------------------------------------------------------------------
 
@@ -442,9 +442,9 @@ def compatibility_warnings(df: DataFrame, text: str = "content", keep: list[str]
 
 AUTHORITY_WORDS = ("authority", "admin", "owner", "governance", "governor", "payer", "creator", "manager", "operator", "multisig", "signer")
 PRIVILEGED = (
-    "authority admin owner manager operator governance guardian multisig payer fee_authority update_authority withdraw_authority "
-    "close_authority freeze_authority mint_authority"
-).split()
+    "authority", "admin", "owner", "manager", "operator", "governance", "guardian", "multisig", "payer", "fee_authority",
+    "update_authority", "withdraw_authority", "close_authority", "freeze_authority", "mint_authority",
+)
 PDA_WORDS = ("pda", "vault", "pool", "config", "state", "escrow", "treasury")
 RELATED = (("source", "dest"), ("from", "to"), ("sender", "receiver"), ("sender", "recipient"), ("input", "output"), ("user", "vault"),
            ("deposit", "withdraw"), ("token_a", "token_b"), ("base", "quote"), ("pool", "user"))

@@ -74,16 +74,6 @@ class RoundTable:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
-#: Largest side, in bytes as Spark estimates them, that may be broadcast by hint.
-BROADCAST_BYTES = 64 << 20
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the optimizer's size estimate proves the side small."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= limit else df
-
-
 #: Inputs below this estimate are spread over all cores before CPU-heavy narrow work.
 SPREAD_BYTES = 1 << 30
 

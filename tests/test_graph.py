@@ -78,6 +78,14 @@ def test_labels_paths_and_guards(spark):
     assert {(r["src"], r["connected"]) for r in graph.has_path(edges, pairs).collect()} == {("a", True), ("t", False)}
 
 
+def test_labels_reach_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(104)], "src string, dst string")
+    sources = spark.createDataFrame([("n0", "x")], "node string, label string")
+    assert graph.propagate_labels(edges, sources).filter("node = 'n104'").count() == 1
+    with pytest.raises(RuntimeError, match="not finished after 3 rounds"):
+        graph.propagate_labels(edges, sources, max_rounds=3)
+
+
 def test_context_strings_are_cut(spark):
     edges = spark.createDataFrame([("a", "b", "s1"), ("b", "c", "s2"), ("c", "a", "s3"), ("c", "d", None)], "src string, dst string, site string")
     src = spark.createDataFrame([("a", "L")], "node string, label string")

@@ -59,8 +59,6 @@ def test_nearest_patterns_many_blocks(spark, monkeypatch):
     v = spark.createDataFrame(vecs, "id int, embedding array<double>")
     want = {i: f"p{i}" for i in range(12)}
     assert {r["id"]: r["pattern"] for r in vectors.nearest_patterns(v, p, "id").collect()} == want
-    monkeypatch.setattr(vectors, "small_side", lambda df: df)
-    assert {r["id"]: r["pattern"] for r in vectors.nearest_patterns(v, p, "id").collect()} == want
 
 
 def test_embedding_is_normalised_and_positional(spark):

@@ -9,7 +9,7 @@ from auditlake.operators.ordered import fill_forward, global_rank, nearest_marks
 
 def skewed(spark, n=600, seed=3):
     rng = random.Random(seed)
-    data = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(8)}", i, rng.choice([None, "a", "b", "c"]), rng.randrange(50)) for i in range(n)]
+    data = [("hot" if rng.random() < 0.6 else rng.choice([None, *(f"k{k}" for k in range(8))]), i, rng.choice([None, "a", "b", "c"]), rng.randrange(50)) for i in range(n)]
     return spark.createDataFrame(data, "k string, pos long, v string, x long").repartition(5), data
 
 

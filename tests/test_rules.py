@@ -7,7 +7,7 @@ import pytest
 from auditlake.plans.scan import ALL_RULES, raw_findings, validated_findings
 from auditlake.rules import packs
 from auditlake.rules.core_pack import CORE
-from auditlake.rules.engine import rule_hits, scan_rules, some, tokens_of
+from auditlake.rules.engine import none, rule, rule_hits, scan_rules, some, tokens_of
 from auditlake.rules.structure_pack import STRUCTURE
 from auditlake.sources.corpus import extract_units, source_string, units_with_context
 
@@ -64,7 +64,7 @@ def test_one_pass_and_plain_lookup_agree(spark, monkeypatch, rows):
 
     df = spark.createDataFrame([(i, t) for i, t in enumerate(random_texts(CORE, 80, 9))], "n int, code string")
     fast = rows(rule_hits(df, CORE, "code", ["n"]))
-    monkeypatch.setattr(engine, "ONE_PASS_TOKENS", 10**9)
+    monkeypatch.setattr(engine, "with_token_test", lambda df, trees, text: (df, None))
     assert rows(rule_hits(df, CORE, "code", ["n"])) == fast
 
 
@@ -160,3 +160,18 @@ def test_callbacks_and_custom_rules(spark):
     assert [r["n"] for r in scan_callbacks(df, {"LEN": lambda s: s.str.len() > 2}).collect()] == [1]
     own = [rule("X-1", "has b", 2, some("b"))]
     assert [(r["n"], r["id"], r["severity"]) for r in scan_rules(df, own).collect()] == [(2, "X-1", 2)]
+
+
+def test_same_named_files_keep_their_findings(spark):
+    files = source_string(spark, VULNERABLE, "programs/a/mod.rs", "a").unionByName(source_string(spark, VULNERABLE, "programs/b/mod.rs", "a"))
+    places = validated_findings(files).select("id", "n_locations").collect()
+    alone = {r["id"]: r["n_locations"] for r in validated_findings(source_string(spark, VULNERABLE, "programs/a/mod.rs", "a")).collect()}
+    assert {r["id"]: r["n_locations"] for r in places if r["id"] in alone} == {k: 2 * n for k, n in alone.items()}
+
+
+@pytest.mark.parametrize("tokens", [3, 60])
+def test_a_null_text_is_an_empty_text(spark, tokens):
+    names = [f"token{k}" for k in range(tokens)]
+    rules = [rule("X-1", "absent", 3, none(*names)), rule("X-2", "present", 3, some(*names))]
+    units = spark.createDataFrame([(1, None), (2, ""), (3, "a token1 b")], "n int, code string")
+    assert {(r["n"], r["id"]) for r in scan_rules(units, rules).collect()} == {(1, "X-1"), (2, "X-1"), (3, "X-2")}
