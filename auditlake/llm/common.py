@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.session import shared_folder, write_cut
+from auditlake import session
+from auditlake.session import shared_folder
 
 __all__ = ["shared_folder", "write_cut"]
 
@@ -21,6 +22,8 @@ SPACE_PATTERN = "[\\x20\\x09-\\x0D]+"
 LOOKUP_ROWS = 50_000
 #: Copies of a larger lookup table over which the rows of a hot key are dealt.
 LOOKUP_SALTS = 16
+#: Rows that pass to Python at once; texts and arrays of shingles make rows long.
+BATCH_ROWS = 1_000
 #: Bytes of text hashed at once.
 CHUNK_BYTES = 1 << 19
 
@@ -33,6 +36,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session passes at most BATCH_ROWS rows to Python at once. It stays so, because results are lazy."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def write_cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back, in short batches."""
+    short_batches(df.sparkSession)
+    return session.write_cut(df)
+
+
 # ---------------------------------------------------------------- column helpers
 
 

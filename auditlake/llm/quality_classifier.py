@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.llm.common import Words, grams, inside, learns, span_hashes, table, text_chunks
+from auditlake.llm.common import Words, grams, inside, learns, short_batches, span_hashes, table, text_chunks
 
 #: Weights (a power of two), labelled rows used for training at most (expected number of a hash sample), shards and passes.
 DIMENSIONS, SAMPLE, SHARDS, PASSES = 1 << 18, 20_000, 8, 4
@@ -88,6 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
     smallest hashes of their ids; the sample is bounded, so its ids are broadcast and no text is shuffled but its features are.
     Null labels and rows without a text are left out, of repeated labels the greater counts; with a single class the intercept
     alone is learnt."""
+    short_batches(docs.sparkSession)
     rows = labels.select("doc_id", target).where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).where(learns(F.col("doc_id"), FOLDS, HELD))
     known = rows.groupBy("doc_id").agg((F.max(target) > 0).cast("int").alias("__label"))
     parts = max(1.0, known.count() / sample)
@@ -131,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs with a new column __score (0 to 1) for the whole text; a text without words has the score of the intercept. Nulls count
     as empty, other columns pass through. The weights have a fixed size and go to every task."""
+    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     at = docs.columns.index("text")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.llm.common import Words, grams, inside, keep_ids, table, text_chunks, write_cut
+from auditlake.llm.common import Words, grams, inside, keep_ids, short_batches, table, text_chunks, write_cut
 
 #: Words of a passage, fewest words of a level, bits a posted window and greatest bits of the slots between levels.
 LENGTH, SHORTEST, BITS_EACH, MOST_BITS = 13, 6, 16, 1 << 30
@@ -141,6 +141,7 @@ def _bits(docs_words: int) -> int:
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, hash): the windows of each document whose words also start in a document with a smaller id."""
+    short_batches(docs.sparkSession)
     steps, sent = levels(length), []
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0

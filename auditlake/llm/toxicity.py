@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from auditlake.llm.common import LOWER, Words, learns, pack_arrays, span_hashes, sum_arrays, table, text_chunks, unpack_arrays, write_cut
+from auditlake.llm.common import LOWER, Words, learns, pack_arrays, short_batches, span_hashes, sum_arrays, table, text_chunks, unpack_arrays, write_cut
 
 #: Slots for words and for stems (powers of two), blocks in which their counts travel.
 WORDS, STEMS, BLOCKS = 1 << 21, 1 << 18, 64
@@ -163,6 +163,7 @@ def _curve(rows: DataFrame, rounds: int = 15) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> tuple[Model, np.ndarray]:
     """Model and curve from all labelled training rows. The curve is fitted on each half's rows under the other half's counts. Null
     labels are left out, of repeated labels the greater counts; without training rows every text scores one half."""
+    short_batches(docs.sparkSession)
     rows = labels.select("doc_id", target).where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).where(learns(F.col("doc_id"), FOLDS, HELD))
     known = rows.groupBy("doc_id").agg((F.max(target) > 0).cast("int").alias("__label"))
     known = F.broadcast(known) if known.count() <= LABEL_ROWS else known
