@@ -14,7 +14,7 @@ HEADLINE = (
     "plan_scoreboard", "dedupe_best", "cap_by_severity", "assign_confidence", "enrich", "control_status", "consensus", "evaluate",
     "typosquats", "match_advisories", "plan_guard", "rules_core_documents", "rules_core", "project_context", "account_fields",
     "authority_changes", "verification_lag", "near", "token_bucket", "monotone", "reachable", "propagate_labels", "dominators",
-    "reaching_definitions", "ctl_ef", "message_pass", "nearest_patterns", "stream_authority",
+    "reaching_definitions", "ctl_ef", "plan_scan", "message_pass", "nearest_patterns", "stream_authority",
 )
 
 
