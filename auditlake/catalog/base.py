@@ -82,16 +82,16 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def call_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Directed call graph: part -> supplier on a returned line, supplier -> part on an accepted one."""
+    """Directed call graph of all lines: supplier -> part on an accepted one, part -> supplier on any other."""
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     supp = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    out = F.col("l_returnflag") == "R"
-    li = table(spark, sf, "lineitem").filter("l_returnflag in ('R', 'A')")
+    out = F.col("l_returnflag") != "A"
+    li = table(spark, sf, "lineitem")
     return li.select(F.when(out, part).otherwise(supp).alias("src"), F.when(out, supp).otherwise(part).alias("dst")).distinct()
 
 
-EDGES_SQL = """edges AS (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS src,
-  CASE WHEN l_returnflag = 'R' THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS dst FROM lineitem WHERE l_returnflag IN ('R', 'A'))"""
+EDGES_SQL = """edges AS (SELECT DISTINCT CASE WHEN l_returnflag <> 'A' THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS src,
+  CASE WHEN l_returnflag <> 'A' THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS dst FROM lineitem)"""
 
 
 def user_steps(spark: SparkSession, sf: str) -> DataFrame:

@@ -121,7 +121,7 @@ def raise_levels(spark, sf):
     return graph.raise_levels(edges.withColumn("lifts", F.coalesce(lifts, F.lit(False))), seeds, caps=caps)
 
 
-FLOW_SQL = """flows AS (SELECT user_id, src, dst FROM edges WHERE src <> 'error'), bound AS (SELECT user_id, dst AS node FROM flows UNION SELECT user_id, node FROM seeds0),
+FLOW_SQL = """flows AS (SELECT user_id, src, dst FROM edges), bound AS (SELECT user_id, dst AS node FROM flows UNION SELECT user_id, node FROM seeds0),
  lab(user_id, node, level) AS (SELECT user_id, node, level FROM seeds0 UNION SELECT DISTINCT user_id, src, 4 FROM flows f WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.user_id = f.user_id AND b.node = f.src) UNION SELECT user_id, dst, 0 FROM flows),
  seen(user_id, node, level) AS (SELECT * FROM lab UNION SELECT s.user_id, f.dst, least(s.level, CASE WHEN f.dst = 'view' THEN 2 ELSE 9 END) FROM seen s JOIN flows f ON f.user_id = s.user_id AND f.src = s.node),
  levels AS (SELECT user_id, node, CAST(max(level) AS INTEGER) AS level FROM seen GROUP BY ALL)"""
@@ -129,8 +129,7 @@ FLOW_SEEDS = "seeds0 AS (SELECT user_id, node, CASE node WHEN 'signup' THEN 3 WH
 
 
 def _flow_labels(spark, sf):
-    edges, entries = user_graph(spark, sf)
-    flows = edges.filter("src <> 'error'")
+    flows, entries = user_graph(spark, sf)
     seeds = entries.withColumn("level", F.when(F.col("node") == "signup", 3).when(F.col("node") == "click", 2).otherwise(1))
     caps = flows.filter("dst = 'view'").select("user_id", F.col("dst").alias("node"), F.lit(2).alias("cap")).distinct()
     return graph.flow_labels(flows.filter("dst <> 'purchase'"), seeds, flows.filter("dst = 'purchase'"), caps, ["user_id"])
@@ -218,15 +217,15 @@ def unguarded(spark, sf):
 
 # --- data flow ------------------------------------------------------------------------------------
 
-DEFS_SQL = """defs AS (SELECT user_id, event_type AS node, dayofweek(ts) AS var, min(event_id) AS def_id FROM events WHERE value >= 60 GROUP BY ALL),
- uses AS (SELECT user_id, event_type AS node, dayofweek(ts) AS var, min(event_id) AS use_id FROM events WHERE value < 20 GROUP BY ALL)"""
+DEFS_SQL = """defs AS (SELECT user_id, event_type AS node, dayofweek(ts) AS var, min(event_id) AS def_id FROM events WHERE value >= 40 GROUP BY ALL),
+ uses AS (SELECT user_id, event_type AS node, dayofweek(ts) AS var, min(event_id) AS use_id FROM events WHERE value < 40 GROUP BY ALL)"""
 
 
 def defs_uses(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.col("event_type").alias("node"), (F.dayofweek("ts") - 1).cast("bigint").alias("var"), "event_id", "value")
     keys = ["user_id", "node", "var"]
-    return (e.filter("value >= 60").groupBy(*keys).agg(F.min("event_id").alias("def_id")),
-            e.filter("value < 20").groupBy(*keys).agg(F.min("event_id").alias("use_id")))
+    return (e.filter("value >= 40").groupBy(*keys).agg(F.min("event_id").alias("def_id")),
+            e.filter("value < 40").groupBy(*keys).agg(F.min("event_id").alias("use_id")))
 
 
 REACH_SQL = """rd(user_id, node, var, def_id) AS (SELECT d.user_id, e.dst, d.var, d.def_id FROM defs d JOIN edges e ON e.user_id = d.user_id AND e.src = d.node
@@ -339,8 +338,6 @@ CTL_SQL = f"""WITH RECURSIVE {STEPS_SQL}, st AS (SELECT DISTINCT user_id, event_
 
 def _system(spark, sf):
     edges, entries = user_graph(spark, sf)
-    # a step back to 'view' ends the observed process, so some states have no successor
-    edges = edges.filter("src <> 'view' and src <> dst")
     e = table(spark, sf, "events")
     states = e.groupBy("user_id", F.col("event_type").alias("state")).agg(F.max(F.floor("value")).alias("top"), F.count(F.lit(1)).alias("n"))
     states = states.join(entries.select("user_id", F.col("node").alias("state"), F.lit(True).alias("_i")), ["user_id", "state"], "left").select(
@@ -350,7 +347,7 @@ def _system(spark, sf):
 
 
 TS_SQL = f"""WITH RECURSIVE {STEPS_SQL}, st AS (SELECT user_id, event_type AS state, CAST(max(floor(value)) AS BIGINT) AS top, count(*) > 10 AS busy FROM events GROUP BY ALL),
- tr AS (SELECT * FROM edges WHERE src <> 'view' AND src <> dst), deg AS (SELECT user_id, src, count(*) AS k FROM tr GROUP BY ALL)"""
+ tr AS (SELECT * FROM edges), deg AS (SELECT user_id, src, count(*) AS k FROM tr GROUP BY ALL)"""
 
 
 @query("ctl_ef", f"{TS_SQL}, z(user_id, state) AS (SELECT user_id, state FROM st WHERE state = 'purchase' UNION SELECT t.user_id, t.src FROM z JOIN tr t ON t.user_id = z.user_id AND t.dst = z.state) SELECT * FROM z")

@@ -240,7 +240,7 @@ def phase_report(spark, sf):
 
 
 @query("degrees", """SELECT 'p' || p_partkey AS node, (SELECT 0)::BIGINT + coalesce(o, 0) AS out_degree, coalesce(i, 0)::BIGINT AS in_degree FROM part
- LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) FILTER (l_returnflag = 'R') AS o, count(DISTINCT l_suppkey) FILTER (l_returnflag = 'A') AS i FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
+ LEFT JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) FILTER (l_returnflag <> 'A') AS o, count(DISTINCT l_suppkey) FILTER (l_returnflag = 'A') AS i FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
 def degrees(spark, sf):
     from auditlake.catalog.base import call_edges
 
@@ -248,12 +248,12 @@ def degrees(spark, sf):
     return aggregates.degrees(nodes, call_edges(spark, sf))
 
 
-@query("graph_summary", """WITH e AS (SELECT DISTINCT l_returnflag, l_partkey, l_suppkey FROM lineitem WHERE l_returnflag IN ('R', 'A'))
+@query("graph_summary", """WITH e AS (SELECT DISTINCT l_returnflag, l_partkey, l_suppkey FROM lineitem)
  SELECT (SELECT count(*) FROM part) AS programs, (SELECT count(*) FROM e) AS calls, (SELECT count(*) FROM e WHERE l_partkey % 100 >= 50) AS risky_calls,
  (SELECT count(*) FROM part WHERE p_size <= 10) AS unverified, (SELECT max(l_partkey % 100) FROM e)::BIGINT AS max_risk""")
 def graph_summary(spark, sf):
     nodes = table(spark, sf, "part").select((F.col("p_size") > 10).alias("verified"))
-    edges = table(spark, sf, "lineitem").filter("l_returnflag in ('R', 'A')").select("l_returnflag", "l_partkey", "l_suppkey").distinct()
+    edges = table(spark, sf, "lineitem").select("l_returnflag", "l_partkey", "l_suppkey").distinct()
     return aggregates.graph_summary(nodes, edges.withColumn("risk", F.col("l_partkey") % 100))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.operators.findings import limit_findings, min_severity, sort_findings, union_findings
+from auditlake.session import write_cut
 
 
 @dataclass
@@ -36,14 +37,14 @@ class DetectorSet:
         self.detectors.append(detector)
 
     def run(self, df: DataFrame, seq: str = "seq") -> tuple[DataFrame | None, DataFrame]:
-        """(findings, errors). A detector whose plan cannot be built is reported and left out."""
+        """(findings, errors). Each detector runs into a table of its own in the shared folder; one that fails, while its plan is built or
+        while it runs, is reported and left out."""
         parts, errors = [], []
         for d in self.detectors:
             try:
                 rows = df if d.applies is None else df.filter(d.applies)
                 found = d.analyze(rows).withColumns({"detector": F.lit(d.name), "detector_version": F.lit(d.version)})
-                found.schema  # analysis errors of lazy plans surface here
-                parts.append(found)
+                parts.append(write_cut(found))
             except Exception as e:  # noqa: BLE001 - any failure of a plug-in becomes a row
                 errors.append((d.name, d.version, type(e).__name__, str(e)))
         problems = df.sparkSession.createDataFrame(errors, "detector string, detector_version string, error string, message string")
