@@ -11,7 +11,7 @@ from auditlake.rules import context as ctx
 from auditlake.rules import packs
 from auditlake.rules.engine import scan_rules
 from auditlake.session import spread
-from auditlake.sources.corpus import enclosing_unit, explode_lines, extract_structs, extract_units, join_context, units_with_context, validate_source, with_snippet
+from auditlake.sources.corpus import enclosing_unit, explode_lines, extract_structs, extract_units, join_context, units_with_context, validate_path, validate_source, with_snippet
 
 KEEP = ["program", "file_path", "file_name"]
 
@@ -95,9 +95,21 @@ def fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.fingerprint(["source", "lang", "text"], 16, "DOC-").alias("fp"))
 
 
-@query("validate_source", "SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 2000 THEN 'too long' END AS reason FROM documents WHERE trim(text) = '' OR length(text) > 2000")
+def _both_sides(accepted, rejected, key):
+    return accepted.select(key, F.lit(None).cast("string").alias("reason")).unionByName(rejected.select(key, "reason"))
+
+
+@query("validate_source", "SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN strlen(text) > 2000 THEN 'too long' WHEN contains(text, chr(0)) THEN 'binary' END AS reason FROM documents")
 def validate_source_query(spark, sf):
-    return validate_source(table(spark, sf, "documents"), "text", 2000)[1].select("doc_id", "reason")
+    return _both_sides(*validate_source(table(spark, sf, "documents"), "text", 2000), "doc_id")
+
+
+@query("validate_path", """SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'traversal' WHEN o_orderkey % 60 + 1 + (o_custkey % 2) > 50 THEN 'too deep' END AS reason FROM orders""")
+def validate_path_query(spark, sf):
+    root = F.when(F.col("o_custkey") % 2 == 1, "/").otherwise("")
+    up = F.when(F.col("o_custkey") % 7 == 0, "../").otherwise("")
+    path = F.concat(root, F.repeat(F.lit("d/"), (F.col("o_orderkey") % 60).cast("int")), up, F.lit(".//x.rs"))
+    return _both_sides(*validate_path(table(spark, sf, "orders").select("o_orderkey", path.alias("file_path"))), "o_orderkey")
 
 
 @query("valid_program_id", "SELECT page_id, length(url) BETWEEN 20 AND 60 AS valid FROM pages")

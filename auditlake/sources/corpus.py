@@ -10,6 +10,7 @@ from auditlake.functions.text import basename, line_array
 #: A line that opens a function.
 FN_START = r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+"
 FN_NAME = r"^[ \t]*" + FN_START + r"(\w+)"
+STRUCT_NAME = r"struct\s+(\w+)"
 STRUCT_BLOCK = r"((?:#\[derive\([^)]*\)\]\s*)?pub\s+struct\s+(\w+)[^{;]*\{([^{}]*)\})"
 
 
@@ -37,20 +38,36 @@ def source_string(spark: SparkSession, content: str, file_path: str = "inline.rs
 
 
 # Limits of the source guard.
-MAX_SOURCE_CHARS = 10_000_000
+MAX_SOURCE_BYTES = 10 * 1024 * 1024
+MAX_PATH_DEPTH = 50
 
 
-def validate_source(df: DataFrame, text: str = "content", limit: int = MAX_SOURCE_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with a reason): empty, too long or binary-looking texts are rejected."""
+def validate_source(df: DataFrame, text: str = "content", limit: int = MAX_SOURCE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with a reason): missing texts, texts of more than limit bytes and binary-looking ones are rejected; an
+    empty text is accepted."""
     col = F.col(text)
     reason = (
-        F.when(col.isNull() | (F.trim(col) == ""), "empty").when(F.length(col) > limit, "too long")
+        F.when(col.isNull(), "missing").when(F.octet_length(col) > limit, "too long")
         .when(F.contains(col, F.lit("\u0000")), "binary")
     )
     marked = df.withColumn("reason", reason)
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
+def validate_path(df: DataFrame, path: str = "file_path", depth: int = MAX_PATH_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with a reason): missing paths, paths with '..' and paths of more than depth components are rejected. A
+    root and a leading '.' are components, empty ones and other '.' are not."""
+    col = F.col(path)
+    named = F.filter(F.split(col, "/"), lambda p: ~p.isin("", "."))
+    start = F.when(col.startswith("/") | col.startswith("./") | (col == "."), 1).otherwise(0)
+    reason = (
+        F.when(col.isNull(), "missing").when(F.contains(col, F.lit("..")), "traversal")
+        .when(F.size(named) + start > depth, "too deep")
+    )
+    marked = df.withColumn("reason", reason)
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+
+
 def explode_lines(df: DataFrame, text: str = "content", keep: list[str] | None = None) -> DataFrame:
     """One row per line: line_no from 1, line, is_blank, is_comment."""
     keep = keep or [c for c in df.columns if c != text]
@@ -104,12 +121,12 @@ def enclosing_unit(
 
 
 def extract_structs(df: DataFrame, text: str = "content", keep: list[str] | None = None) -> DataFrame:
-    """Struct blocks: struct_name, block, body."""
+    """Struct blocks: struct_no (place in the text), struct_name, block, body."""
     keep = keep or [c for c in df.columns if c != text]
     col = F.col(text)
-    blocks = df.select(*keep, F.explode(F.regexp_extract_all(col, F.lit(STRUCT_BLOCK), F.lit(1))).alias("block"))
+    blocks = df.select(*keep, F.posexplode(F.regexp_extract_all(col, F.lit(STRUCT_BLOCK), F.lit(1))).alias("struct_no", "block"))
     return blocks.select(
-        *keep, "block", F.regexp_extract("block", r"struct\s+(\w+)", 1).alias("struct_name"),
+        *keep, "struct_no", "block", F.regexp_extract("block", STRUCT_NAME, 1).alias("struct_name"),
         F.regexp_extract("block", r"\{([^{}]*)\}$", 1).alias("body"))
 
 
@@ -117,9 +134,10 @@ CONTEXT_NAME = r"Context<(?:[^<>]*,\s*)?([A-Z]\w*)\s*>"
 
 
 def join_context(units: DataFrame, structs: DataFrame, file: str = "file_path") -> DataFrame:
-    """Put the account struct named by a handler's Context<...> in front of its code (left equi-join)."""
+    """Put the account struct named by a handler's Context<...> in front of its code (left equi-join). Of structs of one
+    name in a file the last counts."""
     named = units.withColumn("_s", F.nullif(F.regexp_extract("code", CONTEXT_NAME, 1), F.lit("")))
-    blocks = structs.groupBy(F.col(file), F.col("struct_name").alias("_s")).agg(F.max("block").alias("accounts_struct"))
+    blocks = structs.groupBy(F.col(file), F.col("struct_name").alias("_s")).agg(F.max_by("block", "struct_no").alias("accounts_struct"))
     joined = named.join(blocks, [file, "_s"], "left")
     code = F.when(
         F.col("accounts_struct").isNotNull(),
@@ -131,11 +149,12 @@ def join_context(units: DataFrame, structs: DataFrame, file: str = "file_path")
 def units_with_context(df: DataFrame, text: str = "content", keep: list[str] | None = None) -> DataFrame:
     """extract_units with the account struct in front, looked up inside the file's own row (no shuffle)."""
     keep = keep or [c for c in df.columns if c != text]
-    blocks = df.withColumn("_structs", F.regexp_extract_all(F.col(text), F.lit(STRUCT_BLOCK), F.lit(1)))
+    found = F.regexp_extract_all(F.col(text), F.lit(STRUCT_BLOCK), F.lit(1))
+    blocks = df.withColumn("_structs", F.transform(found, lambda b: F.struct(F.regexp_extract(b, STRUCT_NAME, 1).alias("name"), b.alias("block"))))
     units = extract_units(blocks, text, [*keep, "_structs"])
     units = units.withColumn("_s", F.nullif(F.regexp_extract("code", CONTEXT_NAME, 1), F.lit("")))
-    named = F.expr("filter(_structs, b -> b rlike concat('struct ', _s, '\\\\b'))")
-    units = units.withColumn("accounts_struct", F.when(F.col("_s").isNotNull(), F.get(F.reverse(named), F.lit(0))))
+    named = F.filter("_structs", lambda s: s["name"] == F.col("_s"))
+    units = units.withColumn("accounts_struct", F.when(F.col("_s").isNotNull(), F.get(F.reverse(named), F.lit(0))["block"]))
     code = F.when(
         F.col("accounts_struct").isNotNull(),
         F.concat(F.lit("/* ACCOUNTS_STRUCT: "), "_s", F.lit(" */\n"), "accounts_struct", F.lit("\n/* HANDLER: */\n"), "code"),

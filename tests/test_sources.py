@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from auditlake.plans.guard import guard_findings, guard_report
 from auditlake.sources import manifests, reports
-from auditlake.sources.corpus import explode_lines, read_corpus, validate_source, with_snippet
+from auditlake.sources.corpus import (
+    explode_lines, extract_structs, extract_units, join_context, read_corpus, units_with_context, validate_path, validate_source, with_snippet,
+)
 
 
 def test_corpus_reader(spark, tmp_path):
@@ -27,10 +29,27 @@ def test_lines_and_snippets(spark):
 
 
 def test_source_guard(spark):
-    df = spark.createDataFrame([(1, "ok"), (2, "  "), (3, "x" * 50), (4, "a\u0000b")], "n int, content string")
+    df = spark.createDataFrame([(1, "ok"), (2, "  "), (3, "x" * 50), (4, "a\u0000b"), (5, ""), (6, None), (7, "é" * 11)], "n int, content string")
     good, bad = validate_source(df, limit=20)
-    assert [r["n"] for r in good.collect()] == [1]
-    assert {r["n"]: r["reason"] for r in bad.collect()} == {2: "empty", 3: "too long", 4: "binary"}
+    assert sorted(r["n"] for r in good.collect()) == [1, 2, 5]
+    assert {r["n"]: r["reason"] for r in bad.collect()} == {3: "too long", 4: "binary", 6: "missing", 7: "too long"}
+
+
+def test_path_guard(spark):
+    df = spark.createDataFrame([(1, "a/b.rs"), (2, "a/../b.rs"), (3, "/a/b/c.rs"), (4, "a//./b/c.rs"), (5, None), (6, "./a/b/c.rs")], "n int, file_path string")
+    good, bad = validate_path(df, depth=3)
+    assert sorted(r["n"] for r in good.collect()) == [1, 4]
+    assert {r["n"]: r["reason"] for r in bad.collect()} == {2: "traversal", 3: "too deep", 5: "missing", 6: "too deep"}
+
+
+def test_last_struct_of_a_name_counts(spark):
+    code = "pub struct Deposit {\n z: u8 }\npub struct DepositLog {\n q: u8 }\npub struct Deposit {\n a: u8 }\npub fn go(ctx: Context<Deposit>) {\n}\n"
+    files = spark.createDataFrame([("f.rs", code)], "file_path string, content string")
+    keep = ["file_path"]
+    one = units_with_context(files, keep=keep).collect()
+    two = join_context(extract_units(files, keep=keep), extract_structs(files, keep=keep)).collect()
+    assert [r["code"] for r in one] == [r["code"] for r in two]
+    assert "a: u8" in one[0]["accounts_struct"]
 
 
 CARGO = """[package]
