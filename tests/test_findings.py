@@ -149,3 +149,13 @@ def test_coverage_bitmaps(spark):
     out = aggregates.coverage_union(hits, ["g"], 4).collect()[0]
     assert (out["covered"], out["any_bits"], out["coverage_pct"]) == (3, 255, 75.0)
     assert sorted((r["run"], r["new_places"]) for r in aggregates.new_coverage(hits, ["g"]).collect()) == [(1, 2), (2, 1)]
+
+
+def test_detector_that_fails_while_it_runs(spark):
+    from auditlake.plans.detectors import Detector, DetectorSet
+
+    rows = spark.createDataFrame([(1, 4, 50, 1)], "n int, severity int, confidence int, seq int")
+    fails = Detector("fails", "1", lambda df: df.withColumn("n", F.raise_error(F.lit("no")).cast("int")))
+    found, errors = DetectorSet([fails, Detector("works", "1", lambda df: df)]).run(rows)
+    assert [r["detector"] for r in found.collect()] == ["works"]
+    assert [r["detector"] for r in errors.collect()] == ["fails"]
