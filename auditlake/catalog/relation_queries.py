@@ -10,9 +10,9 @@ from auditlake.catalog.corpus import FILES_SQL, UNITS_SQL, code_files, sql_condi
 from auditlake.catalog.finding_queries import BEST, CAPPED
 from auditlake.functions import numbers
 from auditlake.functions.statements import classify_stmt, stmt_kind
-from auditlake.operators import code, graph
+from auditlake.operators import code
 from auditlake.operators import findings as ops
-from auditlake.plans import guard, scan
+from auditlake.plans import families, guard, scan
 from auditlake.rules import context as ctx
 from auditlake.rules import mitigations, packs
 from auditlake.sources import manifests, reports
@@ -100,12 +100,7 @@ def _levels(spark, sf):
     """Taint level of every variable of every unit: parameters by type, assignments to the fixpoint."""
     u = extract_units(code_files(spark, sf), keep=KEEP)
     st = code.unit_statements(u)
-    assigned = code.assignments(st.filter(~F.col("code").rlike(r"^(?:pub )?fn\s")))
-    params = code.parameters(u).filter("level is not null").select(*UNIT, F.col("param").alias("node"), "level")
-    fixed = assigned.filter("fixed_level is not null").select(*UNIT, F.col("lhs").alias("node"), F.col("fixed_level").alias("level"))
-    edges = assigned.filter("fixed_level is null").select(*UNIT, F.explode("rhs_vars").alias("src"), F.col("lhs").alias("dst"), F.col("is_arithmetic").alias("lifts"))
-    levels = graph.raise_levels(edges, params.unionByName(fixed), UNIT)
-    return u, st, levels.withColumnRenamed("node", "var")
+    return u, st, families.unit_levels(u, st, UNIT)
 
 
 @query("taint_levels")

@@ -83,17 +83,17 @@ def fn_summaries(units: DataFrame, keys=UNIT_KEYS, text: str = "code", returns=R
     return params.select(*keys, "pos", "param", "type_text", "level", named(returns).alias("returns"), named(sinks).alias("reaches_sink"))
 
 
-def apply_summaries(edges: DataFrame, summaries: DataFrame, levels: DataFrame, by: str = "program") -> DataFrame:
+def apply_summaries(edges: DataFrame, summaries: DataFrame, levels: DataFrame, by: str = "program", keep=()) -> DataFrame:
     """Arguments that carry account input or worse into a parameter that reaches a sink.
 
-    edges: by, caller, callee, args, line_no; levels: by, fn_name, var, level.
+    edges: by, caller, callee, args, line_no and the columns of keep, which ride along; levels: by, fn_name, var, level.
     """
-    args = edges.select(by, "caller", "callee", "line_no", F.posexplode("args").alias("pos", "arg"))
+    args = edges.select(by, *keep, "caller", "callee", "line_no", F.posexplode("args").alias("pos", "arg"))
     target = summaries.filter("reaches_sink").select(by, F.col("fn_name").alias("callee"), "pos", "param").distinct()
     used = args.join(target, [by, "callee", "pos"]).withColumn("var", F.explode(st.variables(F.col("arg"))))
     known = levels.select(by, F.col("fn_name").alias("caller"), "var", "level")
     joined = used.join(known, [by, "caller", "var"])
-    level = joined.groupBy(by, "caller", "callee", "line_no", "pos", "param").agg(F.max("level").alias("level"))
+    level = joined.groupBy(by, *keep, "caller", "callee", "line_no", "pos", "param").agg(F.max("level").alias("level"))
     return level.filter(F.col("level") >= st.ACCOUNT).withColumn("severity", F.when(F.col("level") == st.TAINTED, 5).otherwise(4))
 
 

@@ -190,7 +190,7 @@ def scan_arithmetic(files: DataFrame, text: str = "content", keep: list[str] | N
                F.struct(F.lit(kind).alias("kind"), F.lit(s).alias("cvss")))
         for kind, s, p in ARITHMETIC
     ]
-    return emit(lines, [*keep, (F.col("_i") + 1).alias("line_no")], tests, "kind")
+    return emit(lines, [*keep, (F.col("_i") + 1).alias("line_no"), "line"], tests, "kind")
 
 
 # --- boolean feature and safety checks ----------------------------------------------------------

@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from auditlake.plans.scan import ALL_RULES, raw_findings, validated_findings
+from auditlake.plans.scan import ALL_RULES, all_findings, raw_findings, scan_report, validated_findings
 from auditlake.rules import packs
 from auditlake.rules.core_pack import CORE
 from auditlake.rules.engine import none, rule, rule_hits, scan_rules, some, tokens_of
@@ -175,3 +175,45 @@ def test_a_null_text_is_an_empty_text(spark, tokens):
     rules = [rule("X-1", "absent", 3, none(*names)), rule("X-2", "present", 3, some(*names))]
     units = spark.createDataFrame([(1, None), (2, ""), (3, "a token1 b")], "n int, code string")
     assert {(r["n"], r["id"]) for r in scan_rules(units, rules).collect()} == {(1, "X-1"), (2, "X-1"), (3, "X-2")}
+
+
+FAMILIES = """use anchor_lang::prelude::*;
+#[derive(Accounts)]
+pub struct Pay<'info> {
+    #[account(mut)]
+    pub source: AccountInfo<'info>,
+    #[account(mut)]
+    pub destination: AccountInfo<'info>,
+    #[account(init_if_needed, close = owner)]
+    pub state: Account<'info, State>,
+}
+pub fn pay(source: AccountInfo<'info>, amount: u64) -> Result<()> {
+    let total = amount + fee;
+    token::transfer(source, total)?;
+    send(amount, source);
+    let raw = ctx.remaining_accounts;
+    unsafe { ptr::write(p, v) }
+}
+fn send(value: u64, to: AccountInfo<'info>) {
+    invoke(value, to);
+}
+"""
+
+
+def test_scan_unions_all_families(spark):
+    files = source_string(spark, FAMILIES, "programs/a/src/lib.rs", "a").unionByName(
+        spark.createDataFrame([("b", "b.rs", "b.rs", None), ("c", "c.rs", "c.rs", "")], "program string, file_path string, file_name string, content string"))
+    found = {(r["id"], r["seq"]["family"]) for r in all_findings(files).collect()}
+    assert {f for _, f in found} == {0, 1, 2, 3, 4, 5, 6, 7, 8}
+    assert {"SOL-TAINT-02", "SOL-TAINT-IP-01", "SOL-CPI-transfer", "SOL-ALIAS-02", "SOL-074", "SOL-071", "SOL-093", "SOL-094", "SOL-072"} <= {i for i, _ in found}
+
+
+def test_scan_report_returns_the_places(spark):
+    files = source_string(spark, FAMILIES, "programs/a/x/mod.rs", "a").unionByName(source_string(spark, FAMILIES, "programs/a/y/mod.rs", "a"))
+    findings, places = scan_report(files)
+    n = {r["id"]: r["n_locations"] for r in findings.collect()}
+    further = {}
+    for r in places.collect():
+        further[r["id"]] = further.get(r["id"], 0) + 1
+    assert n and {k: v - 1 for k, v in n.items() if v > 1} == further
+    assert n == {r["id"]: r["n_locations"] for r in validated_findings(files).collect()}
