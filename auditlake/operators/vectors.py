@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import cosine, rms_deviation
+from auditlake.session import write_cut
 
 EMBEDDING_DIM = 128
 DEFAULT_WEIGHT = 0.1
@@ -69,20 +70,16 @@ def nearest_patterns(vectors: DataFrame, patterns: DataFrame, key: str, vector:
     """Closest pattern of each vector by cosine, if above the threshold, with its severity.
 
     patterns: pattern, embedding. Patterns travel in packed blocks of a bounded size; a vector meets
-    every block through an equi-join on the block number and keeps its best, so nothing is dropped
-    however many patterns there are. Blocks are broadcast only when proven small, else salted.
+    every block through an equi-join on the block number and a salt and keeps its best, so nothing is
+    dropped however many patterns there are.
     """
     n_blocks = max(1, math.ceil(patterns.count() / BLOCK))
     packed = patterns.select(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)).cast("int").alias("_block"), F.struct("pattern", "embedding").alias("_p"))
     blocks = packed.groupBy("_block").agg(F.collect_list("_p").alias("_patterns"))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     side = vectors.select(key, F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt"))
-    small = patterns
-    if small is not patterns:
-        met = side.withColumn("_block", numbers).join(F.broadcast(blocks), "_block")
-    else:
-        salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = side.withColumn("_block", numbers).join(salted, ["_block", "_salt"])
+    salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = side.withColumn("_block", numbers).join(salted, ["_block", "_salt"])
     best = F.array_max(F.transform("_patterns", lambda p: F.struct(cosine(F.col("_v"), p["embedding"]).alias("similarity"), p["pattern"].alias("pattern"))))
     top = met.select(key, best.alias("_best")).groupBy(key).agg(F.max("_best").alias("_best"))
     sim = F.col("_best.similarity")
@@ -104,11 +101,13 @@ def wave_weights(dim: int) -> list[list[float]]:
 
 
 def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int = 2, node: str = "node", vector: str = "features", dim: int = 64) -> DataFrame:
-    """Rounds of: sum of the in-neighbours plus twice the own vector, times the layer weights, ReLU."""
+    """Rounds of: sum of the in-neighbours plus twice the own vector, times the layer weights, ReLU. Edges and the state of
+    every round are written once, so a round reads files and plans don't grow."""
     rows = ("array(" + ", ".join(f"{w!r}D" for w in row) + ")" for row in wave_weights(dim))
     matrix = F.expr("array(" + ", ".join(rows) + ")")
     state = nodes.select(node, F.col(vector).cast("array<double>").alias("_v"))
-    e = edges.select(F.col("src").alias(node), "dst").distinct()
+    e = write_cut(edges.select(F.col("src").alias(node), "dst").distinct())
+    state = write_cut(state)
     cells = [f"_{i}" for i in range(dim)]
     for _ in range(rounds):
         own = state.select(node, *[(F.col("_v")[i] * 2).alias(c) for i, c in enumerate(cells)])
@@ -118,7 +117,7 @@ def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int = 2, node: str
         summed = total.select(node, F.array(*cells).alias("_s"))
         layer = F.transform(matrix, lambda row: F.greatest(
             F.aggregate(F.zip_with(row, F.col("_s"), lambda w, x: w * x), F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0)))
-        state = summed.select(node, layer.alias("_v"))
+        state = write_cut(summed.select(node, layer.alias("_v")))
     return state.select(node, F.col("_v").alias(vector))
 
 
