@@ -37,6 +37,56 @@ def test_toxicity_learns_words_and_stems(spark):
     assert auc([(r["score"], truth[r["doc_id"]]) for r in rows if r["held_out"]]) > 0.9
 
 
+def test_unseen_words_read_as_unseen(spark):
+    """Words whose hashes share their last bits have nothing to do with each other."""
+    import numpy as np
+
+    names = [f"{k:06x}z" for k in range(6000)]
+    data = np.frombuffer(" ".join(names).encode(), np.uint8)
+    spots = toxicity.Words(data, np.array([0, len(data)])).hashes(toxicity.LOWER) % np.uint64(1 << 21)
+    seen, pair = {}, None
+    for name, spot in zip(names, spots, strict=True):
+        if spot in seen and seen[spot][:4] != name[:4]:
+            pair = seen[spot], name
+            break
+        seen.setdefault(spot, name)
+    learnt, asked = pair
+    docs, labels = marked(spark, "toxic", 200)
+    from pyspark.sql import functions as F
+
+    docs = docs.join(labels, "doc_id").select("doc_id", F.when(F.col("toxic") == 1, F.concat("text", F.lit(f" {learnt} {learnt} {learnt}"))).otherwise(F.col("text")).alias("text"))
+    docs = docs.unionAll(spark.createDataFrame([(9000, asked + " ba"), (9001, "qqqqqqq ba")], "doc_id long, text string"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.rate(docs, labels).where("doc_id >= 9000").collect()}
+    assert got[9000] == got[9001]
+
+
+def test_toxicity_counts_match_plain_counts(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    docs, labels = marked(spark, "toxic", 120)
+    labelled = docs.join(labels, "doc_id").select("text", F.col("toxic").alias("__label"), (F.col("doc_id") % 2).cast("int").alias("__fold"))
+    rows = [(w.rstrip(","), 2 * r["__fold"] + r["__label"]) for r in labelled.collect() for w in r["text"].lower().split()]
+    counts = toxicity.Counts(labelled)
+    plain = Counter(rows)
+    want = sorted(tuple(plain[w, k] for k in range(4)) for w in {w for w, _ in rows})
+    assert sorted(tuple(r[f"n{k}"] for k in range(4)) for r in counts.words.collect()) == want
+    for cut, table in ((5, counts.stems), (4, counts.shorts)):
+        kinds = {c: Counter(w[:cut] for w in {w for w, k in rows if k % 2 == c}) for c in (0, 1)}
+        want = sorted((kinds[0][s], kinds[1][s]) for s in kinds[0] | kinds[1])
+        assert sorted((r["k20"], r["k21"]) for r in table.collect()) == want
+
+
+def test_joined_ratios_score_as_sent_ones(spark, odd_docs, monkeypatch):
+    docs, labels = marked(spark, "toxic", 150)
+    docs = docs.unionByName(odd_docs.select("doc_id", "text"))
+    one = sorted(((r["doc_id"], r["score"]) for r in toxicity.rate(docs, labels).collect()), key=repr)
+    monkeypatch.setattr(toxicity, "RATIO_ROWS", 0)
+    two = sorted(((r["doc_id"], r["score"]) for r in toxicity.rate(docs, labels).collect()), key=repr)
+    assert len(one) == len(two) and all(a == c and abs(b - d) < 1e-6 for (a, b), (c, d) in zip(one, two, strict=True))
+
+
 def test_models_on_odd_and_empty_tables(spark, odd_docs, no_docs, labels):
     for rate, train, score in ((quality_classifier.classify, quality_classifier.train, quality_classifier.score), (toxicity.rate, None, None)):
         rows = rate(odd_docs, labels).collect()
