@@ -1,6 +1,6 @@
 """N-gram Jaccard join: links between texts whose shingle sets overlap enough, and the groups they form.
 
-Texts with equal sets are folded into one representative first. Representatives meet in tiles: a tile is named by a few minima of
+Rows are numbered, and rows with equal sets are folded into one representative row first, which stands for that set alone. Representatives meet in tiles: a tile is named by a few minima of
 the set under fixed hash functions, and there are so many tiles for each set that two sets at the threshold share none with a
 chance below LOSS. Inside a tile only sets of the same or a neighbouring size band can link. Hashed parity bitmaps of about one
 bit for each shingle give a lower bound of the symmetric difference, so bit counts bound the overlap from above; only pairs that
@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import LOWER, Words, components, grams, keep_ids, mix, table, text_chunks, write_cut
@@ -26,8 +26,6 @@ from auditlake.llm.common import LOWER, Words, components, grams, keep_ids, mix,
 MINIMA, LOSS = 4, 1e-12
 #: Members of a tile compared in one block.
 BLOCK = 1024
-#: Stands for a null document id, after all others.
-NO_ID = (1 << 63) - 1
 
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -103,30 +101,30 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _sketches(docs: DataFrame, n: int, tiles: int) -> DataFrame:
-    """(doc, n, hi, lo, tiles, bits) of every text."""
+    """(row, doc, n, hi, lo, tiles, bits) of every row of docs (row, doc_id, text)."""
     xors, odds = _functions(tiles)
 
     def run(batches):
         for batch in batches:
-            for low, high, words in text_chunks(batch.column(1)):
+            for low, high, words in text_chunks(batch.column(2)):
                 sets = shingle_sets(words, n)
                 hi = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 lo = [int(mix(s ^ _SEED).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 names = [tile_names(s, xors, odds).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in names])])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low).cast(pa.int64()).fill_null(NO_ID), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
+                    [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(names), pa.int64())),
                      pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
-                    ["doc", "n", "hi", "lo", "tiles", "bits"],
+                    ["row", "doc", "n", "hi", "lo", "tiles", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, n long, hi long, lo long, tiles array<long>, bits binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc long, n long, hi long, lo long, tiles array<long>, bits binary")
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, n, shingles) of the wanted ids."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    """(id, n, shingles) of the wanted rows."""
+    rows = docs.select(F.col("row").alias("id"), "text")
 
     def run(batches):
         for batch in batches:
@@ -142,7 +140,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def _exact(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by intersection of sorted arrays."""
     wanted = write_cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = write_cut(_arrays(docs, wanted, n).distinct())
+    sets = write_cut(_arrays(docs, wanted, n))
 
     def check(batches):
         for batch in batches:
@@ -223,16 +221,17 @@ def _across(shared: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den
     return ready.groupBy("tile", "g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: rows link if den * overlap >= num * union of their sets of word shingles,
-    words cut at white space and ASCII lower-cased; component_id is the smallest doc_id reachable.
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for every row in column row; written, so that the keys stay."""
+    return write_cut(docs.withColumn("row", F.monotonically_increasing_id()))
 
-    Odd rows: null, empty and blank texts have no shingles and link with nothing; a text shorter than a shingle is one shingle;
-    rows with one id are one document with several texts; a null id is a document after all others, and its component is null if
-    it is alone; an empty table gives no rows; other columns are not read."""
+
+def _linked(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From numbered docs: (row, doc, n, rep) of every row with shingles, the same columns of the others with a null rep, and the
+    links (a, b) of representatives. Nothing but texts links."""
     tiles = n_tiles(num, den)
     sketches = write_cut(_sketches(docs, shingle, tiles))
-    sets = sketches.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc").alias("rep"), F.first("tiles").alias("tiles"), F.first("bits").alias("bits"))
+    sets = sketches.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("row").alias("rep"), F.first("tiles").alias("tiles"), F.first("bits").alias("bits"))
     sets = write_cut(sets)
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
     posted = sets.select(F.explode("tiles").alias("tile"), "rep", "n", band.alias("band"))
@@ -244,12 +243,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     labels = components(first)
     more = write_cut(_across(shared, sets, labels, num, den))
     second = write_cut(_exact(docs, more, shingle, num, den))
-    groups = sketches.where("n > 0").select("doc", "hi", "lo", "n").join(sets.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"])
-    copies = groups.where("doc > rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    found = components(first.unionByName(second).unionByName(copies))
-    joined = sketches.select("doc", "n").join(found, F.col("doc") == F.col("id"), "left")
-    real = lambda c: F.when(c != NO_ID, c)
-    return joined.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc")).alias("component_id"))
+    groups = sketches.where("n > 0").select("row", "doc", "hi", "lo", "n").join(sets.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"])
+    blank = sketches.where("n = 0").select("row", "doc", "n", F.lit(None).cast("long").alias("rep"))
+    return write_cut(groups.select("row", "doc", "n", "rep")), blank, first.unionByName(second)
+
+
+def _best(groups: DataFrame, links: DataFrame, value: Column) -> DataFrame:
+    """(rep, best): the smallest value of the rows of each representative's component."""
+    least = groups.groupBy("rep").agg(F.min(value).alias("least"))
+    labelled = write_cut(least.join(components(links), F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("component"), "least"))
+    best = labelled.groupBy("component").agg(F.min("least").alias("best"))
+    return labelled.join(best, "component").select("rep", "best")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: rows link if den * overlap >= num * union of their sets of word shingles,
+    words cut at white space and ASCII lower-cased; component_id is the smallest doc_id reachable.
+
+    Odd rows: null, empty and blank texts have no shingles and link with nothing; a text shorter than a shingle is one shingle;
+    rows with one id are one document with several texts; each row with a null id is a document of its own after all others,
+    and its component is null if it reaches no id; a null id without a text shows the smallest component of the null ids; an empty
+    table gives no rows; other columns are not read."""
+    groups, blank, links = _linked(numbered(docs.select("doc_id", "text")), shingle, num, den)
+    several = groups.where("doc IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc", "a")
+    same = groups.join(several, "doc").where("a < rep").select("a", F.col("rep").alias("b"))
+    reached = write_cut(groups.join(_best(groups, links.unionByName(same), F.col("doc")), "rep").select("doc", "n", F.col("best").alias("component_id")))
+    by_id = reached.groupBy(F.col("doc").alias("id")).agg(F.min("component_id").alias("low"))
+    alone = blank.join(by_id, F.col("doc").eqNullSafe(F.col("id")), "left").select("doc", "n", F.coalesce("low", "doc").alias("component_id"))
+    return reached.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def copies(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(row) of the rows of numbered docs that go when one row of each group of linked texts stays: the one with the smallest
+    doc_id, null ids last and equal ids by row. Rows without shingles stay."""
+    groups, _, links = _linked(docs, shingle, num, den)
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "row")
+    return groups.join(_best(groups, links, order), "rep").where("row <> best.row").select("row")
 
 
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

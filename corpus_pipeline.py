@@ -30,9 +30,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
-    groups = jaccard_join.near_duplicates(docs, 5, 80, 100)
-    return keep_ids(docs, write_cut(groups.where("component_id <> doc_id").select("doc_id").distinct()), "left_anti").select(docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest id stays, null ids last."""
+    rows = jaccard_join.numbered(docs.select(F.struct(*docs.columns).alias("doc")))
+    gone = jaccard_join.copies(rows.select("row", "doc.doc_id", "doc.text"), 5, 80, 100)
+    return keep_ids(rows, write_cut(gone), "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,6 +108,27 @@ def test_groups_of_odd_and_empty_tables(odd_docs, no_docs):
     assert jaccard_join.near_duplicates(no_docs).count() == 0
 
 
+def _prose(seed, size=60):
+    return [f"{seed}{k}" for k in range(size)]
+
+
+def test_null_ids_do_not_join_unrelated_documents(spark):
+    a, b = " ".join(_prose("a")), " ".join(_prose("b"))
+    docs = spark.createDataFrame([(1, a), (2, b), (None, a + " end"), (None, b), (None, " ".join(_prose("c")))], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(1, 1), (2, 2), (None, 1), (None, 2), (None, None)], key=repr)
+
+
+def test_two_texts_of_one_id_keep_their_links(spark):
+    """Near copies of each text of an id, whose sets differ much in size."""
+    docs = []
+    for k in range(12):
+        long, short = _prose(f"l{k}x", 400), _prose(f"s{k}x", 70)
+        docs += [(100 * k + 50, " ".join(long)), (100 * k + 50, " ".join(short)), (100 * k + 60, " ".join(long[:-9])), (100 * k + 70, " ".join(short[1:])), (100 * k + 80, " ".join(short[:-1]))]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert all(r["component_id"] == r["doc_id"] // 100 * 100 + 50 for r in got) and len(got) == 60
+
+
 # ---------------------------------------------------------------- passages
 
 

@@ -31,6 +31,17 @@ def test_near_duplicate_stage_keeps_the_smallest_id(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [2, 3, 4]
 
 
+def test_near_duplicate_stage_leaves_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    rows = [(5, a), (6, b), (None, a), (None, b + " end"), (None, c), (None, c + " end"), (7, None), (None, None), (None, "")]
+    rows += [(9, a + " more"), (9, " ".join(f"d{k}" for k in range(80)))]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], "doc_id long, text string, lang string, source string, row long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    left = sorted(((r["doc_id"], (r["text"] or "")[:1]) for r in left.collect()), key=repr)
+    assert left == sorted([(5, "a"), (6, "b"), (None, "c"), (7, ""), (None, ""), (None, ""), (9, "d")], key=repr)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
