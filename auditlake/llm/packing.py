@@ -1,13 +1,15 @@
 """Packing: length buckets chosen by dynamic programming over the global histogram, then token-budget batches inside buckets.
 
-A batch is padded to its bucket's bound, so the cost of a choice of bounds is the sum of (bound - length). The histogram has at
-most 128 lengths for each doubling (longer lengths are rounded up to eight significant bits), so its size is fixed by the longest
-text, not by the number of texts; the programme runs on it on the driver.
+A batch is padded to its bucket's bound, so the cost of a choice of bounds is the sum of (bound - length). The histogram holds every
+length as it is. Different lengths number at most the square root of twice all tokens, and a round of the programme takes time in
+proportion to them (lower hull of lines), in whole numbers on the driver, so the bounds are the exact optimum.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,29 +24,27 @@ def tokens(text: Column) -> Column:
     return n_words(text) + 1
 
 
-def rounded(length: Column) -> Column:
-    """Length rounded up to eight significant bits."""
-    bits = F.length(F.bin(length)).cast("int")
-    grain = F.when(bits > 8, F.pow(F.lit(2.0), (bits - 8).cast("double")).cast("long")).otherwise(F.lit(1).cast("long"))
-    return (F.ceil(length / grain) * grain).cast("long")
-
-
 def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Bounds (ascending, the last is the longest length) that minimise padding with at most so many buckets."""
     if not lengths:
         return []
-    at, n = np.asarray(lengths, float), np.concatenate([[0.0], np.cumsum(np.asarray(counts, float))])
-    size = len(at)
+    at, n, size = [int(x) for x in lengths], [0, *accumulate(int(x) for x in counts)], len(lengths)
     # cost of the first j lengths with k buckets; the padding of lengths i..j-1 is at[j-1] * (n[j] - n[i]) less their own sum,
     # and those sums add up to the same whatever the choice
-    best = np.concatenate([[0.0], at * n[1:]])
+    best = [0, *(x * m for x, m in zip(at, n[1:], strict=True))]
     cuts = []
     for _ in range(1, min(buckets, size)):
-        new, cut = best.copy(), np.zeros(size + 1, int)
+        new, cut, hull = [0] * (size + 1), [0] * (size + 1), deque()
         for j in range(1, size + 1):
-            costs = best[:j] + at[j - 1] * (n[j] - n[:j])
-            cut[j] = int(np.argmin(costs))
-            new[j] = costs[cut[j]]
+            # the cut i is the line best[i] - n[i] * x; slopes fall with i and x = at[j-1] grows, so the least line only moves on
+            i, x = j - 1, at[j - 1]
+            while len(hull) > 1 and (best[i] - best[hull[-2]]) * (n[hull[-1]] - n[hull[-2]]) <= (best[hull[-1]] - best[hull[-2]]) * (n[i] - n[hull[-2]]):
+                hull.pop()
+            hull.append(i)
+            while len(hull) > 1 and best[hull[1]] - n[hull[1]] * x <= best[hull[0]] - n[hull[0]] * x:
+                hull.popleft()
+            cut[j] = hull[0]
+            new[j] = best[hull[0]] + x * (n[j] - n[hull[0]])
         cuts.append(cut)
         best = new
     bounds, j = [], size
@@ -60,7 +60,7 @@ def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int
 
 def bucket_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Best bounds for all lengths of column tokens."""
-    histogram = lengths.groupBy(rounded(F.col("tokens")).alias("length")).count().collect()
+    histogram = lengths.groupBy(F.col("tokens").alias("length")).count().collect()
     pairs = sorted((r["length"], r["count"]) for r in histogram)
     return best_bounds([a for a, _ in pairs], [b for _, b in pairs], buckets)
 

@@ -51,6 +51,18 @@ def test_bounds_pad_least(histogram, buckets):
     assert len(bounds) <= buckets and bounds[-1] == lengths[-1] and padding(bounds) == best
 
 
+def test_bounds_of_long_texts_pad_least(spark):
+    histogram = {257: 3, 259: 5, 301: 4, 517: 9, 519: 2, 1001: 6, 1003: 1, 4099: 2, 70001: 1}
+    lengths = spark.createDataFrame([(x,) for x, n in histogram.items() for _ in range(n)], "tokens long")
+
+    def padding(bounds):
+        return sum(n * (min(b for b in bounds if b >= x) - x) for x, n in histogram.items())
+
+    bounds = packing.bucket_bounds(lengths, 5)
+    assert set(bounds) <= set(histogram) and len(bounds) <= 5
+    assert padding(bounds) == min(padding((*c, 70001)) for c in itertools.combinations(sorted(histogram)[:-1], 4))
+
+
 def test_batches_hold_every_document_once(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = packing.packs(docs, buckets=4, budget=500, shard_rows=7).collect()
