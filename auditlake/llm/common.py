@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,6 @@ BATCH_ROWS = 1_000
 CHUNK_BYTES = 1 << 19
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -97,7 +97,6 @@ _IS_SPACE[[ord(c) for c in SPACES]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 LOWER = _SAME.copy()
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -110,39 +109,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES * 2)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _powers[name] = np.cumprod(out, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def coded_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Number of each data[start:end] among the distinct ones, and those, for ascending, disjoint spans."""
+    size = len(data) + 1
+    solid = np.cumsum(np.bincount(starts, minlength=size) - np.bincount(ends, minlength=size))[:-1] > 0
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
+    found = flat.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def wide_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of a 128-bit hash of each data[start:end], for ascending, disjoint spans."""
+    numbers, kinds = coded_spans(data, starts, ends)
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, kinds)), "<u8").reshape(-1, 2)
+    return both[numbers, 0], both[numbers, 1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for ascending, disjoint spans; polynomial sums, finalised with the length."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, side="right")))
-        low = int(starts[at])
-        part = data[low : int(ends[to - 1])]
-        up, down = _power_table(len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _M2
-        at = to
-    return mix(out)
+    """64-bit hash of each data[start:end], for ascending, disjoint spans."""
+    return wide_hashes(data, starts, ends)[0]
 
 
 class Words:
-    """Words of consecutive texts that lie one after another in data, the row r at data[bounds[r]:bounds[r + 1]]."""
+    """Words of consecutive texts that lie one after another in data, the row r at data[bounds[r]:bounds[r + 1]]. outside is true for
+    the bytes that separate words."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        space = _IS_SPACE[data]
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, outside: np.ndarray = _IS_SPACE):
+        space = outside[data]
         opens, closes = np.ones(len(data), bool), np.ones(len(data), bool)
         opens[1:], closes[:-1] = space[:-1], space[1:]
         edges = bounds[(bounds > 0) & (bounds < len(data))]
@@ -153,8 +147,17 @@ class Words:
         self.first = np.searchsorted(self.starts, bounds)  # of the first word of each row, and one more
         self.counts = np.diff(self.first)
 
+    def _mapped(self, mapped: np.ndarray) -> np.ndarray:
+        return self.data if mapped is _SAME else mapped[self.data]
+
+    def coded(self, mapped: np.ndarray = _SAME) -> tuple[np.ndarray, list[bytes]]:
+        return coded_spans(self._mapped(mapped), self.starts, self.ends)
+
+    def wide_hashes(self, mapped: np.ndarray = _SAME) -> tuple[np.ndarray, np.ndarray]:
+        return wide_hashes(self._mapped(mapped), self.starts, self.ends)
+
     def hashes(self, mapped: np.ndarray = _SAME) -> np.ndarray:
-        return span_hashes(self.data if mapped is _SAME else mapped[self.data], self.starts, self.ends)
+        return span_hashes(self._mapped(mapped), self.starts, self.ends)
 
     def owners(self) -> np.ndarray:
         """Row of each word."""
@@ -164,7 +167,7 @@ class Words:
         return self.data[self.starts[word] : self.ends[word]].tobytes()
 
 
-def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+def text_chunks(texts: pa.Array, outside: np.ndarray = _IS_SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of runs of rows of about CHUNK_BYTES; a longer text is a run of its own. A null
     text has no words."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -175,18 +178,26 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, side="right")) - 1)
         to = min(to, len(texts))
-        yield at, to, Words(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+        yield at, to, Words(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], outside)
         at = to
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n consecutive words from each place on; the last n - 1 places have none. Ignores where rows end."""
+    """Hash of the n consecutive words from each place on; the last n - 1 places have none. Ignores where rows end. Windows are paired
+    to windows of doubled width, finalised each time, so that no pattern of words cancels out."""
     size = max(len(hashes) - n + 1, 0)
-    acc = hashes[:size].copy()
-    for k in range(1, n):
-        acc *= _JOIN
-        acc += hashes[k : k + size]
-    return mix(acc)
+    if not size:
+        return np.zeros(0, np.uint64)
+    span, width, acc, have = hashes, 1, None, 0
+    while True:
+        if n & width:
+            part = span[have : have + size]
+            acc = part if acc is None else mix(acc * _JOIN + part)
+            have += width
+        if have == n:
+            return mix(acc + np.uint64(n))
+        span = mix(span[:-width] * _JOIN + span[width:])
+        width *= 2
 
 
 def inside(words: Words, n: int) -> np.ndarray:

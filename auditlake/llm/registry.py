@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("mixing", "packing", "quality_classifier", "jaccard_join", "line_dedup", "quality_rules", "warc", "toxicity", "substring_dedup", "topk", "fill_in_middle", "secret_scan")
+MODULES = ("mixing", "packing", "quality_classifier", "jaccard_join", "line_dedup", "quality_rules", "warc", "toxicity", "substring_dedup", "topk", "fill_in_middle", "secret_scan", "lexical_search")
 
 
 def load():
