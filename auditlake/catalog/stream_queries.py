@@ -21,6 +21,24 @@ def events(spark, sf):
     return read_stream(spark, sf, EVENTS, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Rows of a file that a stream reads; a batch has as many files as one slice of time.
+FILE_ROWS = 2_000_000
+
+
+def event_batches(spark, sf, n=3):
+    """The events as a stream of n batches, each a slice of time."""
+    rows = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(F.unix_micros("ts"), [k / n for k in range(1, n)], 10_000), F.count(F.lit(1))).first()
+    files = max(1, -(-cuts[1] // FILE_ROWS))
+    slices = F.lit(0)
+    for cut in cuts[0] or []:
+        slices = slices + F.coalesce((F.unix_micros("ts") >= cut).cast("int"), F.lit(0))
+    path = folder(spark, "events")
+    for k in range(n):  # one after another, since a stream takes files in the order of their times
+        rows.where(slices == k).repartition(files).write.mode("append").parquet(path)
+    return read_stream(spark, path, EVENTS.replace("TIMESTAMP_NTZ", "TIMESTAMP"), files_per_trigger=files)
+
+
 def folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -38,7 +56,7 @@ def to_table(stream, spark, name, mode="append"):
     def save(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    drained(stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    drained(jobs.run_batches(stream, save, f"{root}/checkpoint", mode))
     return spark.read.parquet(f"{root}/out")
 
 
@@ -48,9 +66,9 @@ CHANGES_SQL = f"""WITH {WATCH_SQL} SELECT program_id, event_id, a AS new_authori
 
 def _watched(spark, sf):
     root = folder(spark, "authority")
-    stream = events(spark, sf).select(
+    stream = event_batches(spark, sf).select(
         F.col("user_id").alias("program_id"), "event_id", "ts", F.nullif(F.col("event_type"), F.lit("error")).alias("authority"))
-    drained(jobs.watch_authority(stream, root, order=("ts", "event_id"), bucket=F.to_date("ts")))
+    drained(jobs.watch_authority(stream, root, order=("ts", "event_id")))
     return spark.read.parquet(f"{root}/output")
 
 
@@ -108,6 +126,12 @@ def stream_monitor(spark, sf):
     return _shown(jobs.interval_health(last.select("validator", "start", "_l.*")))
 
 
+@query("stream_intervals", MONITOR_SQL + " WHERE start + INTERVAL 2 HOUR <= (SELECT max(date_trunc('milliseconds', ts)) FROM events)")
+def stream_intervals(spark, sf):
+    """Append mode over several batches: the intervals that the watermark, an hour behind, has passed."""
+    return _shown(to_table(jobs.monitor(_samples(event_batches(spark, sf)), ["validator"], "1 hour", "1 hour"), spark, "intervals"))
+
+
 @query("stream_metrics", "SELECT event_type, count(*) AS count, sum(v)::BIGINT AS sum_ms, (sum(v) // count(v))::BIGINT AS avg_ms, min(v) AS min_ms, max(v) AS max_ms FROM (SELECT event_type, CAST(floor(value) AS BIGINT) AS v FROM events) GROUP BY event_type")
 def stream_metrics(spark, sf):
     stream = jobs.stream_metrics(events(spark, sf).withColumn("value_ms", F.floor("value")), ["event_type"])
@@ -129,7 +153,7 @@ def stream_scoreboard(spark, sf):
     from auditlake.operators.findings import rank_scoreboard
 
     root = folder(spark, "scoreboard")
-    stream = events(spark, sf).select(F.col("user_id").alias("program"), "ts", (F.floor("value") % 101).alias("score"))
+    stream = event_batches(spark, sf).select(F.col("user_id").alias("program"), "ts", (F.floor("value") % 101).alias("score"))
     drained(jobs.upsert_scoreboard(stream, root))
     newest = spark.read.parquet(f"{root}/state").groupBy("program").agg(F.max_by("score", "batch").alias("score"))
     return rank_scoreboard(newest).select("rank", "program", "score")
@@ -142,19 +166,32 @@ def _requests(e):
 RATE, BURST = 1 / 14400, 2.0
 
 
-@query("token_bucket")
+# One token in four hours, bursts of two; microseconds are the unit.
+BUCKET_SQL = """WITH RECURSIVE r AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ f AS (SELECT key, seq, us, rn, true AS admitted, 14400000000 AS units FROM r WHERE rn = 1
+  UNION ALL SELECT r.key, r.seq, r.us, r.rn, least(28800000000, f.units + r.us - f.us) >= 14400000000,
+   least(28800000000, f.units + r.us - f.us) - CASE WHEN least(28800000000, f.units + r.us - f.us) >= 14400000000 THEN 14400000000 ELSE 0 END
+  FROM f JOIN r ON r.key IS NOT DISTINCT FROM f.key AND r.rn = f.rn + 1)
+ SELECT key, seq, admitted, round(units / 14400000000, 6) AS tokens FROM f"""
+
+
+def _admitted(out):
+    return out.select("key", "seq", "admitted", F.round("tokens", 6).alias("tokens"))
+
+
+@query("token_bucket", BUCKET_SQL)
 def token_bucket_query(spark, sf):
-    """One request per four hours and user, bursts of two. Sequential state: checked against a row-by-row
-    fold in the tests."""
+    """One request per four hours and user, bursts of two."""
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return token_bucket(_requests(e), RATE, BURST, bucket=F.to_date("ts")).select("key", "seq", "admitted")
+    return _admitted(token_bucket(_requests(e), RATE, BURST))
 
 
-@query("stream_admission")
+@query("stream_admission", BUCKET_SQL)
 def stream_admission(spark, sf):
+    """In batches; a bucket that idles as long as it takes to fill is dropped."""
     root = folder(spark, "admission")
-    drained(jobs.admit(_requests(events(spark, sf)), root, RATE, BURST, bucket=F.to_date("ts"), idle_seconds=86_400.0 * 40))
-    return spark.read.parquet(f"{root}/output").select("key", "seq", "admitted")
+    drained(jobs.admit(_requests(event_batches(spark, sf)), root, RATE, BURST, idle_seconds=BURST / RATE))
+    return _admitted(spark.read.parquet(f"{root}/output"))
 
 
 @query("stream_scan")

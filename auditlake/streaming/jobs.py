@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import band
 from auditlake.functions.text import fingerprint
-from auditlake.operators.admission import bucket_state, evict_stale, token_bucket
-from auditlake.operators.monitor import authority_changes
 from auditlake.operators.scores import health_score
 from auditlake.plans.scan import raw_findings
-from auditlake.streaming.state import BatchState, run_batches
+from auditlake.streaming.keyed import AuthorityChanges, Buckets, run_batches, run_to
 
 # Severity of an authority event.
 EVENT_SEVERITY = {"Transferred": "Critical", "Upgraded": "Critical", "Revoked": "High", "FirstSeen": "Info"}
@@ -25,32 +23,17 @@ def event_severity(event_type: Column) -> Column:
     return out
 
 
-def watch_authority(
-    stream: DataFrame, root: str, key: str = "program_id", authority: str = "authority", order=("detected_at",),
-    bucket: Column | None = None, **trigger,
-):
-    """Authority changes of every batch against the last known authority per key.
+def authority_stream(stream: DataFrame, key: str = "program_id", authority: str = "authority", order=("detected_at",)) -> DataFrame:
+    """Streaming authority changes: each key's last authority is keyed state of the query.
 
-    The stored last rows join the batch as its oldest rows, so the batch operator finds the changes;
-    late rows inside a batch are put in order, rows older than the stored one are ignored.
-    """
-    state = BatchState(stream.sparkSession, root)
-    order = list(order)
-    cols = [key, authority, *order]
+    Rows of a batch are put in order, and rows no newer than the key's last one are ignored. A key's rows of one batch meet in one
+    task, so files_per_trigger bounds what it holds. Start it under keyed_state."""
+    return AuthorityChanges.over(stream, key, authority, list(order)).withColumn("severity", event_severity(F.col("event_type")))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        known = state.before(batch_id)
-        rows = batch.select(*cols).withColumn("_old", F.lit(False))
-        if known is not None:
-            newest = known.select(key, F.struct(*order).alias("_at"))
-            rows = rows.join(newest, key, "left").filter(F.col("_at").isNull() | (F.struct(*order) > F.col("_at"))).drop("_at")
-            rows = rows.unionByName(known.select(*cols).withColumn("_old", F.lit(True)))
-        found = authority_changes(rows, key, authority, tuple(order), bucket).filter("not _old").drop("_old")
-        last = F.max_by(F.struct(*[c for c in cols if c != key]), F.struct(*order))
-        newest = rows.groupBy(key).agg(last.alias("_l")).select(key, "_l.*")
-        state.save(batch_id, newest, found.withColumn("severity", event_severity(F.col("event_type"))))
 
-    return run_batches(stream, handle, f"{root}/checkpoint", **trigger)
+def watch_authority(stream: DataFrame, root: str, key: str = "program_id", authority: str = "authority", order=("detected_at",), **trigger):
+    """Authority changes, written by batch below {root}/output."""
+    return run_to(authority_stream(stream, key, authority, order), f"{root}/output", f"{root}/checkpoint", **trigger)
 
 
 def alerts(events: DataFrame, channels: list[str]) -> DataFrame:
@@ -106,43 +89,34 @@ def dedupe_stream(stream: DataFrame, cols: list[str], ts: str = "ts", watermark:
     return stream.withColumn("fingerprint", fingerprint(cols)).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def admission_stream(
+    stream: DataFrame, rate: float, burst: float, key: str = "key", ts: str = "ts", seq: str = "seq",
+    idle_seconds: float | None = None, late: str = "10 minutes",
+) -> DataFrame:
+    """Streaming token buckets: requests with `admitted` and `tokens`; each key's bucket is keyed state of the query.
+
+    idle_seconds: a bucket is dropped by an event-time timer once the watermark, `late` behind the newest request, has passed its
+    last request by so much; requests that come later than the watermark are then left out, as in any query with one. Start it
+    under keyed_state."""
+    return Buckets.over(stream, rate, burst, key, ts, seq, idle_seconds, late)
+
+
 def admit(
     stream: DataFrame, root: str, rate: float, burst: float, key: str = "key", ts: str = "ts", seq: str = "seq",
-    bucket: Column | None = None, idle_seconds: float | None = None, **trigger,
+    idle_seconds: float | None = None, late: str = "10 minutes", **trigger,
 ):
-    """Token-bucket admission of every batch; buckets idle for longer than idle_seconds are dropped."""
-    state = BatchState(stream.sparkSession, root)
+    """Token-bucket admission, written by batch below {root}/output."""
+    return run_to(admission_stream(stream, rate, burst, key, ts, seq, idle_seconds, late), f"{root}/output", f"{root}/checkpoint", **trigger)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        known = state.before(batch_id)
-        out = token_bucket(batch, rate, burst, key, ts, seq, bucket, known)
-        path = f"{state.root}/output/batch={batch_id}"
-        out.write.mode("overwrite").parquet(path)
-        done = batch.sparkSession.read.parquet(path)
-        newest = bucket_state(done, key, ts, seq)
-        if known is not None:
-            newest = newest.unionByName(known.join(newest.select(key), key, "left_anti"))
-        if idle_seconds is not None:
-            now = newest.agg(F.max("last_ts").alias("_now"))
-            newest = evict_stale(newest.join(F.broadcast(now), F.lit(True)), idle_seconds, F.col("_now")).drop("_now")
-        state.save(batch_id, newest)
-
-    return run_batches(stream, handle, f"{root}/checkpoint", **trigger)
 
+def scoreboard_stream(stream: DataFrame, key: str = "program", at: str = "ts", score: str = "score") -> DataFrame:
+    """Newest score per program (update mode)."""
+    return stream.groupBy(key).agg(F.max_by(F.struct(score, at), F.struct(at, score)).alias("_l")).select(key, "_l.*")
 
-def upsert_scoreboard(stream: DataFrame, root: str, key: str = "program", at: str = "ts", score: str = "score", **trigger):
-    """Newest score per program after every batch."""
-    state = BatchState(stream.sparkSession, root)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(key, score, at)
-        known = state.before(batch_id)
-        if known is not None:
-            rows = rows.unionByName(known.select(key, score, at))
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(score, at), F.struct(at, score)).alias("_l")).select(key, "_l.*")
-        state.save(batch_id, newest)
-
-    return run_batches(stream, handle, f"{root}/checkpoint", **trigger)
+def upsert_scoreboard(stream: DataFrame, root: str, key: str = "program", at: str = "ts", score: str = "score", **trigger):
+    """Newest score of the programs that each batch touched, below {root}/state."""
+    return run_to(scoreboard_stream(stream, key, at, score), f"{root}/state", f"{root}/checkpoint", "update", **trigger)
 
 
 def scan_stream(files: DataFrame, root: str, **trigger):

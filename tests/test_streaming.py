@@ -3,14 +3,15 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from auditlake.operators.admission import token_bucket
+from auditlake.operators.admission import FULL, UNCHANGED, Limits, bucket_state, token_bucket, value
 from auditlake.operators.monitor import authority_changes
 from auditlake.plans.scan import raw_findings
 from auditlake.sources.telemetry import read_stream
 from auditlake.streaming import jobs
-from auditlake.streaming.state import BatchState
+from auditlake.streaming.keyed import keyed_state
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -68,9 +69,8 @@ def test_token_bucket_equals_fold(spark):
     df = spark.createDataFrame(data, "key string, ts timestamp, seq int").repartition(6)
     want = fold(data, 0.5, 3.0)
     assert 0 < sum(want.values()) < len(want)
-    for bucket in (None, F.date_trunc("minute", "ts")):
-        out = token_bucket(df, 0.5, 3.0, bucket=bucket)
-        assert {r["seq"]: r["admitted"] for r in out.collect()} == want
+    out = token_bucket(df, 0.5, 3.0)
+    assert {r["seq"]: r["admitted"] for r in out.collect()} == want
 
 
 def test_admission_keeps_state_between_batches(spark, tmp_path):
@@ -83,14 +83,90 @@ def test_admission_keeps_state_between_batches(spark, tmp_path):
     assert got == fold(data, 0.5, 3.0)
 
 
-def test_state_ignores_unfinished_and_later_batches(spark, tmp_path):
-    state = BatchState(spark, str(tmp_path / "s"))
-    assert state.before(0) is None
-    for i in range(3):
-        state.save(i, spark.createDataFrame([(i,)], "n int"))
-    assert state.before(2).collect()[0][0] == 1
-    state.save(1, spark.createDataFrame([(10,)], "n int"))
-    assert state.before(2).collect()[0][0] == 10
+def test_a_busy_key_spans_tasks(spark):
+    """The busy key never idles, so no task but the first knows its bucket; keys and other columns may be null."""
+    rng = random.Random(8)
+    at, data = 0, []
+    for i in range(3000):
+        at += rng.choice([100_000, 250_000, 400_000])
+        data.append((None if rng.random() < 0.7 else rng.randrange(5), T0 + dt.timedelta(microseconds=at), i, 9007199254740993 if i % 2 else None))
+    df = spark.createDataFrame(data, "key long, ts timestamp, seq int, big long").repartition(5)
+    for rate, burst in ((0.9, 4.0), (3.0, 1.0), (1 / 3, 7.5)):
+        exact = Limits.of(rate, burst)
+        state, want = {}, {}
+        for key, ts, seq, _ in data:
+            t = int((ts - dt.datetime(1970, 1, 1)).total_seconds() * 10**6 + 0.5) * exact.scale
+            want[seq], state[key] = exact.after(state.get(key, FULL), t)
+        assert 0 < sum(want.values()) < len(want)
+        out = token_bucket(df, rate, burst)
+        assert {r["seq"]: r["admitted"] for r in out.collect()} == want
+        assert {r["seq"]: r["big"] for r in out.collect()} == {i: big for _, _, i, big in data}
+
+
+def test_nullable_keys_and_times(spark):
+    data = [(None, T0 + dt.timedelta(seconds=i), i) for i in range(6)] + [(1, None, 6), (None, None, 7), (1, T0, 8)]
+    got = {r["seq"]: (r["admitted"], r["tokens"]) for r in token_bucket(spark.createDataFrame(data, "key long, ts timestamp, seq int"), 1e-6, 2.0).collect()}
+    assert [got[i][0] for i in range(9)] == [True, True, False, False, False, False, False, False, True] and got[6][1] is None and got[8][1] == 1.0
+    assert token_bucket(spark.createDataFrame([], "key long, ts timestamp, seq int"), 1.0, 2.0).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 5), st.lists(st.integers(0, 60), max_size=30), st.lists(st.integers(-300, 40), min_size=1, max_size=20))
+def test_step_functions_equal_the_fold(token, burst, gaps, starts):
+    limits = Limits(1, token, burst * token)
+    steps, t = list(UNCHANGED), 0
+    times = []
+    for gap in gaps:
+        t += gap
+        times.append(t)
+        steps = limits.advance(steps, t, times[0])
+    for start in [*starts, FULL]:
+        v = min(start, times[0] if times else 0)
+        end = v
+        for t in times:
+            _, end = limits.after(end, t)
+        assert value(steps, v) == end
+
+
+def test_step_functions_stay_small():
+    for burst in (1, 4, 20):
+        rng, limits, steps, t = random.Random(burst), Limits(1, 1000, burst * 1000), list(UNCHANGED), 0
+        for i in range(3000):
+            t += rng.randint(0, 700)
+            top = t if i == 0 else top
+            steps = limits.advance(steps, t, top)
+            assert len(steps) <= 2 * burst + 20
+
+
+def test_admission_continues_from_a_state(spark):
+    data = requests(400, 9)
+    df = spark.createDataFrame(data, "key string, ts timestamp, seq int")
+    want = fold(data, 0.5, 3.0)
+    early = token_bucket(df.where("seq < 150"), 0.5, 3.0).cache()
+    late = token_bucket(df.where("seq >= 150"), 0.5, 3.0, state=bucket_state(early))
+    assert {r["seq"]: r["admitted"] for r in early.unionByName(late).collect()} == want
+
+
+def test_idle_buckets_are_dropped(spark, tmp_path):
+    """A bucket that is dropped starts full again; one with a later request stays."""
+    minutes = lambda *at: [T0 + dt.timedelta(minutes=m) for m in at]
+    times = [minutes(0, 0, 0), minutes(30, 90, 90), minutes(95, 96, 97)]
+    keys = [["a", "a", "b"], ["b", "c", "c"], ["a", "b", "c"]]
+    data = [(k, t, 3 * i + j) for i, (ks, ts) in enumerate(zip(keys, times, strict=True)) for j, (k, t) in enumerate(zip(ks, ts, strict=True))]
+    stream = batches(spark, tmp_path, data, "key string, ts timestamp, seq int", 3)
+    root = str(tmp_path / "job")
+    jobs.admit(stream, root, 1e-6, 1.0, idle_seconds=3600.0, late="1 minute").awaitTermination()
+    got = {r["seq"]: r["admitted"] for r in spark.read.parquet(f"{root}/output").collect()}
+    # a (last at 0) was dropped when the watermark reached minute 89; b (last at 30) was not
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
+
+
+def test_session_settings_come_back(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    with keyed_state(spark):
+        assert "RocksDB" in spark.conf.get(name)
+    assert spark.conf.get(name) == before
 
 
 def test_scan_stream_replaces_old_findings(spark, tmp_path, rows):
