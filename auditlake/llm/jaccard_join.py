@@ -262,14 +262,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     Odd rows: null, empty and blank texts have no shingles and link with nothing; a text shorter than a shingle is one shingle;
     rows with one id are one document with several texts; each row with a null id is a document of its own after all others,
-    and its component is null if it reaches no id; a null id without a text shows the smallest component of the null ids; an empty
-    table gives no rows; other columns are not read."""
+    and its component is null if it reaches no id, as that of a null id without a text; an empty table gives no rows; other columns
+    are not read."""
     groups, blank, links = _linked(numbered(docs.select("doc_id", "text")), shingle, num, den)
     several = groups.where("doc IS NOT NULL").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc", "a")
     same = groups.join(several, "doc").where("a < rep").select("a", F.col("rep").alias("b"))
     reached = write_cut(groups.join(_best(groups, links.unionByName(same), F.col("doc")), "rep").select("doc", "n", F.col("best").alias("component_id")))
     by_id = reached.groupBy(F.col("doc").alias("id")).agg(F.min("component_id").alias("low"))
-    alone = blank.join(by_id, F.col("doc").eqNullSafe(F.col("id")), "left").select("doc", "n", F.coalesce("low", "doc").alias("component_id"))
+    alone = blank.join(by_id, F.col("doc") == F.col("id"), "left").select("doc", "n", F.coalesce("low", "doc").alias("component_id"))
     return reached.unionByName(alone).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 

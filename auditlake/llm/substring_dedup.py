@@ -3,7 +3,7 @@
 Levels of doubling length: a short window is posted first, and only where it repeats is a window of about twice the length looked
 at, until the wanted length is reached or nothing repeats. Of the shortest windows only the smallest hash of each wanted window is
 posted; equal windows choose equal ones, so nothing is lost. Between levels goes a bit array of slots that two documents hit: its size
-is bounded, false hits only let more windows through to the next level, and the last level compares hashes exactly.
+is bounded, false hits only let more windows through to the next level, and the last level compares 96-bit hashes of whole windows.
 """
 
 from __future__ import annotations
@@ -12,16 +12,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from auditlake.llm.common import Words, grams, inside, keep_ids, short_batches, table, text_chunks, write_cut
+from auditlake.llm.common import Words, grams, inside, short_batches, table, text_chunks, write_cut
 
 #: Words of a passage, fewest words of a level, bits a posted window and greatest bits of the slots between levels.
-LENGTH, SHORTEST, BITS_EACH, MOST_BITS = 13, 6, 16, 1 << 30
-#: Blocks in which slots travel.
-BLOCKS = 256
+LENGTH, SHORTEST, BITS_EACH, MOST_BITS = 13, 4, 16, 1 << 30
+#: Blocks in which slots travel, and bits that one task merges.
+BLOCKS, TASK_BITS = 256, 1 << 22
+#: Documents that lose something (two numbers each) up to which their ids are broadcast.
+LOST_ROWS = 1_000_000
 #: Stands for a null document id, after all others.
 NO_ID = (1 << 63) - 1
 
@@ -29,8 +32,8 @@ NO_ID = (1 << 63) - 1
 def levels(length: int) -> list[int]:
     """Window lengths from the shortest to the wanted one; each is at most twice the one before."""
     out = [length]
-    while out[0] >= 2 * SHORTEST:
-        out.insert(0, -(-out[0] // 2) if out[0] > 2 * SHORTEST + 1 else SHORTEST)
+    while out[0] > SHORTEST:
+        out.insert(0, max(SHORTEST, -(-out[0] // 2)))
     return out
 
 
@@ -106,7 +109,7 @@ def repeated_slots(docs: DataFrame, windows, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(bitmap, 1)], pa.binary())], ["block", "bits"])
 
     parts = docs.select("text").mapInArrow(collect, "block int, once binary, twice binary")
-    merged = parts.repartition(BLOCKS // 4, "block").mapInArrow(merge, "block int, bits binary")
+    merged = parts.repartition(min(BLOCKS, max(1, bits // TASK_BITS)), "block").mapInArrow(merge, "block int, bits binary")
     out = np.zeros((BLOCKS, part // 8), np.uint8)
     for row in merged.toLocalIterator():
         out[row["block"]] = np.frombuffer(zlib.decompress(bytes(row["bits"])), np.uint8)
@@ -118,9 +121,9 @@ def _hit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _candidates(words: Words, steps: list[int], sent: list) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the windows of steps[len(sent)] words whose shorter windows all repeat, as far as the bit arrays tell."""
-    hashes, length = words.hashes(), steps[len(sent)]
+def _candidates(words: Words, hashes: np.ndarray, steps: list[int], sent: list) -> np.ndarray:
+    """Places of the windows of steps[len(sent)] words whose shorter windows all repeat, as far as the bit arrays tell."""
+    length = steps[len(sent)]
     whole = inside(words, length)
     for level, bits in enumerate(sent):
         short = steps[level]
@@ -131,16 +134,20 @@ def _candidates(words: Words, steps: list[int], sent: list) -> tuple[np.ndarray,
         else:
             found, span = _hit(bits.value, grams(hashes, short)), short
         whole &= found[: len(whole)] & found[length - span : length - span + len(whole)]
-    places = np.flatnonzero(whole)
-    return places, grams(hashes, length)[places]
+    return np.flatnonzero(whole)
 
 
 def _bits(docs_words: int) -> int:
     return int(min(MOST_BITS, max(1 << 20, 1 << int(docs_words * BITS_EACH - 1).bit_length())))
 
 
+def _keyed(docs: DataFrame) -> list[Column]:
+    """doc and salt: the id, and for rows without one, which are told apart by their texts, a hash of the text."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"), F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).otherwise(F.lit(0)).alias("salt")]
+
+
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, hash): the windows of each document whose words also start in a document with a smaller id."""
+    """(doc, salt, hash): the windows of each document whose words also start in a document with a smaller id."""
     short_batches(docs.sparkSession)
     steps, sent = levels(length), []
     spark = docs.sparkSession
@@ -155,52 +162,55 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 return words.owners()[: len(whole)][whole], posted[whole]
             expected = total // 25
         else:
-            def windows(words, upto=tuple(sent)):
-                places, hashes = _candidates(words, steps, list(upto))
-                return words.owners()[places], hashes
+            def windows(words, upto=tuple(sent), length=steps[level]):
+                hashes = words.hashes()
+                places = _candidates(words, hashes, steps, list(upto))
+                return words.owners()[places], grams(hashes, length)[places]
             expected = total // 25
         bitmap = repeated_slots(docs, windows, _bits(expected))
         if not bitmap.any():
-            return spark.createDataFrame([], "doc long, hash long")
+            return spark.createDataFrame([], "doc long, salt long, hash long")
         sent.append(spark.sparkContext.broadcast(bitmap))
 
     def post(batches):
         for batch in batches:
-            for low, _, words in text_chunks(batch.column(1)):
-                places, hashes = _candidates(words, steps, sent)
-                rows = words.owners()[places]
-                order = np.lexsort((hashes, rows))
-                rows, hashes = rows[order], hashes[order]
+            for low, _, words in text_chunks(batch.column(2)):
+                first, second = words.wide_hashes()
+                places = _candidates(words, first, steps, sent)
+                rows, hashes, more = words.owners()[places], grams(first, length)[places], (grams(second, length)[places] >> np.uint64(32)).astype(np.uint32)
+                order = np.lexsort((more, hashes, rows))
+                rows, hashes, more = rows[order], hashes[order], more[order]
                 new = np.ones(len(rows), bool)
-                new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-                docs_of = batch.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(docs_of[low + rows[new]], pa.int64()), pa.array(hashes[new].view(np.int64))], ["doc", "hash"])
+                new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1])
+                at = pa.array(low + rows[new])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes[new].view(np.int64)), pa.array(more[new].view(np.int32))], ["doc", "salt", "hash", "more"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    held = rows.mapInArrow(post, "doc long, hash long")  # made twice rather than kept: as many rows as repeated words
-    owners = held.groupBy("hash").agg(F.min("doc").alias("owner"), F.max("doc").alias("top")).where("owner < top").select("hash", "owner")
-    return held.join(owners, "hash").where("doc > owner").select("doc", "hash")
+    held = docs.select(*_keyed(docs), "text").mapInArrow(post, "doc long, salt long, hash long, more int")  # made twice rather than kept: as many rows as repeated words
+    owners = held.groupBy("hash", "more").agg(F.min("doc").alias("owner"), F.max("doc").alias("top")).where("owner < top").select("hash", "more", "owner")
+    return held.join(owners, ["hash", "more"]).where("doc > owner").select("doc", "salt", "hash")
 
 
 def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with new columns __kept (words that stay, joined by a space), __n_words and __n_removed; other columns pass through.
+    """docs with new columns __kept (words that stay, joined by a space), __n_words and __n_removed, which replace any of these names;
+    other columns pass through.
 
     A word goes if a window of length words that covers it also starts in a document with a smaller id; windows are judged on the
     texts as given. Odd rows: null, empty and short texts have no window and lose nothing; rows of one id don't count against each
-    other; a null id counts as the greatest; windows are compared by 64-bit hashes of their words; an empty table stays empty."""
-    lost = write_cut(repeated_windows(docs, length).groupBy("doc").agg(F.collect_set("hash").alias("__lost")))
-    ids = lost.select(F.col("doc").alias("__doc"))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    touched = keep_ids(keyed, ids).join(lost.withColumnRenamed("doc", "__doc"), "__doc").drop("__doc")
-    others = keep_ids(keyed, ids, "left_anti").drop("__doc").withColumn("__lost", F.lit(None).cast("array<long>"))
-    schema = docs.schema
-    at = schema.fieldNames().index("text")
-    out = StructType(list(schema.fields)).add("__kept", "string").add("__n_words", "long").add("__n_removed", "long")
+    other; a null id counts as the greatest; windows are compared by 96 bits of hashes of their words; an empty table stays empty."""
+    docs = docs.drop("__kept", "__n_words", "__n_removed")
+    lost = write_cut(repeated_windows(docs, length).groupBy("doc", "salt").agg(F.collect_set("hash").alias("lost")))
+    ids = lost.select("doc", "salt")
+    ids = F.broadcast(ids) if lost.count() <= LOST_ROWS else ids  # so that texts stay where they are
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_keyed(docs))
+    touched = rows.join(ids, ["doc", "salt"], "left_semi").join(lost, ["doc", "salt"]).select("row", "lost")
+    others = rows.join(ids, ["doc", "salt"], "left_anti").select("row", F.lit(None).cast("array<long>").alias("lost"))
+    at = docs.columns.index("text")
+    out = StructType().add("row", rows.schema["row"].dataType).add("__kept", "string").add("__n_words", "long").add("__n_removed", "long")
 
     def remove(batches):
         for batch in batches:
-            lost_of = batch.column(len(schema.fields))
-            for low, high, words in text_chunks(batch.column(at)):
+            lost_of = batch.column(1)
+            for low, high, words in text_chunks(pc.struct_field(batch.column(0), [at])):
                 kept, removed = [], []
                 gone = np.zeros(len(words.starts) + 1, np.int64)
                 hashes = None
@@ -221,12 +231,10 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     else:
                         kept.append(b" ".join(raw[words.bounds[row] : words.bounds[row + 1]].split()))
                     removed.append(int(covered[a:b].sum()))
-                columns = [batch.column(k).slice(low, high - low) for k in range(len(schema.fields))]
-                columns += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64())]
+                columns = [batch.column(0).slice(low, high - low), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, out.fieldNames())
 
-    names = [*schema.fieldNames(), "__lost"]
-    return touched.select(*names).unionByName(others.select(*names)).mapInArrow(remove, out)
+    return touched.unionByName(others).mapInArrow(remove, out).select("row.*", "__kept", "__n_words", "__n_removed")
 
 
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -98,7 +98,7 @@ class Best:
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products: through doubles while no sum can pass 2**53, else in 64-bit whole numbers."""
-    if len(a) and len(b) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
+    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
         return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
@@ -174,7 +174,7 @@ def _assigned(vectors: DataFrame, centers: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, centers.shape[1])
                 home = np.argmin(norms - 2 * (flat.astype(float) @ sent.value.T), axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary()), pa.array(home)], ["vec_id", "v", "home"])
 

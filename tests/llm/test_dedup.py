@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake.llm import jaccard_join, line_dedup, substring_dedup
 
@@ -103,11 +104,33 @@ def test_bitmaps_never_rule_out_a_link():
 
 def test_groups_of_odd_and_empty_tables(odd_docs, no_docs):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(odd_docs).collect()), key=repr)
-    # the null id links with document 1 through one of its texts, and so do all its rows
-    assert got == sorted([(1, 10, 1)] * 3 + [(2, 0, 2), (None, 10, 1), (None, 0, 1)], key=repr)
+    # a null id links through its own text; without one it links with nothing
+    assert got == sorted([(1, 10, 1)] * 3 + [(2, 0, 2), (None, 10, 1), (None, 0, None)], key=repr)
     assert jaccard_join.near_duplicates(no_docs).count() == 0
 
 
+def test_empty_rows_without_an_id_link_with_nothing(spark):
+    docs = spark.createDataFrame([(1, "w"), (None, "w"), (None, None), (None, "")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (None, 1, 1), (None, 0, None), (None, 0, None)], key=repr)
+
+
+def alike():
+    """Texts of two letters, and of two words, that follow the Thue-Morse sequence and its complement: polynomial sums are equal."""
+    turns = [bin(k).count("1") % 2 for k in range(1024)]
+    letters = ["".join("ab"[t ^ flip] for t in turns) for flip in (0, 1)]
+    return letters, [" ".join(("left", "right")[t ^ flip] for t in turns[:16]) for flip in (0, 1)]
+
+
+def test_words_that_polynomials_mix_up_stay_apart(spark):
+    (a, b), (c, d) = alike()
+    docs = spark.createDataFrame([(1, f"{a} {a} {a} {a}"), (2, f"{b} {b} {b} {b}"), (3, c), (4, d)], "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard_join.near_duplicates(docs, 16).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+    both = spark.createDataFrame([(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, c), (4, d)], "doc_id long, text string")
+    for length in (13, 16):
+        assert [r["__n_removed"] for r in substring_dedup.dedup_passages(both, length).orderBy("doc_id").collect()] == [0] * 4
+
+
 def _prose(seed, size=60):
     return [f"{seed}{k}" for k in range(size)]
 
@@ -152,6 +175,28 @@ def test_passages_of_any_length_match_brute_force(spark, folder, length):
     assert {r["doc_id"]: (r["__n_words"], r["__n_removed"], r["__kept"]) for r in got.collect()} == want
 
 
+def test_levels_double():
+    assert substring_dedup.levels(13) == [4, 7, 13] and substring_dedup.levels(3) == [3] and substring_dedup.levels(50) == [4, 7, 13, 25, 50]
+    for length in range(1, 80):
+        steps = substring_dedup.levels(length)
+        assert all(a < b <= 2 * a for a, b in zip(steps, steps[1:])) and steps[-1] == length
+
+
+def test_passages_of_null_ids_and_clashing_names(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(7, text), (None, text + " more"), (None, text + " more"), (None, "other " + text), (None, " ".join(f"x{k}" for k in range(20))), (None, " ".join(f"x{k}" for k in range(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("__doc", "__lost", "__kept", "doc", "salt", "lost", "row", "hash", "a.b"):
+        docs = docs.withColumn(name, F.lit(name))
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(substring_dedup, "LOST_ROWS", most)
+        done = substring_dedup.dedup_passages(docs)
+        got = sorted(((r["doc_id"], r["__kept"], r["__n_removed"]) for r in done.collect()), key=repr)
+        # rows without an id don't count against each other
+        assert got == sorted([(7, text, 0), (None, "more", 20), (None, "more", 20), (None, "other", 20), (None, rows[4][1], 0), (None, rows[4][1], 0)], key=repr)
+        assert [r["__doc"] for r in done.collect()] == ["__doc"] * 6 and done.columns[-3:] == ["__kept", "__n_words", "__n_removed"]
+
+
 def test_few_slots_change_nothing(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     want = sorted(map(tuple, substring_dedup.dedup_passages(docs).collect()), key=repr)

@@ -104,3 +104,10 @@ def test_search_of_odd_and_empty_tables(spark):
     # of the two rows of id 0 the smaller vector asks
     assert [tuple(r) for r in sorted(got)] == [(0, 1, 3, 2048), (0, 2, 3, 2048), (0, 3, 4, 0)]
     assert topk.top_k(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_search_of_empty_vectors(spark):
+    """Every score is 0, ties go to the smaller id."""
+    rows = spark.createDataFrame([(k, []) for k in (0, 20, 21, 5)], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(rows, F.col("vec_id") % 20 == 0, 2).collect())
+    assert got == [(0, 1, 5, 0), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 5, 0)]
