@@ -3,7 +3,8 @@
 Distinct line hashes that several documents hold are dealt into shards. Each shard keeps a minimal perfect hash (levels of bit
 arrays; a key sits at its rank in the first level in which it met no other) over arrays of fingerprints, document counts and
 owners. The lines that most documents hold form the first tier, whose arrays have a fixed greatest size and go to every task.
-Only if more lines repeat than that tier holds, the others are probed shard by shard: hashes travel to the shards, texts do not.
+Only if more lines repeat than that tier holds, the others are probed shard by shard: hashes of lines that the first tier doesn't hold
+travel to the shards, texts do not.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -96,18 +98,21 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
-def _texts(batch: pa.RecordBatch):
+def _texts(ids: pa.Array, texts: pa.Array):
     """(document id, text as bytes) of each row."""
-    ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NO_ID).to_pylist()
-    texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
-    return zip(ids, (x.as_py() or b"" for x in texts), strict=True)
+    return zip(ids.to_pylist(), (x.as_py() or b"" for x in texts.cast(pa.large_binary())), strict=True)
+
+
+def _ids(docs: DataFrame) -> list[Column]:
+    """doc and salt: the id, and for rows without one, which are told apart by their texts, a hash of the text."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"), F.when(docs["doc_id"].isNull(), F.xxhash64(docs["text"])).otherwise(F.lit(0)).alias("salt")]
 
 
 def _documents_lines(batches):
     """Each document's distinct line hashes."""
     for batch in batches:
         keys, owners = [], []
-        for doc, text in _texts(batch):
+        for doc, text in _texts(batch.column(0), batch.column(1)):
             own = {k for k in map(line_key, text.split(b"\n")) if k is not None}
             keys.extend(own)
             owners.extend([doc] * len(own))
@@ -118,7 +123,7 @@ def _documents_lines(batches):
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(hi, lo, docs, owner): hashes of lines that at least two documents hold; owner is the smallest id."""
-    lines = docs.select("doc_id", "text").mapInArrow(_documents_lines, "hi long, lo long, doc long")
+    lines = docs.select(_ids(docs)[0], "text").mapInArrow(_documents_lines, "hi long, lo long, doc long")
     held = lines.groupBy("hi", "lo").agg(F.min("doc").alias("owner"), F.max("doc").alias("top"), F.count(F.lit(1)).alias("docs"))
     return held.where("owner < top").select("hi", "lo", "docs", "owner")
 
@@ -169,9 +174,25 @@ def _least_count(lines: DataFrame, keys: int) -> int:
     return 0
 
 
-def _routed_drops(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, hashes): for each document the hashes of lines beyond the first tier that it must lose."""
-    probes = docs.select("doc_id", "text").mapInArrow(_documents_lines, "hi long, lo long, doc long")
+def _routed_drops(docs: DataFrame, lines: DataFrame, tier) -> DataFrame:
+    """(doc, salt, hashes): for each document the hashes of lines beyond the first tier that it must lose. Lines that the tier holds
+    are not asked for, so no line that travels is held by more documents than any in the tier."""
+
+    def ask(batches):
+        for batch in batches:
+            keys, rows = [], []
+            for row, (_, text) in enumerate(_texts(batch.column(0), batch.column(1))):
+                own = {k for k in map(line_key, text.split(b"\n")) if k is not None}
+                keys.extend(own)
+                rows.extend([row] * len(own))
+            if keys:
+                hi, lo = _hashes(keys)
+                left = tier.value.owners(hi, lo) == NO_ID
+                at = pa.array(np.asarray(rows, np.int64)[left])
+                yield pa.RecordBatch.from_arrays([pa.array(hi[left].view(np.int64)), pa.array(lo[left].view(np.int64)), batch.column(0).take(at), batch.column(2).take(at)], ["hi", "lo", "doc", "salt"])
+
+    doc, salt = _ids(docs)
+    probes = write_cut(docs.select(doc, "text", salt).mapInArrow(ask, "hi long, lo long, doc long, salt long"))
     shards = max(1, -(-lines.count() // SHARD_KEYS), -(-probes.count() // SHARD_PROBES))
     arrays = line_arrays(lines, shards)
 
@@ -182,41 +203,46 @@ def _routed_drops(docs: DataFrame, lines: DataFrame) -> DataFrame:
             shard = pickle.loads(packed)
             found = probe_shard(shard, hi.astype(np.int64).view(np.uint64), lo.astype(np.int64).view(np.uint64))
             lose |= (found >= 0) & (shard["owners"][np.maximum(found, 0)] < doc)
-        return pa.table({"doc": doc[lose], "hash": hi[lose]}, schema=pa.schema([("doc", pa.int64()), ("hash", pa.int64())]))
+        lost = asked.filter(pa.array(lose))
+        return pa.table({"doc": lost.column("doc"), "salt": lost.column("salt"), "hash": lost.column("hi")})
 
-    dealt = probes.withColumn("shard", F.pmod("lo", F.lit(shards)).cast("int")).groupBy("shard")
-    lost = dealt.cogroup(arrays.groupBy("shard")).applyInArrow(probe, "doc long, hash long")
-    return lost.groupBy("doc").agg(F.collect_set("hash").alias("__lost"))
+    dealt = probes.withColumn("shard", F.pmod("lo", F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard")
+    lost = dealt.cogroup(arrays.repartition(shards, "shard").groupBy("shard")).applyInArrow(probe, "doc long, salt long, hash long")
+    return lost.groupBy("doc", "salt").agg(F.collect_set("hash").alias("lost"))
 
 
 def dedup_lines(docs: DataFrame, tier_keys: int = TIER_KEYS) -> DataFrame:
-    """docs with new columns __kept (text without the lost lines), __n_lines and __n_dropped; other columns pass through.
+    """docs with new columns __kept (text without the lost lines), __n_lines and __n_dropped, which replace any of these names; other
+    columns pass through.
 
     A line's key is the line stripped of white space and ASCII lower-cased; a key of at least ten code points held by two or more
     ids stays only in the documents with the smallest id. Odd rows: a null or empty text is one empty line; repeated rows of one
     id count as one document; a null id counts as the greatest; texts of any length are taken whole; an empty table stays
     empty. A document may lose all its lines: its row stays with an empty text."""
     spark = docs.sparkSession
+    docs = docs.drop("__kept", "__n_lines", "__n_dropped")
     lines = write_cut(repeated_lines(docs))
     least = _least_count(lines, tier_keys)
     first = lines.where(F.col("docs") >= least)
     shards = max(1, -(-first.count() // SHARD_KEYS))
     tier = FirstTier(shards, {r["shard"]: bytes(r["arrays"]) for r in line_arrays(first, shards).collect()})
     sent = spark.sparkContext.broadcast(tier)
-    rows = docs
+    doc, salt = _ids(docs)
+    place = docs.columns.index("text")
+    rows = docs.select(doc, salt, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     if least > 0:
-        lost = _routed_drops(docs, lines.where(F.col("docs") < least)).withColumnRenamed("doc", "__doc")
-        rows = docs.join(lost, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__doc"), "left").drop("__doc")
-    schema = docs.schema
-    out = StructType(list(schema.fields)).add("__kept", "string").add("__n_lines", "long").add("__n_dropped", "long")
+        rows = rows.join(_routed_drops(docs, lines.where(F.col("docs") < least), sent), ["doc", "salt"], "left")
+    else:
+        rows = rows.withColumn("lost", F.lit(None).cast("array<long>"))
+    out = StructType().add("row", rows.schema["row"].dataType).add("__kept", "string").add("__n_lines", "long").add("__n_dropped", "long")
 
     def drop(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            extra = batch.column(batch.schema.get_field_index("__lost")).to_pylist() if least > 0 else [None] * batch.num_rows
+            extra = batch.column(2).to_pylist()
             docs_lines, keys, owners = [], [], []
-            for doc, text in _texts(batch):
+            for doc, text in _texts(batch.column(0), pc.struct_field(batch.column(1), [place])):
                 parts = text.split(b"\n")
                 own = [(n, k) for n, k in enumerate(map(line_key, parts)) if k is not None]
                 docs_lines.append((doc, parts, [n for n, _ in own]))
@@ -234,12 +260,10 @@ def dedup_lines(docs: DataFrame, tier_keys: int = TIER_KEYS) -> DataFrame:
                 gone = {places[k] for k in np.flatnonzero(mine)}
                 dropped.append(len(gone))
                 kept.append(b"\n".join(p for n, p in enumerate(parts) if n not in gone) if gone else b"\n".join(parts))
-            names = [f.name for f in schema.fields]
-            columns = [batch.column(k) for k in range(len(names))]
-            columns += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "__kept", "__n_lines", "__n_dropped"])
+            columns = [batch.column(1), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, out.fieldNames())
 
-    return rows.mapInArrow(drop, out)
+    return rows.select("doc", "row", "lost").mapInArrow(drop, out).select("row.*", "__kept", "__n_lines", "__n_dropped")
 
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

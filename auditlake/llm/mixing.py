@@ -82,28 +82,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """docs (doc_id, text, source, ...) with a struct column __mix: size, source_size, target, copies and taken (words, repeats
     counted). Defined for odd rows: a null or empty text has size 0 and copies of its source's whole part or as its hash falls;
     rows of one source with equal ids (null ids too) are taken alike; a source without words has target 0; no row is dropped.
-    Other columns, whatever their names, pass through."""
+    Other columns, whatever their names, pass through; one named __mix is replaced."""
     size = n_words(F.col("text")) if size is None else size
     key = F.md5(F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = write_cut(docs.select("source", size.alias("size"), key.alias("hash")))
     bounds = thresholds(sized, source_targets(sized, weights, most))
-    found = bounds.select("source", F.struct("source_size", "target", "whole", "last").alias("__bound"))
-    joined = lookup(docs, found, ["source"]).withColumn("__size", size)
-    copies = (F.col("__bound.whole") + (key <= F.col("__bound.last")).cast("int")).cast("int")
-    copies = F.least(copies, F.lit(most))
-    return joined.withColumn(
-        "__mix",
-        F.struct(
-            F.col("__size").alias("size"), F.col("__bound.source_size").alias("source_size"), F.col("__bound.target").alias("target"),
-            copies.alias("copies"), (F.col("__size") * copies).cast("long").alias("taken"),
-        ),
-    ).drop("__size", "__bound")
+    found = bounds.select("source", F.struct("source_size", "target", "whole", "last").alias("bound"))
+    docs = docs.drop("__mix")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "source", size.alias("size"), key.alias("hash"))
+    copies = F.least((F.col("bound.whole") + (F.col("hash") <= F.col("bound.last")).cast("int")).cast("int"), F.lit(most))
+    mixed = F.struct("size", F.col("bound.source_size").alias("source_size"), F.col("bound.target").alias("target"), copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return lookup(rows, found, ["source"]).select("doc.*", mixed.alias("__mix"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
     taken = mix(docs, weights, most).where("__mix.copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).drop("__copy", "__mix")
+    rows = taken.select(F.struct(*(F.col(f"`{c}`") for c in taken.columns if c != "__mix")).alias("doc"), F.explode(F.sequence(F.lit(1), F.col("__mix.copies"))))
+    return rows.select("doc.*")
 
 
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:

@@ -71,35 +71,33 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard_ro
     A batch of bound b has max(1, budget // b) slots; documents of a bucket fill batches in the order of a hash of their id, so
     only the last batch of a bucket can be short. Numbering is by shards of a bucket: each shard is ordered alone and starts at
     the summed sizes of the shards before it, so neither a bucket nor a hot length meets in one task. Null and empty texts have
-    one token; null ids and repeated rows are packed like others; a text longer than the budget is a batch alone; an empty table
-    gives no batch. Other columns pass through."""
-    narrow = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    measured = write_cut(narrow)
+    one token; null ids and repeated rows are packed like others, rows of equal id and length (or of no id and equal text) in any
+    order; a text longer than the budget is a batch alone; an empty table gives no batch. Other columns, whatever their names, pass
+    through; one named __pack is replaced."""
+    docs = docs.drop("__pack")
+    # rows without an id are ordered by their texts
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("string")))
+    length = tokens(F.col("text"))
+    measured = write_cut(docs.select(length.alias("tokens"), own.alias("own")))
     bounds = bucket_bounds(measured, buckets)
     total = measured.count()
     shards = max(1, -(-total // shard_rows))
 
-    def placed(rows: DataFrame, length: Column) -> DataFrame:
-        rows = rows.withColumn("__tokens", length)
-        steps = [F.when(F.col("__tokens") <= b, F.lit(b).cast("long")) for b in bounds or [1]]
-        order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__tokens")
-        rows = rows.withColumn("__bound", F.least(*steps, F.lit(bounds[-1] if bounds else 1).cast("long"))).withColumn("__order", order)
-        return rows.withColumn("__shard", F.pmod(F.shiftright("__order", 24), F.lit(shards)).cast("int"))
-
-    sizes = placed(measured, F.col("tokens")).groupBy("__bound", "__shard").count()
-    before = Window.partitionBy("__bound").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("__bound").alias("__b"), F.col("__shard").alias("__s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    number = F.row_number().over(Window.partitionBy("__bound", "__shard").orderBy("__order", F.col("doc_id").asc_nulls_last()))
-    numbered = placed(docs, tokens(F.col("text"))).withColumn("__n", number).join(starts, (F.col("__bound") == F.col("__b")) & (F.col("__shard") == F.col("__s")))
-    slots = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("__bound")))
-    nth = F.col("__start") + F.col("__n") - 1
-    return numbered.withColumn(
-        "__pack",
-        F.struct(
-            F.col("__tokens").alias("n_tokens"), F.col("__bound").alias("bucket"),
-            F.concat_ws("-", F.col("__bound"), F.floor(nth / slots)).alias("batch_id"), (nth % slots).cast("int").alias("slot"),
-        ),
-    ).drop("__tokens", "__bound", "__order", "__shard", "__n", "__b", "__s", "__start")
+    def placed(rows: DataFrame) -> DataFrame:
+        steps = [F.when(F.col("tokens") <= b, F.lit(b).cast("long")) for b in bounds or [1]]
+        rows = rows.withColumns({"bound": F.least(*steps, F.lit(bounds[-1] if bounds else 1).cast("long")), "order": F.xxhash64("own", "tokens")})
+        return rows.withColumn("shard", F.pmod(F.shiftright("order", 24), F.lit(shards)).cast("int"))
+
+    sizes = placed(measured).groupBy("bound", "shard").count()
+    before = Window.partitionBy("bound").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("bound").alias("b"), F.col("shard").alias("s"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    number = F.row_number().over(Window.partitionBy("bound", "shard").orderBy("order", F.col("doc.doc_id").asc_nulls_last()))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), length.alias("tokens"), own.alias("own"))
+    numbered = placed(rows).withColumn("n", number).join(starts, (F.col("bound") == F.col("b")) & (F.col("shard") == F.col("s")))
+    slots = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("bound")))
+    nth = F.col("start") + F.col("n") - 1
+    packed = F.struct(F.col("tokens").alias("n_tokens"), F.col("bound").alias("bucket"), F.concat_ws("-", F.col("bound"), F.floor(nth / slots)).alias("batch_id"), (nth % slots).cast("int").alias("slot"))
+    return numbered.select("doc.*", packed.alias("__pack"))
 
 
 def packs(docs: DataFrame, **options) -> DataFrame:

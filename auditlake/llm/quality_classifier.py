@@ -86,8 +86,8 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], dimensions: int = D
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights from labelled rows (doc_id, target) joined to docs (doc_id, text). About sample rows are used, those with the
     smallest hashes of their ids; the sample is bounded, so its ids are broadcast and no text is shuffled but its features are.
-    Null labels and rows without a text are left out, of repeated labels the greater counts; with a single class the intercept
-    alone is learnt."""
+    Null labels and rows without a text are left out, of repeated labels the greater counts, all rows of a repeated id are examples,
+    other columns are not read; with a single class, or empty tables, the intercept alone is learnt or stays 0."""
     short_batches(docs.sparkSession)
     rows = labels.select("doc_id", target).where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).where(learns(F.col("doc_id"), FOLDS, HELD))
     known = rows.groupBy("doc_id").agg((F.max(target) > 0).cast("int").alias("__label"))
@@ -130,9 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with a new column __score (0 to 1) for the whole text; a text without words has the score of the intercept. Nulls count
-    as empty, other columns pass through. The weights have a fixed size and go to every task."""
+    """docs with a new column __score (0 to 1), which replaces one of this name, for the whole text; a text without words has the score of
+    the intercept. Nulls count as empty, repeated rows and ids are scored row by row, an empty table stays empty, other columns pass
+    through. The weights have a fixed size and go to every task."""
     short_batches(docs.sparkSession)
+    docs = docs.drop("__score")
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     at = docs.columns.index("text")
 

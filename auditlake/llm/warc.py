@@ -283,7 +283,9 @@ def convert_arcs(arcs: DataFrame, folder: str, least_payload: int = LEAST_PAYLOA
             out.add(warc_record(record, refers, first))
         return pa.table({"path": pa.array([out.close()], pa.string()), "records": pa.array([out.records], pa.int64())})
 
-    return write_cut(plan.groupBy("path").applyInArrow(rewrite, "path string, records long"))
+    # as many tasks as files: the plan is small, and would be merged into a few tasks by its size
+    dealt = plan.repartition(max(1, arcs.count()), "path")
+    return write_cut(dealt.groupBy("path").applyInArrow(rewrite, "path string, records long"))
 
 
 def read_warc(path: str) -> Iterator[tuple[dict[str, str], bytes]]:

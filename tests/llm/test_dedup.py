@@ -25,6 +25,25 @@ def test_both_tiers_drop_the_same_lines(spark, folder):
     assert one == two
 
 
+def test_second_tier_with_a_hot_line_and_null_ids(spark, monkeypatch):
+    """Half of all documents hold one line, which stays out of the shards; rows without an id are told apart by their texts."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)
+    hot = "a line that half of all documents hold"
+    rows = [(k if k % 5 else None, "\n".join([f"only here {k} and nowhere"] + [hot] * (k % 2) + [f"shared by two or three {k // 3}"])) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("__doc", "__lost", "__kept", "doc", "salt", "row", "shard", "a.b"):
+        docs = docs.withColumn(name, F.lit(name))
+    first = {}
+    for doc, text in rows:
+        for line in text.split("\n"):
+            first.setdefault(line, set()).add(line_dedup.NO_ID if doc is None else doc)
+    want = sorted(((doc, "\n".join(x for x in text.split("\n") if len(first[x]) < 2 or min(first[x]) == (line_dedup.NO_ID if doc is None else doc))) for doc, text in rows), key=repr)
+    for tier in (1, 2_000_000):
+        done = line_dedup.dedup_lines(docs, tier).collect()
+        assert sorted(((r["doc_id"], r["__kept"]) for r in done), key=repr) == want
+        assert all(r["__doc"] == "__doc" and r["row"] == "row" for r in done)
+
+
 def test_perfect_hash_is_minimal_and_probes_exactly():
     rng = np.random.default_rng(4)
     hi, lo = rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(0, 2**63, 5000, dtype=np.uint64)

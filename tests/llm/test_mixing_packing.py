@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from auditlake.llm import mixing, packing
 
@@ -85,3 +86,12 @@ def test_packing_of_odd_and_empty_tables(odd_docs, no_docs):
     packed = packing.pack(odd_docs)
     assert packed.count() == 6 and set(odd_docs.columns) < set(packed.columns)
     assert packing.packs(no_docs).count() == 0
+
+
+def test_names_with_underscores_pass_through(spark, odd_docs):
+    docs = odd_docs
+    for name in ("__size", "__tokens", "__bound", "__copy", "__source", "__order", "doc", "bound", "b", "s"):
+        docs = docs.withColumn(name, F.lit(name))
+    for made in (mixing.mix(docs), packing.pack(docs), mixing.mixed(docs)):
+        rows = made.collect()
+        assert rows and all(r["__size"] == "__size" and r["__tokens"] == "__tokens" and r["doc"] == "doc" for r in rows)
