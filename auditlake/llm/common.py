@@ -27,9 +27,12 @@ LOOKUP_SALTS = 16
 BATCH_ROWS = 1_000
 #: Bytes of text hashed at once.
 CHUNK_BYTES = 1 << 19
+#: Bytes up to which spans are hashed side by side.
+LONG_SPAN = 256
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D], np.uint64)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -119,16 +122,40 @@ def coded_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return found.indices.to_numpy(), found.dictionary.to_pylist()
 
 
+def _lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """Independent 64-bit hashes of each data[start:end]. Eight bytes at a time are finalised into the hash, for all spans at once; spans
+    of more than LONG_SPAN bytes are hashed by xxh3."""
+    sizes = (ends - starts).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = [mix(sizes * (_M1 if lane else _M2) + _SEEDS[lane]) for lane in range(lanes)]
+    live = np.flatnonzero((sizes > 0) & (sizes <= LONG_SPAN))
+    at, left = starts[live], sizes[live]
+    while len(live):
+        part = blocks[at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * np.uint64(8))) - np.uint64(1)
+        out[0][live] = mix(out[0][live] ^ part)
+        if lanes > 1:
+            out[1][live] = mix(out[1][live] * _JOIN + part)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - np.uint64(8)
+    for k in np.flatnonzero(sizes > LONG_SPAN):
+        both = np.frombuffer(xxhash.xxh3_128_digest(data[starts[k] : ends[k]].tobytes()), "<u8")
+        for lane in range(lanes):
+            out[lane][k] = both[lane]
+    return out
+
+
 def wide_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The halves of a 128-bit hash of each data[start:end], for ascending, disjoint spans."""
-    numbers, kinds = coded_spans(data, starts, ends)
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, kinds)), "<u8").reshape(-1, 2)
-    return both[numbers, 0], both[numbers, 1]
+    """The halves of a 128-bit hash of each data[start:end]."""
+    first, second = _lanes(data, starts, ends, 2)
+    return first, second
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end], for ascending, disjoint spans."""
-    return wide_hashes(data, starts, ends)[0]
+    """64-bit hash of each data[start:end], the first half of the wide one."""
+    return _lanes(data, starts, ends, 1)[0]
 
 
 class Words:

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from auditlake.llm.common import Words, grams, inside, short_batches, table, text_chunks, write_cut
 
 #: Words of a passage, fewest words of a level, bits a posted window and greatest bits of the slots between levels.
-LENGTH, SHORTEST, BITS_EACH, MOST_BITS = 13, 4, 16, 1 << 30
+LENGTH, SHORTEST, BITS_EACH, MOST_BITS = 13, 4, 8, 1 << 30
 #: Blocks in which slots travel, and bits that one task merges.
 BLOCKS, TASK_BITS = 256, 1 << 22
 #: Documents that lose something (two numbers each) up to which their ids are broadcast.

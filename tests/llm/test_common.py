@@ -57,3 +57,33 @@ def test_arrays_sum_over_tasks(spark):
 
     parts = spark.range(10, numPartitions=3).mapInArrow(part, "block int, counts binary")
     assert common.unpack_arrays(common.sum_arrays(parts, 8), 8, 64).tolist() == (np.arange(64) * 45).tolist()
+
+
+def test_hashes_depend_on_the_whole_word_alone():
+    """Words of all lengths around the block and side-by-side limits, and words that polynomial sums mix up."""
+    rng = random.Random(7)
+    alike = ["".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(1024)) for flip in (0, 1)]
+    kinds = alike + ["".join(rng.choices("xy", k=n)) + tail for n in (*range(1, 26), 255, 256, 257, 600) for tail in ("", "x", "é")] + ["a", "aa", "a\x00", "\x00", "\x00\x00"]
+    kinds = list(dict.fromkeys(kinds))
+    seen = {}
+    for _ in range(20):
+        text = " ".join(rng.choices(kinds, k=60))
+        (_, _, words), = common.text_chunks(pa.array([text]))
+        first, second = words.wide_hashes()
+        assert (first == words.hashes()).all()
+        for word, a, b in zip(text.split(" "), first.tolist(), second.tolist(), strict=True):
+            assert seen.setdefault(word, (a, b)) == (a, b)
+    assert len({a for a, _ in seen.values()}) == len({b for _, b in seen.values()}) == len(seen)
+
+
+def test_grams_depend_on_order_and_width():
+    turns = [bin(k).count("1") % 2 for k in range(64)]
+    text = " ".join(["left", "right"][t] for t in turns)
+    (_, _, words), = common.text_chunks(pa.array([text]))
+    hashes = words.hashes()
+    for n in (1, 2, 3, 5, 7, 12, 13, 16, 25, 32, 64):
+        seen = {}
+        for k, h in enumerate(common.grams(hashes, n).tolist()):
+            assert seen.setdefault(tuple(turns[k : k + n]), h) == h
+        assert len(set(seen.values())) == len(seen)
+    assert not set(common.grams(hashes, 4).tolist()) & set(common.grams(hashes, 5).tolist()) and not len(common.grams(hashes, 65))
