@@ -121,18 +121,15 @@ def _hit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _candidates(words: Words, hashes: np.ndarray, steps: list[int], sent: list) -> np.ndarray:
-    """Places of the windows of steps[len(sent)] words whose shorter windows all repeat, as far as the bit arrays tell."""
-    length = steps[len(sent)]
+def _candidates(words: Words, hashes: np.ndarray, steps: list[int], level: int, bits: np.ndarray | None) -> np.ndarray:
+    """Places of the windows of steps[level] words whose first and last windows of the level before repeat, as far as bits, the array of
+    that level, tells."""
+    length = steps[level]
     whole = inside(words, length)
-    for level, bits in enumerate(sent):
-        short = steps[level]
-        if level == 0:
-            # the posted window of the second level's window from this place on, and of the last one that fits
-            found = _hit(bits.value, _posted(words, hashes, short, steps[1]))
-            span = steps[1]
-        else:
-            found, span = _hit(bits.value, grams(hashes, short)), short
+    if level:
+        # of the first level only the smallest window of each of the second was posted
+        found = _hit(bits, _posted(words, hashes, steps[0], steps[1]) if level == 1 else grams(hashes, steps[level - 1]))
+        span = steps[max(1, level - 1)]
         whole &= found[: len(whole)] & found[length - span : length - span + len(whole)]
     return np.flatnonzero(whole)
 
@@ -149,7 +146,7 @@ def _keyed(docs: DataFrame) -> list[Column]:
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, salt, hash): the windows of each document whose words also start in a document with a smaller id."""
     short_batches(docs.sparkSession)
-    steps, sent = levels(length), []
+    steps, sent = levels(length), None
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     for level in range(len(steps) - 1):
@@ -160,23 +157,23 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 # neighbours mostly choose the same window
                 whole[1:] &= (posted[1:] != posted[:-1]) | ~whole[:-1]
                 return words.owners()[: len(whole)][whole], posted[whole]
-            expected = total // 25
         else:
-            def windows(words, upto=tuple(sent), length=steps[level]):
+            def windows(words, level=level, bits=sent):
                 hashes = words.hashes()
-                places = _candidates(words, hashes, steps, list(upto))
-                return words.owners()[places], grams(hashes, length)[places]
-            expected = total // 25
-        bitmap = repeated_slots(docs, windows, _bits(expected))
+                places = _candidates(words, hashes, steps, level, bits.value)
+                return words.owners()[places], grams(hashes, steps[level])[places]
+        bitmap = repeated_slots(docs, windows, _bits(total // 25))
+        if sent is not None:
+            sent.destroy()  # what a level lets through is in the next one's array
         if not bitmap.any():
             return spark.createDataFrame([], "doc long, salt long, hash long")
-        sent.append(spark.sparkContext.broadcast(bitmap))
+        sent = spark.sparkContext.broadcast(bitmap)
 
     def post(batches):
         for batch in batches:
             for low, _, words in text_chunks(batch.column(2)):
                 first, second = words.wide_hashes()
-                places = _candidates(words, first, steps, sent)
+                places = _candidates(words, first, steps, len(steps) - 1, None if sent is None else sent.value)
                 rows, hashes, more = words.owners()[places], grams(first, length)[places], (grams(second, length)[places] >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((more, hashes, rows))
                 rows, hashes, more = rows[order], hashes[order], more[order]
