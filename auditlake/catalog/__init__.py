@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("finding_queries", "score_queries", "monitor_queries", "code_queries", "graph_queries", "stream_queries", "relation_queries")
+MODULES = ("finding_queries", "score_queries", "monitor_queries", "cfg_queries", "code_queries", "graph_queries", "stream_queries", "relation_queries")
 
 
 def load():

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import has_any
@@ -233,28 +233,48 @@ def flow_violations(labels: DataFrame, sinks: DataFrame, keys=()) -> DataFrame:
 
 # --- control flow -------------------------------------------------------------------------------
 
+#: Predecessors of a node whose dominators are intersected in one group.
+PREDECESSORS = 1_000
+
+
 def dominators(edges: DataFrame, entries: DataFrame, keys, candidates: DataFrame | None = None) -> DataFrame:
     """(keys, node, dom): dom dominates node. Only nodes reached from the entry have dominators.
 
-    d dominates n iff n cannot be reached once d is taken out, so all candidates are taken out in
-    parallel, one removal per row. The state grows with candidates x nodes of a graph: pass the guard
-    nodes as candidates when only they matter.
-    """
+    The state is one row for each node with its possible dominators, at first the nodes of a shortest path from an entry. A round
+    intersects them with those of all predecessors, for the nodes that a change in the last round can touch, until nothing
+    changes. Predecessors of a hub meet in groups of bounded size first."""
     keys = list(keys)
     e = _edges(edges, keys)
-    entry = entries.select(*keys, "node").distinct()
-    reached = reachable(edges, entry, keys).select(*keys, "node")
-    cand = reached if candidates is None else candidates.select(*keys, "node").distinct().join(reached, [*keys, "node"], "left_semi")
-    cand = write_cut(cand.select(*keys, F.col("node").alias("dom")))
-    start = entry.join(cand, keys).filter(F.col("node") != F.col("dom")) if keys else entry.join(cand, F.col("node") != F.col("dom"))
+    start = entries.select(*keys, "node").distinct().select(*keys, "node", F.array("node").alias("path"))
 
     def step(frontier):
-        moved = frontier.join(e, [*keys, "node"]).filter(F.col("_to") != F.col("dom"))
-        return moved.select(*keys, F.col("_to").alias("node"), "dom")
-
-    free = grow(start.select(*keys, "node", "dom"), step, [*keys, "node", "dom"])
-    pairs = reached.join(cand, keys) if keys else reached.join(cand, F.lit(True))
-    return pairs.join(free, [*keys, "node", "dom"], "left_anti")
+        moved = frontier.join(e, [*keys, "node"]).select(*keys, F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"))
+        return moved.groupBy(*keys, "node").agg(F.min("path").alias("path"))
+
+    state = write_cut(grow(start, step, [*keys, "node"]).withColumn("_new", F.lit(True)))
+    into = e.join(state.select(*keys, "node"), [*keys, "node"]).where(F.col("node") != F.col("_to"))
+    first = start.select(*keys, F.col("node").alias("_to"))
+    into = into.join(first, [*keys, "_to"], "left_anti")  # an entry has no dominator but itself
+    degree = into.groupBy(*keys, "_to").agg(F.ceil(F.count(F.lit(1)) / PREDECESSORS).alias("_parts"))
+    dealt = into.join(degree, [*keys, "_to"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
+    into = write_cut(dealt.select(*keys, "node", "_to", "_part"))
+    common = lambda lists: F.aggregate(lists, F.get(lists, F.lit(0)), F.array_intersect)
+    while True:
+        seen = Observation()
+        touched = state.where("_new").join(into, [*keys, "node"]).select(*keys, "_to").distinct()
+        asked = into.join(touched, [*keys, "_to"], "left_semi").join(state.drop("_new"), [*keys, "node"])
+        parts = asked.groupBy(*keys, "_to", "_part").agg(common(F.collect_list("path")).alias("path"))
+        whole = parts.groupBy(*keys, F.col("_to").alias("node")).agg(common(F.collect_list("path")).alias("_all"))
+        less = F.array_union(F.array_intersect("path", "_all"), F.array("node"))
+        moved = state.drop("_new").join(whole, [*keys, "node"], "left").withColumn("_now", F.coalesce(less, "path"))
+        rows = moved.select(*keys, "node", F.col("_now").alias("path"), (F.size("_now") < F.size("path")).alias("_new"))
+        state = write_cut(rows.observe(seen, F.count_if("_new").alias("n")))
+        if not seen.get["n"]:
+            break
+    doms = state.select(*keys, "node", F.explode("path").alias("dom"))
+    if candidates is None:
+        return doms
+    return doms.join(candidates.select(*keys, F.col("node").alias("dom")).distinct(), [*keys, "dom"], "left_semi").select(*keys, "node", "dom")
 
 
 def immediate_dominators(doms: DataFrame, keys) -> DataFrame:

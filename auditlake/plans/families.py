@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import severity_rank
-from auditlake.operators import code
+from auditlake.operators import cfg, code
 from auditlake.operators.findings import union_findings
 from auditlake.operators.graph import raise_levels
 from auditlake.rules import packs
+from auditlake.session import write_cut
 from auditlake.sources.corpus import extract_structs, extract_units
 
 FILE = ["program", "file_path", "file_name"]
@@ -40,7 +41,7 @@ CONVERTED, UNSAFE, ARITHMETIC, CROSS_FUNCTION = 50, 45, 42, 60
 
 def _shape(
     df: DataFrame, family: int, line: Column, fn: Column, rule: Column, kind: Column, severity: Column, category: Column, text: Column,
-    confidence: Column, cwe: str | None = None, mark: Column | None = None,
+    confidence: Column, cwe: Column | str | None = None, mark: Column | None = None,
 ) -> DataFrame:
     """The common finding columns; seq orders findings by family, file, line, id and mark."""
     mark = F.lit("") if mark is None else mark
@@ -50,7 +51,7 @@ def _shape(
     return df.select(
         "program", "file_path", F.col("file_name").alias("location"), fn.alias("function_name"), line.cast("int").alias("line_number"),
         rule.alias("id"), kind.alias("vuln_type"), severity.cast("int").alias("severity"), category.alias("category"),
-        F.lit(cwe).cast("string").alias("cwe"), text.alias("vulnerable_code"), confidence.cast("int").alias("confidence"), order.alias("seq"))
+        (cwe if isinstance(cwe, Column) else F.lit(cwe)).cast("string").alias("cwe"), text.alias("vulnerable_code"), confidence.cast("int").alias("confidence"), order.alias("seq"))
 
 
 def unit_levels(units: DataFrame, stmts: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,10 +126,43 @@ def line_findings(files: DataFrame) -> DataFrame:
     return union_findings(first, second, third)
 
 
+# Type, severity, category, weakness and confidence of each control-flow and data-flow rule, and exported ids.
+FLOW_RULES = {
+    "SOL-CFG-01": ("Not Dominated by Auth Check", 5, "Authorization", "CWE-862", 82),
+    "SOL-CFG-02": ("Without Any Authorization", 5, "Authorization", "CWE-862", 90),
+    "SOL-CFG-03": ("State Mutation After CPI (CEI Violation)", 5, "Reentrancy", "CWE-841", 85),
+    "SOL-CFG-04": ("Potentially Unbounded Loop", 4, "Denial of Service", "CWE-834", 68),
+    "SOL-090": ("Potentially Uninitialized Variable Use", 3, "Data Flow", "CWE-457", 40),
+    "SOL-091": ("Dead Store / Unused Assignment", 1, "Data Flow", "CWE-563", 30),
+}
+
+
+def flow_findings(units: DataFrame) -> DataFrame:
+    """Control-flow findings of every unit, and reads before and settings without a use. Declared variables that are never read are no
+    findings."""
+    def rule(part: int) -> Column:
+        out = F.lit(None)
+        for rule_id, values in FLOW_RULES.items():
+            out = F.when(F.col("id") == rule_id, F.lit(values[part])).otherwise(out)
+        return out
+
+    flow = cfg.cfg_findings(units, [*UNIT, "unit_line"])
+    what = F.when(F.col("kind") == "transfer", "Token Transfer ").when(F.col("kind") == "cpi", "CPI Call ").otherwise("")
+    first = _shape(
+        flow, 9, F.col("unit_line") + F.col("line"), F.col("fn_name"), F.col("id"), F.concat(what, rule(0)), rule(1), rule(2), F.substring_index("code", "\n", 1), rule(4),
+        rule(3), F.col("node").cast("string"))
+    data = cfg.cfg_dataflow(units, [*UNIT, "unit_line"]).where("id <> 'DF-SOL-091' OR NOT declared").withColumn("id", F.replace("id", F.lit("DF-"), F.lit("")))
+    second = _shape(
+        data, 10, F.col("unit_line") + F.col("line"), F.col("fn_name"), F.col("id"), rule(0), rule(1), rule(2), F.col("var"), rule(4), rule(3), F.concat_ws("/", F.col("node").cast("string"), "var"))
+    return union_findings(first, second)
+
+
 def family_findings(files: DataFrame) -> DataFrame:
-    """Findings of all families. files: program, file_path, file_name, content. A null text counts as empty."""
+    """Findings of all families. files: program, file_path, file_name, content. A null text counts as empty. Units and their statements
+    are cut once and written for all families."""
     files = files.select(*FILE, F.coalesce("content", F.lit("")).alias("content"))
-    units = extract_units(files, keep=FILE)
-    stmts = code.unit_statements(units, UNIT)
-    internal, external = code.call_edges(code.call_sites(stmts, UNIT), units)
-    return union_findings(taint_findings(units, stmts, internal), call_findings(units, external), account_findings(files), line_findings(files))
+    units = write_cut(extract_units(files, keep=FILE))
+    stmts = write_cut(code.unit_statements(units, UNIT))
+    internal, external = code.call_edges(write_cut(code.call_sites(stmts, UNIT)), units)
+    flows = flow_findings(units.withColumnRenamed("line", "unit_line"))
+    return union_findings(taint_findings(units, stmts, internal), call_findings(units, external), account_findings(files), line_findings(files), flows)

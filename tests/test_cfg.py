@@ -5,6 +5,7 @@ import re
 
 import pytest
 from auditlake.operators import cfg, graph
+from auditlake.plans.families import family_findings
 
 BODIES = {
     "sequential": ("pub fn process() {\n    let a = 1;\n    let b = 2;\n    let c = 3;\n}\n", [(1, "let a = 1;"), (2, "let b = 2;"), (3, "let c = 3;")]),
@@ -97,3 +98,10 @@ def test_samples_of_the_rules(spark):
     units = spark.createDataFrame([(n, f"fn {n}() {{\n{b}\n}}") for n, b in bodies.items()], "fn_name string, code string")
     got = {r["fn_name"]: re.sub("SOL-", "", r["id"]) for r in cfg.cfg_findings(units, ["fn_name"]).collect()}
     assert got == {"bad_withdraw": "CFG-03", "process_pay": "CFG-02", "bypass": "CFG-01", "spin": "CFG-04"}
+
+
+def test_flow_findings_are_part_of_the_scan(spark):
+    text = "pub fn process_pay(amount: u64) {\n    invoke(&ix, &accounts)?;\n    vault.balance -= amount;\n    while more { go(); }\n    total = fee;\n    let fee = 1;\n}\n"
+    files = spark.createDataFrame([("p", "src/a.rs", "a.rs", text)], "program string, file_path string, file_name string, content string")
+    found = {(r["id"], r["line_number"], r["vulnerable_code"]) for r in family_findings(files).collect() if r["seq"]["family"] > 8}
+    assert found == {("SOL-CFG-02", 2, "invoke(&ix, &accounts)?;"), ("SOL-CFG-03", 3, "vault.balance -= amount;"), ("SOL-CFG-04", 4, "while more { go(); }"), ("SOL-090", 5, "fee"), ("SOL-091", 5, "total")}

@@ -60,6 +60,23 @@ def test_dominators_loops(spark, seed):
     assert only == {x for x in want if x[2] == 1}
 
 
+def test_dominators_of_hubs_and_whole_graphs(spark, monkeypatch):
+    """Without keys, with two entries, with a hub whose predecessors meet in several groups."""
+    monkeypatch.setattr(graph, "PREDECESSORS", 3)
+    rng = random.Random(4)
+    pairs = {(0, k) for k in range(1, 30)} | {(k, 30) for k in range(1, 30)} | {(30, 31), (31, 32), (32, 30), (32, 33), (40, 41), (50, 33)}
+    pairs |= {(rng.randrange(1, 30), rng.randrange(1, 30)) for _ in range(20)}
+    edges = spark.createDataFrame(sorted(pairs), "src int, dst int")
+    nodes = {n for pair in pairs for n in pair}
+    for starts in ((0,), (0, 31)):
+        live = reach(pairs, starts)
+        want = {(n, d) for n in live for d in live if n == d or n not in reach(pairs, starts, d)}
+        got = graph.dominators(edges, spark.createDataFrame([(s,) for s in starts], "node int"), [])
+        assert {(r["node"], r["dom"]) for r in got.collect()} == want and nodes - live
+    some = graph.dominators(edges, spark.createDataFrame([(0,)], "node int"), [], spark.createDataFrame([(30,), (41,)], "node int"))
+    assert {(r["node"], r["dom"]) for r in some.collect()} == {(n, 30) for n in (30, 31, 32, 33)}
+
+
 def test_labels_paths_and_guards(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "b"), ("c", "s"), ("s", "t")], "src string, dst string")
     sources = spark.createDataFrame([("a", "InstructionData")], "node string, label string")
