@@ -123,6 +123,27 @@ def apply_summaries(spark, sf):
     return out.groupBy("program", "caller", "callee", "param", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+SUMMARY_SQL = f"""{FILES_SQL}, un AS (SELECT DISTINCT program, file_path, 1 AS unit_no, fn_name, main_fn AS t FROM texts
+  UNION ALL SELECT DISTINCT program, file_path, 2, 'deposit', 'fn deposit(amount: u64) -> u64 {{' || chr(10) || '    return amount * 2' || chr(10) || '}}' || chr(10) FROM texts WHERE has_second),
+ pr AS (SELECT *, unnest(ps) AS param, generate_subscripts(ps, 1) - 1 AS pos FROM (SELECT *, CASE WHEN contains(t, 'source: AccountInfo') THEN ['source', 'amount'] WHEN contains(t, 'ctx: Context') THEN ['ctx', 'amount'] ELSE ['amount'] END AS ps FROM un)),
+ su AS (SELECT *, len(list_filter(string_split(t, chr(10))[2:], lambda x: (contains(x, 'transfer') OR contains(x, 'invoke') OR contains(x, 'CpiContext')) AND contains(x, param))) > 0 AS sinks FROM pr),
+ ln AS (SELECT program, file_path, unit_no, fn_name, unnest(string_split(t, chr(10))[2:]) AS code FROM un),
+ cs AS (SELECT program, file_path, unit_no, fn_name, unnest(regexp_extract_all(code, '(\\b[A-Za-z_]\\w*(?:::\\w+)*)\\s*\\(([^()]*)\\)', 1)) AS path, unnest(regexp_extract_all(code, '(\\b[A-Za-z_]\\w*(?:::\\w+)*)\\s*\\(([^()]*)\\)', 2)) AS args FROM ln),
+ ar AS (SELECT program, file_path, unit_no, fn_name, regexp_extract(path, '(\\w+)$', 1) AS callee, unnest(gs) AS arg, generate_subscripts(gs, 1) - 1 AS at FROM (SELECT *, regexp_split_to_array(args, '\\s*,\\s*') AS gs FROM cs WHERE trim(args) <> '')),
+ flow AS (SELECT DISTINCT a.program, a.callee, a.at, a.fn_name, p.pos FROM ar a JOIN pr p USING (program, file_path, unit_no) WHERE list_contains(regexp_extract_all(arg, '\\b[A-Za-z_]\\w*\\b'), p.param)),
+ hit AS (SELECT DISTINCT program, fn_name, pos FROM su WHERE sinks UNION SELECT f.program, f.fn_name, f.pos FROM hit h JOIN flow f ON f.program = h.program AND f.callee = h.fn_name AND f.at = h.pos)"""
+
+
+@query("transitive_summaries", f"""WITH RECURSIVE {SUMMARY_SQL} SELECT h.program, h.fn_name, CAST(h.pos AS INTEGER) AS pos, bool_or(sinks) AS direct FROM hit h JOIN su USING (program, fn_name, pos) GROUP BY ALL""")
+def transitive_summaries(spark, sf):
+    """Parameters that reach a sink over any number of calls, and whether their own function has it."""
+    u = extract_units(code_files(spark, sf), keep=KEEP)
+    keys = families.UNIT
+    inside, _ = code.call_edges(code.call_sites(code.unit_statements(u, keys), keys), u)
+    out = code.transitive_summaries(code.fn_summaries(u, keys), inside, keys).where("reaches_sink")
+    return out.groupBy("program", "fn_name", "pos").agg((F.min("sink_hops") == 0).alias("direct"))
+
+
 TARGET_CASES = ", ".join(f"CASE WHEN contains(code, '{t}') THEN '{p}' END" for t, p in code.KNOWN_TARGETS)
 
 

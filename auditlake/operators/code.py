@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import statements as st
 from auditlake.functions.text import has, has_any, line_array
+from auditlake.operators.graph import reachable
 from auditlake.operators.ordered import running_total
 
 UNIT_KEYS = ["program", "file_path", "fn_name"]
@@ -83,6 +84,22 @@ def fn_summaries(units: DataFrame, keys=UNIT_KEYS, text: str = "code", returns=R
     return params.select(*keys, "pos", "param", "type_text", "level", named(returns).alias("returns"), named(sinks).alias("reaches_sink"))
 
 
+def transitive_summaries(summaries: DataFrame, sites: DataFrame, keys=UNIT_KEYS, by: str = "program") -> DataFrame:
+    """summaries whose reaches_sink also holds for parameters that a call passes on to one that reaches a sink, over any number of calls;
+    sink_hops counts the calls in between (0: the function's own line, null: no sink).
+
+    A parameter of a function is a node and a call that names it in an argument an edge, so chains and recursion end in one fixpoint
+    over nodes; functions of one name in a program are one, as calls don't tell them apart."""
+    node = lambda fn, pos: F.struct(F.col(fn).alias("fn"), F.col(pos).alias("pos"))
+    passed = sites.select(*keys, "callee", F.posexplode("args").alias("at", "arg")).withColumn("param", F.explode(st.variables(F.col("arg"))))
+    held = summaries.select(*keys, "pos", "param")
+    flows = passed.join(held, [*keys, "param"]).select(by, node("callee", "at").alias("src"), node(keys[-1], "pos").alias("dst")).distinct()
+    seeds = summaries.where("reaches_sink").select(by, node(keys[-1], "pos").alias("node")).distinct()
+    reached = reachable(flows, seeds, [by]).select(by, F.col("node.fn").alias("_fn"), F.col("node.pos").alias("pos"), F.col("hops").alias("sink_hops"))
+    joined = summaries.withColumn("_fn", F.col(keys[-1])).join(reached, [by, "_fn", "pos"], "left").drop("_fn")
+    return joined.withColumn("reaches_sink", F.col("sink_hops").isNotNull())
+
+
 def apply_summaries(edges: DataFrame, summaries: DataFrame, levels: DataFrame, by: str = "program", keep=()) -> DataFrame:
     """Arguments that carry account input or worse into a parameter that reaches a sink.
 

@@ -74,7 +74,7 @@ def taint_findings(units: DataFrame, stmts: DataFrame, internal: DataFrame) -> D
         F.lit("Information Flow"), F.col("code"), F.col("confidence"), "CWE-20", F.col("var"))
     calls = internal.withColumn("call_text", F.concat("callee", F.lit("("), F.array_join("args", ", "), F.lit(")")))
     known = levels.groupBy("program", "fn_name", "var").agg(F.max("level").alias("level"))
-    passed = code.apply_summaries(calls, code.fn_summaries(units), known, keep=["file_path", "file_name", "call_text"])
+    passed = code.apply_summaries(calls, code.transitive_summaries(code.fn_summaries(units, UNIT), internal, UNIT), known, keep=["file_path", "file_name", "call_text"])
     kind = F.concat(F.lit("Cross-Function Taint: "), "caller", F.lit(" to "), "callee", F.lit(" (param "), "param", F.lit(")"))
     across = _shape(
         passed, 2, F.col("line_no"), F.col("caller"), F.lit("SOL-TAINT-IP-01"), kind, F.col("severity"), F.lit("Interprocedural Information Flow"),

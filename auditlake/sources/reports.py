@@ -111,6 +111,7 @@ def metrics_to_json(metrics: DataFrame, by: list[str], name: str = "name") -> Da
 
 
 def export_invariants(mined: DataFrame, by: list[str]) -> DataFrame:
-    """Invariant id -> expression per file."""
+    """Invariant id -> expression per file, or per coarser by; of several expressions of one id the smallest."""
+    mined = mined.groupBy(*by, "invariant_id").agg(F.min("expression").alias("expression"))
     entries = F.array_sort(F.collect_list(F.struct("invariant_id", "expression")))
     return mined.groupBy(*by).agg(F.map_from_entries(entries).alias("invariants"))

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
+from auditlake.plans.families import family_findings
 from auditlake.operators import code, graph
 from auditlake.rules import packs
 from auditlake.sources.corpus import extract_structs, extract_units, source_string
@@ -170,3 +171,17 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("CreatePoolAccounts", "^~1.2", "a/node_modules/@s/p/x.js", "limit 5 then 1_400_000 and 9999999")], "s string, v string, p string, t string")
     r = df.select(tx.instruction_name(F.col("s")), tx.clean_version(F.col("v")), tx.package_from_path(F.col("p")), tx.first_int_over(F.col("t"), 1000)).collect()[0]
     assert tuple(r) == ("create_pool", "1.2", "@s/p", 1400000)
+
+
+def test_summaries_over_chains_and_recursion(spark):
+    """a passes x to b, b to c, c to a sink; d and e call each other and e has the sink; f passes another value."""
+    text = "\n".join([
+        "fn a(x: AccountInfo, y: u64) {", "    b(y, x);", "}", "fn b(p: u64, q: AccountInfo) {", "    c(q)", "}", "fn c(z: AccountInfo) {", "    invoke(z, ix);", "}",
+        "fn d(m: AccountInfo) {", "    e(m);", "}", "fn e(n: AccountInfo) {", "    d(n);", "    token::transfer(n, k);", "}", "fn f(s: u64) {", "    c(other);", "    a(one, s);", "}", ""])
+    files = spark.createDataFrame([("p", "x.rs", "x.rs", text)], "program string, file_path string, file_name string, content string")
+    units = extract_units(files, keep=["program", "file_path", "file_name"])
+    inside, _ = code.call_edges(code.call_sites(code.unit_statements(units)), units)
+    got = {(r["fn_name"], r["param"]): r["sink_hops"] for r in code.transitive_summaries(code.fn_summaries(units), inside).collect()}
+    assert got == {("a", "x"): 2, ("a", "y"): None, ("b", "p"): None, ("b", "q"): 1, ("c", "z"): 0, ("d", "m"): 1, ("e", "n"): 0, ("f", "s"): None}
+    found = {(r["function_name"], r["vuln_type"]) for r in family_findings(files).collect() if r["id"] == "SOL-TAINT-IP-01"}
+    assert ("a", "Cross-Function Taint: a to b (param q)") in found and ("d", "Cross-Function Taint: d to e (param n)") in found
