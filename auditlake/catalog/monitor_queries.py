@@ -117,6 +117,18 @@ def check_invariants(spark, sf):
     return monitor.check_invariants(s, monitor.pool_specs(), ["o_orderkey"])
 
 
+@query("pool_history", """WITH s AS (SELECT o_custkey AS pool, o_orderkey, o_orderdate, CAST(round(o_totalprice) AS BIGINT) AS r, 1 + o_orderkey % 7 AS l, o_orderkey % 3 AS d, CAST(round(o_totalprice) AS BIGINT) * 40 AS w, 1 + o_custkey % 5 AS rate, CAST(epoch(o_orderdate::TIMESTAMP) AS BIGINT) AS secs FROM orders),
+ h AS (SELECT *, row_number() OVER o AS n, lag(r) OVER o AS pr, lag(l) OVER o AS pl, lag(w) OVER o AS pw, lag(secs) OVER o AS psecs, first_value(d) OVER o AS fd FROM s WINDOW o AS (PARTITION BY pool ORDER BY o_orderdate, o_orderkey)),
+ v AS (SELECT o_orderkey, unnest([CASE WHEN n > 1 AND l <> pl AND abs((r - pr)::HUGEINT * pl - (l - pl)::HUGEINT * pr) > pl THEN 'lp_proportional' END, CASE WHEN (n = 1 AND d = 0) OR d < fd THEN 'dead_shares' END,
+  CASE WHEN n > 1 AND w - pw > greatest(secs - psecs, 0)::HUGEINT * rate THEN 'emission_bound' END]) AS invariant FROM h) SELECT * FROM v WHERE invariant IS NOT NULL""")
+def pool_history(spark, sf):
+    price = F.round("o_totalprice").cast("bigint")
+    s = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("pool"), "o_orderkey", "o_orderdate", price.alias("total_reserves"), (F.col("o_orderkey") % 7 + 1).alias("total_lp"), (F.col("o_orderkey") % 3).alias("dead_shares"),
+        (price * 40).alias("total_rewards"), (F.col("o_custkey") % 5 + 1).alias("reward_rate"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    return monitor.check_history(s, "pool", ["o_orderdate", "o_orderkey"], ["o_orderkey"], bucket=F.year("o_orderdate"))
+
+
 @query("stake_totals", """WITH s AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT))::BIGINT AS staked FROM lineitem GROUP BY 1)
  SELECT o_orderkey AS pool, o_custkey % 150 AS total_staked, coalesce(staked, 0) AS staked FROM orders LEFT JOIN s ON l_orderkey = o_orderkey WHERE coalesce(staked, 0) <> o_custkey % 150""")
 def stake_totals(spark, sf):

@@ -137,6 +137,43 @@ def pool_specs(ratio_bps: int = COLLATERAL_RATIO_BPS, min_health: int = MIN_HEAL
     }
 
 
+def _wide(value: Column) -> Column:
+    """A whole number whose products with another stay exact."""
+    return value.cast("decimal(19,0)")
+
+
+def pool_history(snapshots: DataFrame, key: str, order, cols, bucket: Column | None = None) -> DataFrame:
+    """Snapshots with `_prev`, the struct of the pool's previous one (null for the first), and `_first`, that of its first."""
+    order, cols = list(order), list(cols)
+    seen = with_previous(snapshots, key, order, cols, bucket, "_prev")
+    first = snapshots.groupBy(F.col(key).alias("_pool")).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_first"))
+    return seen.join(first, F.col(key).eqNullSafe(F.col("_pool"))).drop("_pool")
+
+
+def history_specs(at: str = "at") -> dict[str, Column]:
+    """Invariants of a pool snapshot beside its first and previous one; they hold where there is none before.
+
+    lp_proportional: when the LP supply changes, reserves change in proportion, within one unit of rounding. dead_shares: the first
+    snapshot locks shares, and no later one locks fewer. emission_bound: rewards since the previous snapshot are at most the time
+    in between times the rate."""
+    now, before, first = F.col, lambda c: F.col(f"_prev.{c}"), lambda c: F.col(f"_first.{c}")
+    step = lambda c: _wide(now(c) - before(c))
+    gap = F.abs(step("total_reserves") * _wide(before("total_lp")) - step("total_lp") * _wide(before("total_reserves")))
+    elapsed = F.greatest(now(at) - before(at), F.lit(0))
+    return {
+        "lp_proportional": (now("total_lp") == before("total_lp")) | (gap <= _wide(before("total_lp"))),
+        "dead_shares": F.when(F.col("_prev").isNull(), (now("total_lp") <= 0) | (now("dead_shares") > 0)).otherwise(now("dead_shares") >= first("dead_shares")),
+        "emission_bound": step("total_rewards") <= _wide(elapsed) * _wide(now("reward_rate")),
+    }
+
+
+def check_history(snapshots: DataFrame, key: str, order, keep, at: str = "at", bucket: Column | None = None) -> DataFrame:
+    """One row per (snapshot, violated invariant of its history). snapshots: key, order, at (seconds), total_reserves, total_lp,
+    dead_shares, total_rewards (so far), reward_rate (a second)."""
+    cols = ["total_reserves", "total_lp", "dead_shares", "total_rewards", "reward_rate", at]
+    return check_invariants(pool_history(snapshots, key, order, cols, bucket), history_specs(at), list(keep))
+
+
 def stake_totals(stakes: DataFrame, pools: DataFrame, key: str = "pool") -> DataFrame:
     """Pools whose recorded total differs from the sum of their stakes."""
     summed = stakes.groupBy(key).agg(F.sum("amount").alias("staked"))

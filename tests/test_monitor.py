@@ -66,3 +66,17 @@ def test_embedding_is_normalised_and_positional(spark):
     out = {r["n"]: r["embedding"] for r in vectors.embed(df).collect()}
     assert abs(sum(x * x for x in out[1]) - 1) < 1e-9 and out[1][0] > out[1][7] > 0 and len(out[1]) == 128
     assert set(out[2]) == {0.0}
+
+
+def test_pool_history(spark):
+    """(pool, at, reserves, lp, dead, rewards): products beyond 64 bits, a null pool, one snapshot that breaks each rule."""
+    big = 4_000_000_000_000_000_000
+    rows = [
+        ("ok", 0, big, big // 2, 10, 0), ("ok", 10, big // 2, big // 4, 10, 50), ("ok", 20, big // 2 + 9, big // 4, 11, 50),
+        ("lp", 0, big, 1000, 1, 0), ("lp", 5, big + 10**16, 1001, 1, 0), ("dead", 0, 5, 5, 0, 0), ("less", 0, 5, 5, 3, 0), ("less", 1, 5, 5, 2, 0),
+        ("paid", 0, 5, 5, 1, 0), ("paid", 10, 5, 5, 1, 51), (None, 0, 5, 5, 1, 0), (None, 7, 5, 5, 1, 36), ("empty", 0, 0, 0, 0, 0),
+    ]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "pool string, at long, total_reserves long, total_lp long, dead_shares long, total_rewards long, reward_rate long").repartition(4)
+    for bucket in (None, F.floor(F.col("at") / 6)):
+        got = monitor.check_history(df, "pool", ["at"], ["pool", "at"], bucket=bucket)
+        assert {tuple(r) for r in got.collect()} == {("lp", 5, "lp_proportional"), ("dead", 0, "dead_shares"), ("less", 1, "dead_shares"), ("paid", 10, "emission_bound"), (None, 7, "emission_bound")}
