@@ -452,11 +452,27 @@ def message_pass(spark, sf):
     return out.select(F.col("node").alias("vec_id"), F.round(total, 4).alias("total"), F.round(F.array_max("features"), 4).alias("top"))
 
 
-@query("embed", """WITH l AS (SELECT item_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) - 1 AS i, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n FROM benchmark),
- t AS (SELECT item_id, i, n, unnest(string_split_regex(line, '[^\\p{L}\\p{N}]')) AS tok, generate_subscripts(string_split_regex(line, '[^\\p{L}\\p{N}]'), 1) - 1 AS j FROM l),
- v AS (SELECT item_id, i, n, (j * 7) % 128 AS d, sum(CASE tok WHEN 'the' THEN 0.9::DOUBLE WHEN 'of' THEN -0.3::DOUBLE WHEN 'and' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END) AS v FROM t GROUP BY ALL),
- z AS (SELECT item_id, i, sqrt(sum(v * v)) AS s FROM v GROUP BY ALL), e AS (SELECT item_id, d, sum(CASE WHEN s > 0 THEN v / s * (1.0::DOUBLE + 0.5::DOUBLE * i / n) ELSE 0 END) AS v FROM v JOIN z USING (item_id, i) GROUP BY ALL),
- q AS (SELECT item_id, sqrt(sum(v * v)) AS s FROM e GROUP BY item_id) SELECT item_id, round(max(v / s), 6) AS top, round(sum(v / s), 6) AS total FROM e JOIN q USING (item_id) GROUP BY item_id""")
+WEIGHTS = {"the": 0.9, "of": -0.3, "and": 0.5}
+WEIGHT_SQL = "CASE tok WHEN 'the' THEN 0.9::DOUBLE WHEN 'of' THEN -0.3::DOUBLE WHEN 'and' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END"
+LINES_SQL = f"""tx AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''),
+ l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM tx),
+ t AS (SELECT doc_id, i, n, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS j FROM (SELECT *, string_split_regex(line, '[^\\p{{L}}\\p{{N}}]') AS ts FROM l)),
+ v AS (SELECT doc_id, i, n, (j * 7) % 128 AS d, sum({WEIGHT_SQL}) AS v FROM t GROUP BY ALL), z AS (SELECT doc_id, i, sqrt(sum(v * v)) AS s FROM v GROUP BY ALL)"""
+
+
+@query("embed", f"""WITH {LINES_SQL}, e AS (SELECT doc_id, d, sum(CASE WHEN s > 0 THEN v / s * (1.0::DOUBLE + 0.5::DOUBLE * i / n) ELSE 0 END) AS v FROM v JOIN z USING (doc_id, i) GROUP BY ALL),
+ q AS (SELECT doc_id, sqrt(sum(v * v)) AS s FROM e GROUP BY doc_id) SELECT doc_id, coalesce(round(max(v / s), 6), 0) AS top, coalesce(round(sum(v / s), 6), 0) AS total FROM documents LEFT JOIN e USING (doc_id) LEFT JOIN q USING (doc_id) GROUP BY doc_id""")
 def embed(spark, sf):
-    out = vectors.embed(table(spark, sf, "benchmark"), {"the": 0.9, "of": -0.3, "and": 0.5}, "text")
-    return out.select("item_id", F.round(F.array_max("embedding"), 6).alias("top"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    out = vectors.embed(table(spark, sf, "documents").select("doc_id", "text"), WEIGHTS, "text")
+    return out.select("doc_id", F.round(F.array_max("embedding"), 6).alias("top"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("nearest_lines", f"""WITH {LINES_SQL}, pt AS (SELECT CAST(item_id AS VARCHAR) AS pattern, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS j FROM (SELECT item_id, string_split_regex(text, '[^\\p{{L}}\\p{{N}}]') AS ts FROM benchmark)),
+ pv AS (SELECT pattern, (j * 7) % 128 AS d, sum({WEIGHT_SQL}) AS v FROM pt GROUP BY ALL), pz AS (SELECT pattern, sqrt(sum(v * v)) AS s FROM pv GROUP BY pattern),
+ k AS (SELECT doc_id, i FROM l WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' AND NOT regexp_matches(line, '^\\s*//')),
+ c AS (SELECT v.doc_id, v.i, pv.pattern, round(sum(v.v * pv.v) / (any_value(z.s) * any_value(pz.s)), 12) AS s FROM k JOIN v USING (doc_id, i) JOIN z USING (doc_id, i) JOIN pv USING (d) JOIN pz USING (pattern) GROUP BY ALL)
+ SELECT doc_id, pattern, (arg_min(i, {{'a': -s, 'b': i}}) + 1)::INT AS line_no, round(max(s), 6) AS similarity FROM c WHERE s > 0.5 GROUP BY doc_id, pattern""")
+def nearest_lines(spark, sf):
+    patterns = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern"), "text")
+    out = vectors.nearest_lines(table(spark, sf, "documents"), patterns, "doc_id", "text", 0.5, WEIGHTS)
+    return out.withColumn("similarity", F.round("similarity", 6))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,37 +31,98 @@ TOKEN_WEIGHTS = {
 }
 
 
-def embed(df: DataFrame, weights: dict[str, float] = TOKEN_WEIGHTS, text: str = "content", out: str = "embedding", dim: int = EMBEDDING_DIM) -> DataFrame:
-    """Token-weight embedding of each text, in the text's own row (Arrow batches, no shuffle).
+#: Lines whose vectors are made at once, and patterns that go to every task at once.
+LINES, PATTERNS = 8_192, 4_096
 
-    A line puts the weight of its i-th token (split at non-alphanumerics) at place 7*i mod dim and is
-    normalised; a text sums its lines with weight 1 + i/(2n) and is normalised.
-    """
-    import pandas as pd
-
-    def vectors(texts: pd.Series) -> pd.Series:
-        import numpy as np
-        import regex
-
-        cut = regex.compile(r"[^\p{L}\p{N}]")
-
-        def one(content):
-            total = np.zeros(dim)
-            lines = content[:-1].split("\n") if content.endswith("\n") else content.split("\n") if content else []
-            for i, line in enumerate(lines):
-                v = np.zeros(dim)
-                for j, token in enumerate(cut.split(line)):
-                    v[(j * STRIDE) % dim] += weights.get(token, DEFAULT_WEIGHT)
-                size = math.sqrt(float(v @ v))
-                if size > 0:
-                    total += v / size * (1.0 + 0.5 * i / len(lines))
-            size = math.sqrt(float(total @ total))
-            return total / size if size > 0 else total
-
-        return texts.map(one)
-
-    vectors.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return df.withColumn(out, F.pandas_udf(vectors, "array<double>")(F.col(text)))
+
+def line_vectors(lines: pa.Array, weights: dict[str, float] = TOKEN_WEIGHTS, dim: int = EMBEDDING_DIM) -> np.ndarray:
+    """Unit vector of each line: the weight of its i-th token (split at non-alphanumerics) goes to place 7*i mod dim."""
+    tokens = pc.split_pattern_regex(lines, r"[^\p{L}\p{N}]")
+    owner = pc.list_parent_indices(tokens).to_numpy()
+    place = np.arange(len(owner)) - tokens.offsets.to_numpy()[owner]
+    known = pc.index_in(pc.list_flatten(tokens), value_set=pa.array(list(weights), lines.type)).fill_null(len(weights)).to_numpy()
+    values = np.append(np.array(list(weights.values()), float), DEFAULT_WEIGHT)[known]
+    made = np.bincount(owner * dim + place * STRIDE % dim, values, minlength=len(lines) * dim).reshape(-1, dim)
+    size = np.sqrt((made**2).sum(axis=1, keepdims=True))
+    return np.divide(made, size, out=np.zeros_like(made), where=size > 0)
+
+
+def _text_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lines of texts, and where each text's begin; a last empty line counts as none, and so does an empty or null text."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))
+    cut = pc.split_pattern(pc.replace_substring_regex(texts, r"\n\z", ""), "\n")
+    sizes = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, np.diff(cut.offsets.to_numpy()))
+    flat = pc.list_flatten(cut)
+    keep = np.repeat(sizes > 0, np.diff(cut.offsets.to_numpy()))
+    return flat.filter(pa.array(keep)), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def embed(df: DataFrame, weights: dict[str, float] = TOKEN_WEIGHTS, text: str = "content", out: str = "embedding", dim: int = EMBEDDING_DIM) -> DataFrame:
+    """Token-weight embedding of each text, in the text's own row (Arrow arrays, no shuffle): its line vectors with weight 1 + i/(2n),
+    summed and made a unit vector. A null or empty text has the zero vector."""
+
+    def vectors(texts: pa.Array) -> pa.Array:
+        lines, starts = _text_lines(texts)
+        sizes = np.diff(starts)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        weight = 1.0 + 0.5 * (np.arange(len(owner)) - starts[owner]) / sizes[owner]
+        total = np.zeros((len(sizes), dim))
+        for at in range(0, len(lines), LINES):
+            part = slice(at, at + LINES)
+            np.add.at(total, owner[part], line_vectors(lines[part], weights, dim) * weight[part, None])
+        size = np.sqrt((total**2).sum(axis=1, keepdims=True))
+        total = np.divide(total, size, out=np.zeros_like(total), where=size > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * dim, pa.int32()), pa.array(total.reshape(-1)))
+
+    vectors.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return df.withColumn(out, F.arrow_udf(vectors, "array<double>")(F.col(text)))
+
+
+def nearest_lines(
+    df: DataFrame, patterns: DataFrame, key: str, text: str = "content", threshold: float = 0.5, weights: dict[str, float] = TOKEN_WEIGHTS, dim: int = EMBEDDING_DIM
+) -> DataFrame:
+    """(key, pattern, line_no, similarity): for each text and pattern the line whose vector is closest to the pattern's, the first of equal
+    ones, if its cosine is above the threshold. Blank lines and comments are not looked at.
+
+    patterns: pattern, text. Their unit vectors go to every task, a bounded number at a time; a task multiplies blocks of lines with
+    them and keeps the best line of each text and pattern, so nothing but results leaves the text's row."""
+    found = df.sparkSession.createDataFrame([], f"{key} {df.schema[key].dataType.simpleString()}, pattern string, line_no int, similarity double")
+    blocks = max(1, -(-patterns.count() // PATTERNS))
+    for block in range(blocks):
+        named = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).select(F.col("pattern").cast("string"), "text").collect()
+        if not named:
+            continue
+        names = [r["pattern"] for r in named]
+        sent = df.sparkSession.sparkContext.broadcast(line_vectors(pa.array([r["text"] or "" for r in named]), weights, dim).T)
+
+        def best(batches, names=names, sent=sent):
+            for batch in batches:
+                lines, starts = _text_lines(batch.column(1))
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+                trimmed = pc.utf8_trim_whitespace(lines)
+                code = ~(pc.equal(trimmed, "").to_numpy(zero_copy_only=False) | pc.starts_with(trimmed, "//").to_numpy(zero_copy_only=False))
+                top = np.full((batch.num_rows, len(names)), threshold)
+                where = np.full((batch.num_rows, len(names)), -1)
+                for at in range(0, len(lines), LINES):
+                    part = np.flatnonzero(code[at : at + LINES]) + at
+                    if not len(part):
+                        continue
+                    score = np.round(line_vectors(lines.take(pa.array(part)), weights, dim) @ sent.value, 12)
+                    own = owner[part]
+                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    for a, b in zip(first, np.append(first[1:], len(part)), strict=True):
+                        row, line = own[a], np.argmax(score[a:b], axis=0)
+                        value = score[a:b][line, np.arange(len(names))]
+                        more = value > top[row]
+                        top[row, more], where[row, more] = value[more], part[a:b][line[more]] - starts[row] + 1
+                row, kind = np.nonzero(where > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array([names[k] for k in kind], pa.string()), pa.array(where[row, kind], pa.int32()), pa.array(top[row, kind])],
+                    [key, "pattern", "line_no", "similarity"],
+                )
+
+        found = found.unionByName(df.select(key, text).mapInArrow(best, found.schema))
+    return found
 
 
 #: Patterns per block of the nearest-pattern join.

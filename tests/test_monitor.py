@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import band
@@ -80,3 +83,29 @@ def test_pool_history(spark):
     for bucket in (None, F.floor(F.col("at") / 6)):
         got = monitor.check_history(df, "pool", ["at"], ["pool", "at"], bucket=bucket)
         assert {tuple(r) for r in got.collect()} == {("lp", 5, "lp_proportional"), ("dead", 0, "dead_shares"), ("less", 1, "dead_shares"), ("paid", 10, "emission_bound"), (None, 7, "emission_bound")}
+
+
+def test_nearest_lines(spark, monkeypatch):
+    """Every line scored alone, in blocks of lines and patterns of any size; the first of equal lines wins."""
+    rng = random.Random(3)
+    word = lambda: rng.choice(["invoke", "authority", "lamports", "x", "é", "+", "checked_add", "//"])
+    texts = ["\n".join(" ".join(word() for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 9))) for _ in range(30)] + [None, "", "\n", "// invoke x", "invoke x\ninvoke x\n"]
+    patterns = [("a", "invoke authority"), ("b", "x x lamports"), ("c", ""), ("d", "invoke x")]
+    line = lambda t: vectors.line_vectors(pa.array([t]))[0]
+    want = set()
+    for k, text in enumerate(texts):
+        for name, like in patterns:
+            best = None
+            for n, code in enumerate((text or "").removesuffix("\n").split("\n"), 1):
+                score = round(float(line(code) @ line(like)), 9)
+                if text and code.strip() and not code.strip().startswith("//") and score > (best[1] if best else 0.5):
+                    best = (n, score)
+            if best:
+                want.add((k, name, best[0], round(best[1], 6)))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string").repartition(3)
+    likes = spark.createDataFrame(patterns, "pattern string, text string")
+    for lines, most in ((8192, 4096), (3, 2)):
+        monkeypatch.setattr(vectors, "LINES", lines)
+        monkeypatch.setattr(vectors, "PATTERNS", most)
+        got = vectors.nearest_lines(df, likes, "id").collect()
+        assert {(r["id"], r["pattern"], r["line_no"], round(r["similarity"], 6)) for r in got} == want and len(got) == len(want) > 30
