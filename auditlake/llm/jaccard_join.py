@@ -2,13 +2,13 @@
 
 Rows are numbered, and rows with equal sets are folded into one representative row first, which stands for that set alone. Representatives meet in tiles: a tile is named by a few minima of
 the set under fixed hash functions, and there are so many tiles for each set that two sets at the threshold share none with a
-chance below LOSS. Inside a tile only sets of the same or a neighbouring size band can link. Hashed parity bitmaps of about one
-bit for each shingle give a lower bound of the symmetric difference, so bit counts bound the overlap from above; only pairs that
+chance below LOSS. Inside a tile only sets of the same or a neighbouring size band can link. Hashed parity bitmaps give a lower bound of the symmetric difference, so bit counts bound the overlap from above; only pairs that
 pass meet in an exact intersection of sorted arrays.
 
 Groups of copies do not become pairs. First every member of a tile and band is compared with one pivot alone, and the links found
 are joined to components. A tile whose members are all in one component is finished; only pairs across components go on, in
-blocks of bounded size.
+blocks of bounded size. While a tile holds many components, a loose group, its members are compared with further pivots before that,
+each of which joins a share of them.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from auditlake.llm.common import LOWER, Words, components, grams, keep_ids, mix,
 
 #: Minima that name a tile, and the chance with which two sets at the threshold may miss each other.
 MINIMA, LOSS = 4, 1e-12
-#: Members of a tile compared in one block.
-BLOCK = 1024
+#: Members of a tile compared in one block, and bits of a bitmap for each shingle.
+BLOCK, BITS_EACH = 1024, 4
+#: Components in a tile above which its members are compared with one more pivot first, and most such rounds.
+MANY, ROUNDS = 64, 6
 
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -69,9 +71,10 @@ def tile_names(shingles: np.ndarray, xors: np.ndarray, odds: np.ndarray) -> np.n
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity bitmap: a bit is set if an odd number of shingles fall on it; as many bits as shingles, rounded up to a power of two, 64
-    at least. Halving a bitmap by exclusive or gives the one of half the width."""
-    width = max(64, 1 << (len(shingles) - 1).bit_length())
+    """Parity bitmap: a bit is set if an odd number of shingles fall on it; BITS_EACH times as many bits as shingles, rounded up to a
+    power of two, 64 at least, so that few shingles cancel out and sets a little below the threshold are told apart. Halving a
+    bitmap by exclusive or gives the one of half the width."""
+    width = max(64, BITS_EACH << (len(shingles) - 1).bit_length())
     spots = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(spots.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -182,7 +185,7 @@ def _by_bits(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def _across(shared: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Possible pairs of different components that share a tile in the same or a neighbouring size band. Tiles of one component
     drop out; the others are cut into blocks, and a pair is looked at in the one block pair that holds both members."""
-    labelled = shared.join(labels, shared["rep"] == labels["id"], "left").select("tile", "rep", "n", "band", F.coalesce("component", "rep").alias("label"))
+    labelled = _labelled(shared, labels)
     tiles = F.explode(F.array(F.struct(F.col("band").alias("g"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("g"), F.lit(False).alias("own"))))
     rows = labelled.withColumn("t", tiles).select("tile", "t.g", "t.own", "rep", "n", "label")
     mixed = rows.groupBy("tile", "g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("any"), F.count(F.lit(1)).alias("members"))
@@ -221,6 +224,28 @@ def _across(shared: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den
     return ready.groupBy("tile", "g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    return shared.join(labels, shared["rep"] == labels["id"], "left").select("tile", "rep", "n", "band", F.coalesce("component", "rep").alias("label"))
+
+
+def _more_pivots(shared: DataFrame, sets: DataFrame, links: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components of them) after rounds in which members of tiles with many components meet one member of another component."""
+    labels = components(links)
+    for turn in range(ROUNDS):
+        members = _labelled(shared, labels)
+        crowds = write_cut(members.groupBy("tile", "band").agg(F.count_distinct("label").alias("k")).where(F.col("k") > MANY).select("tile", "band"))
+        if not crowds.take(1):
+            break
+        open_ = members.join(crowds, ["tile", "band"])
+        lot = F.xxhash64("label", F.lit(turn))
+        pivots = open_.groupBy("tile", "band").agg(F.min_by(F.struct(F.col("rep").alias("pivot"), F.col("label").alias("own")), F.struct(lot, "rep")).alias("p")).select("tile", "band", "p.*")
+        star = open_.join(pivots, ["tile", "band"]).where("label <> own").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+        found = write_cut(_exact(docs, write_cut(_by_bits(star, sets, num, den)), shingle, num, den))
+        links = links.unionByName(found)
+        labels = components(links)
+    return links, labels
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a key of its own for every row in column row; written, so that the keys stay."""
     return write_cut(docs.withColumn("row", F.monotonically_increasing_id()))
@@ -240,7 +265,7 @@ def _linked(docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFram
     pivots = shared.groupBy("tile", "band").agg(F.min("rep").alias("pivot"))
     star = shared.join(pivots, ["tile", "band"]).where("pivot < rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     first = write_cut(_exact(docs, write_cut(_by_bits(star, sets, num, den)), shingle, num, den))
-    labels = components(first)
+    first, labels = _more_pivots(shared, sets, first, docs, shingle, num, den)
     more = write_cut(_across(shared, sets, labels, num, den))
     second = write_cut(_exact(docs, more, shingle, num, den))
     groups = sketches.where("n > 0").select("row", "doc", "hi", "lo", "n").join(sets.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"])

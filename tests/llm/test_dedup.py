@@ -77,10 +77,11 @@ def test_jaccard_matches_sql(same_as_sql):
     assert any(component != doc for component, doc, _ in rows)
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_groups_match_brute_force(spark, monkeypatch, block):
-    """A large loose group, whose members link only in chains, in blocks of different sizes."""
+@pytest.mark.parametrize(("block", "many"), [(1024, 64), (3, 64), (1024, 2)])
+def test_groups_match_brute_force(spark, monkeypatch, block, many):
+    """A large loose group, whose members link only in chains, in blocks of different sizes and with further pivots."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "MANY", many)
     rng = random.Random(6)
     base = [f"w{k}" for k in range(60)]
     docs = []
