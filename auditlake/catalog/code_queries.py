@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditlake.catalog.base import query, table
 from auditlake.catalog.corpus import FILES_SQL, UNITS_SQL, code_files, sql_condition
 from auditlake.functions import text as tx
+from auditlake.operators import scores
 from auditlake.rules import context as ctx
 from auditlake.rules import packs
 from auditlake.rules.engine import scan_rules
@@ -344,6 +345,29 @@ def _diff_sql(text):
     return ", ".join("CASE WHEN " + " OR ".join(f"contains({text}, '{t}')" for t in tokens) + f" THEN '{i}' END" for i, _, _, tokens in packs.RUNTIME_DIFFS)
 
 
+@query("safe_patterns", f"WITH {FILES_SQL}, h AS (SELECT program, unnest(list_filter([{', '.join(f"CASE WHEN {sql_condition(t, 'content')} THEN '{n}' END" for n, t in packs.SAFE_PATTERNS.items())}], lambda x: x IS NOT NULL)) AS pattern FROM texts) SELECT program, pattern, count(*) AS n FROM h GROUP BY ALL")
+def safe_patterns(spark, sf):
+    return packs.safe_patterns(code_files(spark, sf), keep=["program"]).groupBy("program", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+# What a warning takes from the compatibility score.
+WARNING_SQL = {"TransactionOrderingDependency": 12, "ClockResolutionAssumption": 5, "ConcurrentAccountAccess": 8}
+DIFF_POINTS = {"BREAKING": 15, "RISKY": 8, "INFO": 2}
+
+
+def _warning_points(text):
+    rules = [f"CASE WHEN {sql_condition(r['when'], text)} THEN {WARNING_SQL[r['name']]} ELSE 0 END" for r in packs.COMPATIBILITY]
+    diffs = [f"CASE WHEN {' OR '.join(f"contains({text}, '{t}')" for t in tokens)} THEN {DIFF_POINTS.get(severity, 5)} ELSE 0 END" for _, _, severity, tokens in packs.RUNTIME_DIFFS]
+    return " + ".join(rules + diffs)
+
+
+@query("compatibility_warnings", f"WITH {FILES_SQL}, p AS (SELECT DISTINCT file_path, {_warning_points('content')} AS points FROM texts) SELECT file_path, CAST(greatest(0, 100 - points) AS INTEGER) AS compat_score FROM p WHERE points > 0")
+def compatibility_warnings(spark, sf):
+    """Score of each file with warnings."""
+    files = code_files(spark, sf).select("file_path", "content").dropDuplicates(["file_path"])
+    return scores.compat_score(packs.compatibility_warnings(files, keep=["file_path"]), ["file_path"]).select("file_path", F.col("compat_score").cast("int").alias("compat_score"))
+
+
 @query("runtime_diffs", f"WITH {FILES_SQL}, h AS (SELECT program, unnest(list_filter([{_diff_sql('content')}], lambda x: x IS NOT NULL)) AS id FROM texts) SELECT program, id, count(*) AS n FROM h GROUP BY ALL")
 def runtime_diffs(spark, sf):
     return packs.runtime_diffs(code_files(spark, sf), keep=["program"]).groupBy("program", "id").agg(F.count(F.lit(1)).alias("n"))

@@ -438,6 +438,13 @@ def compatibility_warnings(df: DataFrame, text: str = "content", keep: list[str]
     return rules.unionByName(diffs)
 
 
+def safe_patterns(df: DataFrame, text: str = "content", keep: list[str] | None = None) -> DataFrame:
+    """(pattern) of each text: what it does that behaves alike on every runtime."""
+    keep = keep or [c for c in df.columns if c != text]
+    notes = [F.when(condition(tree, text), F.lit(name)) for name, tree in SAFE_PATTERNS.items()]
+    return df.select(*keep, F.explode(F.array_compact(F.array(*notes))).alias("pattern"))
+
+
 # --- account-safety packs on fields -------------------------------------------------------------
 
 AUTHORITY_WORDS = ("authority", "admin", "owner", "governance", "governor", "payer", "creator", "manager", "operator", "multisig", "signer")
