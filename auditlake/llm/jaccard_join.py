@@ -26,8 +26,9 @@ from auditlake.llm.common import LOWER, Words, components, grams, keep_ids, mix,
 MINIMA, LOSS = 4, 1e-12
 #: Members of a tile compared in one block, and bits of a bitmap for each shingle.
 BLOCK, BITS_EACH = 1024, 4
-#: Components in a tile above which its members are compared with one more pivot first, and most such rounds.
-MANY, ROUNDS = 64, 6
+#: Components in a tile above which its members are compared with one more pivot first, most such rounds, and the part of the members
+#: (one in so many) that must link for another round.
+MANY, ROUNDS, SHARE = 64, 6, 16
 
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -236,13 +237,19 @@ def _more_pivots(shared: DataFrame, sets: DataFrame, links: DataFrame, docs: Dat
         crowds = write_cut(members.groupBy("tile", "band").agg(F.count_distinct("label").alias("k")).where(F.col("k") > MANY).select("tile", "band"))
         if not crowds.take(1):
             break
-        open_ = members.join(crowds, ["tile", "band"])
+        shared = write_cut(members.join(crowds, ["tile", "band"]))
         lot = F.xxhash64("label", F.lit(turn))
-        pivots = open_.groupBy("tile", "band").agg(F.min_by(F.struct(F.col("rep").alias("pivot"), F.col("label").alias("own")), F.struct(lot, "rep")).alias("p")).select("tile", "band", "p.*")
-        star = open_.join(pivots, ["tile", "band"]).where("label <> own").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+        pivots = shared.groupBy("tile", "band").agg(F.min_by(F.struct(F.col("rep").alias("pivot"), F.col("label").alias("own")), F.struct(lot, "rep")).alias("p")).select("tile", "band", "p.*")
+        star = write_cut(shared.join(pivots, ["tile", "band"]).where("label <> own").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct())
         found = write_cut(_exact(docs, write_cut(_by_bits(star, sets, num, den)), shingle, num, den))
+        new = found.count()
+        if not new:
+            break
         links = links.unionByName(found)
         labels = components(links)
+        if new * SHARE < star.count():
+            break  # members that mostly don't link gain nothing from pivots
+        shared = shared.drop("label")
     return links, labels
 
 
