@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.catalog.base import query
-from auditlake.catalog.corpus import FILES_SQL, code_files
+from auditlake.catalog.corpus import FILES_SQL, distinct_files
 from auditlake.catalog.relation_queries import CLASS_SQL
 from auditlake.functions.statements import NOT_VARIABLES
 from auditlake.operators import cfg
@@ -54,7 +54,7 @@ DATA_SQL = f"""{BLOCKS_SQL}, sets AS (SELECT b.*, nullif(regexp_extract(code, '{
 
 
 def units(spark, sf):
-    return extract_units(code_files(spark, sf).dropDuplicates(["file_path"]).select("file_path", "content"))
+    return extract_units(distinct_files(spark, sf).select("file_path", "content"))
 
 
 @query("cfg_blocks", f"WITH {BLOCKS_SQL} SELECT file_path, unit_no, node, line, code, kind, n_blocks FROM b")

@@ -105,3 +105,19 @@ def test_flow_findings_are_part_of_the_scan(spark):
     files = spark.createDataFrame([("p", "src/a.rs", "a.rs", text)], "program string, file_path string, file_name string, content string")
     found = {(r["id"], r["line_number"], r["vulnerable_code"]) for r in family_findings(files).collect() if r["seq"]["family"] > 8}
     assert found == {("SOL-CFG-02", 2, "invoke(&ix, &accounts)?;"), ("SOL-CFG-03", 3, "vault.balance -= amount;"), ("SOL-CFG-04", 4, "while more { go(); }"), ("SOL-090", 5, "fee"), ("SOL-091", 5, "total")}
+
+
+def test_dataflow_stays_in_the_row(spark):
+    text = "fn f(a: u64) {\n    let x = 1;\n    y = x + a;\n    z = y;\n}\n"
+    units = spark.createDataFrame([("k", text), (None, text)], "k string, code string")
+    out = cfg.cfg_dataflow(units, ["k"])
+    assert "Exchange" not in out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["k"], r["var"], r["node"], r["id"]) for r in out.collect()) == [("k", "z", 2, "DF-SOL-091")]
+
+
+def test_statements_of_long_tails_and_odd_blanks(spark):
+    texts = ["fn f() {\n  a = 1; \u0085 b;\n}\n" + "x" * 200_000, "fn g() { if a { b; } else { c; } d; }", "} fn h() { a; }", "fn i() { a;", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, code string")
+    got = {r["i"]: r["s"] and [(s["line"], s["code"]) for s in r["s"]] for r in rows.select("i", cfg.statements(rows["code"]).alias("s")).collect()}
+    assert got == {0: [(1, "a = 1;"), (1, "\u0085 b;")], 1: [(0, "if a { b; } else { c; }"), (0, "d;")], 2: [], 3: [(0, "a;")], 4: [], 5: None}
