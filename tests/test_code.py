@@ -185,3 +185,33 @@ def test_summaries_over_chains_and_recursion(spark):
     assert got == {("a", "x"): 2, ("a", "y"): None, ("b", "p"): None, ("b", "q"): 1, ("c", "z"): 0, ("d", "m"): 1, ("e", "n"): 0, ("f", "s"): None}
     found = {(r["function_name"], r["vuln_type"]) for r in family_findings(files).collect() if r["id"] == "SOL-TAINT-IP-01"}
     assert ("a", "Cross-Function Taint: a to b (param q)") in found and ("d", "Cross-Function Taint: d to e (param n)") in found
+
+
+def test_small_graphs_rise_like_rounds(spark):
+    edges = spark.createDataFrame(
+        [("u", "a", "b", True), ("u", "b", "c", False), ("u", "c", "a", True), ("u", "x", "d", True), ("v", "a", "b", None), (None, "a", "z", False), ("w", "b", "c", True)],
+        "k string, src string, dst string, lifts boolean")
+    seeds = spark.createDataFrame([("u", "a", 2), ("u", "a", 1), ("u", "d", 1), ("v", "a", 5), (None, "a", 4), ("w", "c", 0)], "k string, node string, level int")
+    rows = lambda df: sorted(map(str, df.select("k", "node", "level").collect()))
+    small = graph.raise_levels(edges, seeds, ["k"], small=True)
+    assert rows(small) == rows(graph.raise_levels(edges, seeds, ["k"]))
+    assert {(r["k"], r["node"]): r["level"] for r in small.collect()}[("u", "c")] == 3
+
+
+def test_calls_are_marked_from_one_reading(spark):
+    units = spark.createDataFrame([("p", "f"), ("p", "f"), ("q", "g"), (None, "h")], "program string, fn_name string")
+    sites = spark.createDataFrame([("p", "f", 1), ("p", "g", 2), ("q", "g", 3), (None, "h", 4)], "program string, callee string, line_no int")
+    marked = code.mark_calls(sites, units)
+    assert sorted((r["line_no"], r["internal"]) for r in marked.collect()) == [(1, True), (2, False), (3, True), (4, False)]
+    inside, outside = code.call_edges(sites, units)
+    assert sorted(r["line_no"] for r in inside.collect()) == [1, 3] and sorted(r["line_no"] for r in outside.collect()) == [2, 4]
+    assert inside.columns == sites.columns or sorted(inside.columns) == sorted(sites.columns)
+
+
+def test_statement_without_a_sign_assigns_nothing(spark):
+    from auditlake.functions import statements as st
+
+    rows = spark.createDataFrame([("swap(pool, amount, 0);",), ("let x;",), ("let x = y;",), ("a.b += c;",), (None,)], "code string")
+    name, rhs = st.assignment(rows["code"])
+    got = [tuple(r) for r in rows.select(name.alias("n"), rhs.alias("r")).collect()]
+    assert got == [(None, ""), (None, ""), ("x", "y;"), ("b", "c;"), (None, None)]
