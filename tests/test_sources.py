@@ -113,3 +113,11 @@ def test_sarif_splits_large_runs(spark):
     assert len(docs) > 1 and sum(len(json.loads(d["document"])["runs"][0]["results"]) for d in docs) == 50
     first = json.loads(docs[0]["document"])["runs"][0]["results"][0]
     assert first["level"] == "error" and first["rank"] == 7 and first["message"]["text"] == 'd "q"'
+
+
+def test_folder_of_findings_is_not_written_by_every_task(spark, tmp_path):
+    rows = spark.range(400).select(F.concat(F.lit("P"), (F.col("id") % 5).cast("string")).alias("program"), F.col("id")).repartition(8)
+    reports.write_findings(rows, str(tmp_path / "out"), by="program")
+    files = list((tmp_path / "out").rglob("*.parquet"))
+    assert len(files) == 5
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400
