@@ -119,7 +119,7 @@ def scan_line_patterns(
 ) -> DataFrame:
     """Line findings of (id, category, severity, severity when documented, pattern).
 
-    tokens: texts without any of them are skipped. A line is first tested against all patterns at once;
+    tokens: texts and lines without any of them are skipped. A line is first tested against all patterns at once;
     the SAFETY comment is looked up in the three lines above, in the file's own row.
     """
     keep = keep or [c for c in files.columns if c != text]
@@ -130,12 +130,16 @@ def scan_line_patterns(
     exploded = rows.select(*keep, "_lines", F.posexplode("_lines").alias("_i", "line"))
     code = F.trim("line")
     exploded = exploded.filter(~code.startswith("//") & ~code.startswith("/*") & ~code.startswith("*"))
+    if tokens:
+        exploded = exploded.filter(has_any(F.col("line"), tokens))
     exploded = exploded.filter(F.col("line").rlike("|".join(f"(?:{p[4]})" for p in patterns)))
     above = F.slice(lines, F.greatest(F.col("_i") - 2, F.lit(1)), F.least(F.col("_i"), F.lit(3)))
     documented = (F.col("_i") > 0) & F.exists(above, lambda x: F.trim(x).rlike("^///? SAFETY:"))
+    exploded = exploded.select(*keep, "_i", "line", documented.alias("_documented"))
     tests = [
         F.when(F.col("line").rlike(p), F.struct(
-            F.lit(i).alias("id"), F.lit(c).alias("category"), F.when(documented, s2).otherwise(s1).alias("severity")))
+            F.lit(i).alias("id"), F.lit(c).alias("category"),
+            (F.lit(s1) if s1 == s2 else F.when(F.col("_documented"), s2).otherwise(s1)).alias("severity")))
         for i, c, s1, s2, p in patterns
     ]
     return emit(exploded, [*keep, (F.col("_i") + 1).alias("line_no"), "line"], tests, "id")
@@ -174,6 +178,9 @@ ARITHMETIC = (
     ("PotentialPrecisionLoss", 5, r" / \d{2,}"),
     ("ModuloByZero", 4, r" % [a-z_]\w*"),
 )
+#: Every arithmetic pattern needs one of these, and every checked call one of the parts.
+ARITHMETIC_TOKENS = (" + ", " - ", " / ", "as ", "<< ", ">> ", " % ")
+CHECKED_PARTS = ("checked_", "saturating_")
 CHECKED_CALLS = ("checked_add", "checked_sub", "checked_mul", "checked_div", "saturating_add", "saturating_sub", "saturating_mul")
 
 
@@ -181,12 +188,13 @@ def scan_arithmetic(files: DataFrame, text: str = "content", keep: list[str] | N
     """Arithmetic issues per line; files that use checked math twice or more keep their bare sums."""
     keep = keep or [c for c in files.columns if c != text]
     col = F.col(text)
-    checked = sum((occurrences(col, t) for t in CHECKED_CALLS), F.lit(0)) >= 2
+    used = sum((occurrences(col, t) for t in CHECKED_CALLS), F.lit(0))
+    checked = F.when(has_any(col, CHECKED_PARTS), used >= 2).otherwise(F.lit(False))
     lines = files.select(*keep, checked.alias("_ok"), F.posexplode(line_array(col)).alias("_i", "line"))
     code = F.trim("line")
-    lines = lines.filter((code != "") & ~code.startswith("//"))
+    lines = lines.filter((code != "") & ~code.startswith("//") & has_any(F.col("line"), ARITHMETIC_TOKENS) & ~has_any(F.col("line"), CHECKED_PARTS))
     tests = [
-        F.when(F.col("line").rlike(p) & (~F.col("_ok") if kind == "UncheckedArithmetic" else F.lit(True)) & ~has_any(F.col("line"), ("checked_", "saturating_")),
+        F.when(F.col("line").rlike(p) & (~F.col("_ok") if kind == "UncheckedArithmetic" else F.lit(True)),
                F.struct(F.lit(kind).alias("kind"), F.lit(s).alias("cvss")))
         for kind, s, p in ARITHMETIC
     ]
