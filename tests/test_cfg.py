@@ -121,3 +121,19 @@ def test_statements_of_long_tails_and_odd_blanks(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, code string")
     got = {r["i"]: r["s"] and [(s["line"], s["code"]) for s in r["s"]] for r in rows.select("i", cfg.statements(rows["code"]).alias("s")).collect()}
     assert got == {0: [(1, "a = 1;"), (1, "\u0085 b;")], 1: [(0, "if a { b; } else { c; }"), (0, "d;")], 2: [], 3: [(0, "a;")], 4: [], 5: None}
+
+
+def test_repeated_files_go_before_their_texts_are_made(spark, tmp_path):
+    from auditlake.catalog import corpus
+
+    rows = [(1, 1, 3, 5, 10.0), (1, 1, 3, 5, 10.0), (4, 2, 7, 5, 3.0), (None, 1, 3, 5, 10.0), (None, 2, 3, 5, 10.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    files = corpus.distinct_files(spark, str(tmp_path))
+    plan = files._jdf.queryExecution().sparkPlan().toString()
+    assert "use anchor_lang" in plan.split("Aggregate")[0] and "use anchor_lang" not in "".join(plan.split("Aggregate")[1:])
+    plain = corpus.code_files(spark, str(tmp_path))
+    named = lambda df: sorted((r["file_path"], r["content"]) for r in df.where("file_path is not null").collect())
+    assert named(files) == sorted(set(named(plain))) and len(named(files)) == 2
+    assert files.where("file_path is null").count() == 1
+    texts = corpus.distinct_texts(spark, str(tmp_path))
+    assert named(texts) == named(files) and texts.where("file_path is null").count() == 2

@@ -215,3 +215,14 @@ def test_statement_without_a_sign_assigns_nothing(spark):
     name, rhs = st.assignment(rows["code"])
     got = [tuple(r) for r in rows.select(name.alias("n"), rhs.alias("r")).collect()]
     assert got == [(None, ""), (None, ""), ("x", "y;"), ("b", "c;"), (None, None)]
+
+
+def test_arithmetic_patterns_need_their_tokens(spark):
+    lines = ["a + b", "a - (b)", "x / rate", "x / 100", "x as u64", "1 << n", "n >> k", "n % m", "a.checked_add(b) as u64", "// a + b", "a+b"]
+    files = spark.createDataFrame([("f", "\n".join(lines)), ("g", None)], "file_path string, content string")
+    found = {(r["line_no"], r["kind"]) for r in packs.scan_arithmetic(files, keep=["file_path"]).collect()}
+    assert found == {
+        (1, "UncheckedArithmetic"), (2, "UncheckedArithmetic"), (3, "PotentialDivisionByZero"), (4, "PotentialPrecisionLoss"), (5, "IntegerCastingRisk"),
+        (6, "ShiftOverflow"), (7, "ShiftOverflow"), (8, "ModuloByZero")}
+    plan = packs.scan_arithmetic(files, keep=["file_path"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(line" in plan
