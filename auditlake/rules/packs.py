@@ -418,7 +418,8 @@ def syscall_usage(df: DataFrame, text: str = "content", keep: list[str] | None =
     tests = []
     for name, tokens, cost, other in table:
         for token in tokens:
-            line_no = F.length(F.regexp_replace(F.substring_index(col, token, 1), r"[^\n]", "")) + 1
+            before = F.substring_index(col, token, 1)
+            line_no = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
             tests.append(F.when(F.contains(col, F.lit(token)), F.struct(
                 F.lit(name).alias("syscall"), F.lit(token).alias("token"), line_no.alias("line_no"), F.lit(cost).alias("cu_cost"),
                 F.lit(other).alias("cu_cost_other"), F.lit(cost != other).alias("has_diff"))))
