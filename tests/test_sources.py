@@ -121,3 +121,20 @@ def test_folder_of_findings_is_not_written_by_every_task(spark, tmp_path):
     files = list((tmp_path / "out").rglob("*.parquet"))
     assert len(files) == 5
     assert spark.read.parquet(str(tmp_path / "out")).count() == 400
+
+
+def test_context_join_stays_where_files_lie(spark):
+    """Files that lie together by path are not moved again for their structs; the last struct of a name counts."""
+    text = "pub struct A<'info> {\n  x: u8\n}\npub struct A<'info> {\n  y: u8\n}\nfn f(c: Context<A>) {\n}\nfn g(c: Context<B>) {\n}\n"
+    files = spark.createDataFrame([("p", "x.rs", text), ("p", None, text)], "program string, file_path string, content string").repartition(3, "file_path")
+    keep = ["program", "file_path"]
+    out = join_context(extract_units(files, keep=keep), extract_structs(files, keep=keep))
+    got = {(r["file_path"], r["fn_name"]): r["code"] for r in out.collect()}
+    assert len(got) == 4 and "y: u8" in got["x.rs", "f"] and "x: u8" not in got["x.rs", "f"]
+    assert all(got[k].startswith("fn ") for k in got if k != ("x.rs", "f"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = join_context(extract_units(files, keep=keep), extract_structs(files, keep=keep))
+        assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
