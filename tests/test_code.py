@@ -226,3 +226,45 @@ def test_arithmetic_patterns_need_their_tokens(spark):
         (6, "ShiftOverflow"), (7, "ShiftOverflow"), (8, "ModuloByZero")}
     plan = packs.scan_arithmetic(files, keep=["file_path"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(line" in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calls_carry_the_checks_of_their_function(spark):
+    text = "fn a(x: AccountInfo) {\n    token::transfer(x);\n}\nfn b(x: AccountInfo) {\n    require_signed(x);\n    let y = n.checked_add(1);\n    token::transfer(x);\n}\n"
+    files = spark.createDataFrame([("p", "x.rs", "x.rs", text), ("p", None, "x.rs", text)], "program string, file_path string, file_name string, content string")
+    units = extract_units(files, keep=["program", "file_path", "file_name"])
+    keys = [*code.CALL_CHECKS, *code.UNIT_KEYS]
+    calls = [code.call_edges(code.call_sites(code.unit_statements(u, k), k), units)[1] for u, k in ((units, code.UNIT_KEYS), (code.with_call_checks(units), keys))]
+    joined, carried = (code.dangerous_calls(c, units) for c in calls)
+    assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, joined.collect())) and {r["fn_name"] for r in carried.collect()} == {"a"}
+    assert _plan(carried).count("Join ") == 1 < _plan(joined).count("Join ")
+
+
+def test_summaries_by_function_and_carried_parameters(spark):
+    text = "fn a(x: AccountInfo, y: u64) {\n    b(y, x);\n}\nfn b(p: u64, q: AccountInfo) {\n    invoke(q, ix);\n}\n"
+    files = spark.createDataFrame([("p", "x.rs", "x.rs", text), ("q", "y.rs", "y.rs", text), ("q", None, None, text)], "program string, file_path string, file_name string, content string")
+    units = extract_units(files, keep=["program", "file_path", "file_name"])
+    held = ["params", *code.UNIT_KEYS]
+    inside, _ = code.call_edges(code.call_sites(code.unit_statements(code.with_parameters(units), held), held), units)
+    known = code.fn_summaries(units).groupBy("program", "fn_name", "pos").agg(F.bool_or("reaches_sink").alias("reaches_sink"))
+    got = sorted((r["program"], r["fn_name"], r["pos"], r["sink_hops"]) for r in code.transitive_summaries(known, inside).where("reaches_sink").collect())
+    assert got == [(p, f, n, h) for p in "pq" for f, n, h in (("a", 0, 1), ("b", 1, 0))]
+
+
+def test_units_and_summaries_read_a_text_once(spark):
+    files = spark.createDataFrame([("p", "x.rs", "x.rs", "fn a(x: u64) {\n    invoke(x)\n}\n")], "program string, file_path string, file_name string, content string")
+    units = extract_units(files.repartition(2).withColumn("content", F.concat("content", "content")), keep=["program"])
+    assert _plan(units.select("program", "fn_name", "code")).count("split(") == 1
+    assert _plan(units.select("program", "fn_name", "code")).count("regexp_extract(") == 1
+    one = code.fn_summaries(units, ["program", "fn_name"])
+    assert {(r["fn_name"], r["reaches_sink"], r["returns"]) for r in one.collect()} == {("a", True, False)} and _plan(one).count("size(split(") == 0
+
+
+def test_line_of_a_syscall_is_counted_without_a_pattern(spark):
+    df = spark.createDataFrame([("a\nb\nmsg!(x); msg!(y)",), ("msg!",), (None,)], "content string")
+    out = packs.syscall_usage(df, keep=["content"])
+    assert sorted((r["syscall"], r["line_no"]) for r in out.collect()) == [("sol_log", 1), ("sol_log", 3)]
+    assert "regexp_replace" not in _plan(out)
