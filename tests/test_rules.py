@@ -7,7 +7,7 @@ import pytest
 from auditlake.plans.scan import ALL_RULES, all_findings, raw_findings, scan_report, validated_findings
 from auditlake.rules import packs
 from auditlake.rules.core_pack import CORE
-from auditlake.rules.engine import none, rule, rule_hits, scan_rules, some, tokens_of
+from auditlake.rules.engine import condition_sql, every, line, none, regex, rule, rule_hits, scan_rules, some, tokens_of
 from auditlake.rules.structure_pack import STRUCTURE
 from auditlake.sources.corpus import extract_units, source_string, units_with_context
 
@@ -217,3 +217,22 @@ def test_scan_report_returns_the_places(spark):
         further[r["id"]] = further.get(r["id"], 0) + 1
     assert n and {k: v - 1 for k, v in n.items() if v > 1} == further
     assert n == {r["id"]: r["n_locations"] for r in validated_findings(files).collect()}
+
+
+def test_patterns_come_last_and_start_at_words(spark):
+    tree = every(line(regex("x")), regex(r"(?i)\w*(?:admin|owner)\s*=", "="), none("checked_"))
+    sql = condition_sql(tree, "code")
+    assert sql.index("checked_") < sql.index("admin") < sql.index("split(") and "rlike '(?i)(?:admin|owner)" in sql
+    texts = ["my_Admin = x", "admin == x\nchecked_", "owner x", "", "x\nthe_owner= 1"]
+    df = spark.createDataFrame([(t,) for t in texts], "code string")
+    assert [r[0] for r in df.selectExpr(sql).collect()] == [True, False, False, False, True]
+
+
+def test_gates_hold_wherever_their_pattern_is_found(spark):
+    """Gated patterns of the structure pack fire as they do without a gate, in either case of letters."""
+    bare = lambda t: t if isinstance(t, str) else ["regex", t[1]] if t[0] == "regex" else [t[0], *(bare(p) if isinstance(p, (str, list)) else p for p in t[1:])]
+    texts = ["x.set_authority(a)", "x.my_change_owner2(a)", "MyAdmin = Ctx.ACCOUNTS.x", "owner = a.Key()", "p.get_PRICE()", "x.Oracle", "d.try_deserialize(x)", "T.unpack(x)", "a.try_from_slice(b)", "Owner = 1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, code string")
+    hits = lambda rules: sorted((r["i"], r["id"]) for r in scan_rules(df, rules, keep=["i"]).collect())
+    plain = [{**r, "when": bare(r["when"])} for r in STRUCTURE]
+    assert hits(STRUCTURE) == hits(plain) and len(hits(STRUCTURE)) > 6 and plain != STRUCTURE
