@@ -17,14 +17,20 @@ from auditlake.functions.text import has_any
 from auditlake.session import RoundTable, write_cut
 
 
-def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None, whole: bool = False) -> DataFrame:
+def grow(
+    start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], max_rounds: int | None = None, whole: bool = False,
+    last: Callable[[DataFrame], DataFrame] | None = None, finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Closure of start under step; one row per key, taken from the first round that reaches it. With whole, rounds that end before
-    the closure does are an error."""
+    the closure does are an error. last: prepares the rows of a round for the next one; finish: gives the new rows what step left out,
+    from the rows that they came from."""
     table = RoundTable(start.sparkSession)
     new, rounds = table.append(start.dropDuplicates(keys)), 0
     while new and (max_rounds is None or rounds < max_rounds):
         known = table.all().select(*keys)
-        found = step(table.last()).dropDuplicates(keys).join(known, keys, "left_anti")
+        frontier = last(table.last()) if last else table.last()
+        found = step(frontier).dropDuplicates(keys).join(known, keys, "left_anti")
+        found = finish(found, frontier) if finish else found
         new, rounds = table.append(found.select(*start.columns)), rounds + 1
     if new and whole:
         raise RuntimeError(f"not finished after {rounds} rounds: {new} rows are still new")
@@ -37,6 +43,36 @@ def _edges(edges: DataFrame, keys, extra=(), forward: bool = True) -> DataFrame:
     return write_cut(edges.select(*keys, F.col(src).alias("node"), F.col(dst).alias("_to"), *extra).distinct())
 
 
+def _shortest(start: DataFrame, e: DataFrame, keys, label=(), longer=None, max_rounds: int | None = None, whole: bool = False) -> DataFrame:
+    """grow over (keys, node, label, path): each row keeps the smallest of its shortest paths. longer(path, to) adds a node at the end
+    or, for walks against the edges, at the front.
+
+    Paths of a round are equally long and those that meet in a node get the same node added, so the order of their beginnings decides.
+    Beginnings are put in order once and written; the join by edges, which makes a row for every edge and label, carries the place
+    in that order as one number, and only rows that are new read their path."""
+    ids = [*keys, "node", *label]
+
+    def placed(rows):
+        return write_cut(rows.orderBy("path").withColumn("_place", F.monotonically_increasing_id()))
+
+    def step(rows):
+        near = rows.select(*ids, "_place").join(e, [*keys, "node"])
+        return near.groupBy(*keys, F.col("_to").alias("node"), *label).agg(F.min("_place").alias("_place"))
+
+    def finish(found, rows):
+        return found.join(rows.select("_place", "path"), "_place").withColumn("path", longer(F.col("path"), F.col("node")))
+
+    return grow(start, step, ids, max_rounds, whole, placed, finish)
+
+
+def _at_end(path: Column, to: Column) -> Column:
+    return F.concat(path, F.array(to.cast("string")))
+
+
+def _in_front(path: Column, to: Column) -> Column:
+    return F.concat(F.array(to.cast("string")), path)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, keys=(), label=(), depth: int | None = None, forward: bool = True) -> DataFrame:
     """Nodes reachable from seeds (keys, node, label columns carried along), with the round as `hops`.
 
@@ -89,13 +125,7 @@ def propagate_labels(
         clean = sanitizers.select(*keys, F.col("node").alias("_to")).distinct()
         e = write_cut(e.join(clean, [*keys, "_to"], "left_anti"))
     start = sources.select(*keys, "node", "label").distinct().withColumn("path", F.array(F.col("node").cast("string")))
-
-    def step(frontier):
-        moved = frontier.join(e, [*keys, "node"]).select(
-            *keys, F.col("_to").alias("node"), "label", F.concat("path", F.array(F.col("_to").cast("string"))).alias("path"))
-        return moved.groupBy(*keys, "node", "label").agg(F.min("path").alias("path"))
-
-    return grow(start, step, [*keys, "node", "label"], max_rounds, True)
+    return _shortest(start, e, keys, ["label"], _at_end, max_rounds, True)
 
 
 def propagate_in_context(edges: DataFrame, sources: DataFrame, k: int = 3, keys=(), max_rounds: int | None = None) -> DataFrame:
@@ -162,13 +192,7 @@ def backward_flows(edges: DataFrame, sinks: DataFrame, sources: DataFrame, keys=
     keys = list(keys)
     e = _edges(edges, keys, forward=False)
     start = sinks.select(*keys, "node", F.col("node").alias("sink")).distinct().withColumn("path", F.array(F.col("node").cast("string")))
-
-    def step(frontier):
-        moved = frontier.join(e, [*keys, "node"]).select(
-            *keys, F.col("_to").alias("node"), "sink", F.concat(F.array(F.col("_to").cast("string")), "path").alias("path"))
-        return moved.groupBy(*keys, "node", "sink").agg(F.min("path").alias("path"))
-
-    seen = grow(start, step, [*keys, "node", "sink"])
+    seen = _shortest(start, e, keys, ["sink"], _in_front)
     return seen.join(sources.select(*keys, "node").distinct(), [*keys, "node"], "left_semi")
 
 
@@ -290,12 +314,8 @@ def dominators(edges: DataFrame, entries: DataFrame, keys, candidates: DataFrame
     keys = list(keys)
     e = _edges(edges, keys)
     start = entries.select(*keys, "node").distinct().select(*keys, "node", F.array("node").alias("path"))
-
-    def step(frontier):
-        moved = frontier.join(e, [*keys, "node"]).select(*keys, F.col("_to").alias("node"), F.concat("path", F.array("_to")).alias("path"))
-        return moved.groupBy(*keys, "node").agg(F.min("path").alias("path"))
-
-    state = write_cut(grow(start, step, [*keys, "node"]).withColumn("_new", F.lit(True)))
+    walked = _shortest(start, e, keys, longer=lambda path, to: F.concat(path, F.array(to)))
+    state = write_cut(walked.withColumn("_new", F.lit(True)))
     into = e.join(state.select(*keys, "node"), [*keys, "node"]).where(F.col("node") != F.col("_to"))
     first = start.select(*keys, F.col("node").alias("_to"))
     into = into.join(first, [*keys, "_to"], "left_anti")  # an entry has no dominator but itself

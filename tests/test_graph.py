@@ -95,6 +95,34 @@ def test_labels_paths_and_guards(spark):
     assert {(r["src"], r["connected"]) for r in graph.has_path(edges, pairs).collect()} == {("a", True), ("t", False)}
 
 
+def test_rounds_of_labels_carry_places_instead_of_paths(spark, monkeypatch):
+    seen, real = [], graph.grow
+
+    def watch(start, step, *rest, **named):
+        def noted(rows):
+            out = step(rows)
+            seen.append(out.columns)
+            return out
+        return real(start, noted, *rest, **named)
+
+    monkeypatch.setattr(graph, "grow", watch)
+    pairs = {(f"n{k * k % 23}", f"n{(k * 7 + 3) % 23}") for k in range(60)} | {(f"n{k}", f"n{(k * 5 + 1) % 23}") for k in range(23)}
+    sources = [("n1", "A"), ("n2", "B"), ("n4", "A")]
+    want = front = {key: (key[0],) for key in sources}
+    while front:
+        new = {}
+        for (node, label), path in front.items():
+            for to in (b for a, b in pairs if a == node and (b, label) not in want):
+                new[to, label] = min(new.get((to, label), ("~",)), (*path, to))
+        want, front = want | new, new
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    got = graph.propagate_labels(edges, spark.createDataFrame(sources, "node string, label string")).collect()
+    assert {(r["node"], r["label"]): tuple(r["path"]) for r in got} == want and len(got) == len(want) and max(map(len, want.values())) > 3
+    back = graph.backward_flows(edges, spark.createDataFrame([("n1",)], "node string"), spark.createDataFrame([("n2",)], "node string"))
+    assert back.count() == 1
+    assert seen and not any("path" in columns for columns in seen)
+
+
 def test_labels_reach_the_end_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(104)], "src string, dst string")
     sources = spark.createDataFrame([("n0", "x")], "node string, label string")
