@@ -7,7 +7,7 @@ import pytest
 from auditlake.plans.scan import ALL_RULES, all_findings, raw_findings, scan_report, validated_findings
 from auditlake.rules import packs
 from auditlake.rules.core_pack import CORE
-from auditlake.rules.engine import condition_sql, every, line, none, regex, rule, rule_hits, scan_rules, some, tokens_of
+from auditlake.rules.engine import at_least, condition_sql, count, every, line, none, regex, rule, rule_hits, scan_rules, some, tokens_of
 from auditlake.rules.structure_pack import STRUCTURE
 from auditlake.sources.corpus import extract_units, source_string, units_with_context
 
@@ -68,6 +68,21 @@ def test_one_pass_and_plain_lookup_agree(spark, monkeypatch, rows):
     assert rows(rule_hits(df, CORE, "code", ["n"])) == fast
 
 
+def test_rules_of_tokens_are_decided_beside_the_marks(spark):
+    """Packs with many tokens leave the JVM only the rules with patterns or lines, and a null text is empty."""
+    tokens = [f"tok{i:03d}!" for i in range(70)]
+    own = [rule(f"T-{i}", "t", 1, some(t, every("é", count(t[:3], 2)))) for i, t in enumerate(tokens)]
+    own.append(rule("R", "r", 2, every(tokens[0], none(tokens[1], regex("x+y")), line(every(tokens[0], regex("z$"))))))
+    own.append(rule("N", "n", 3, every(none(tokens[2]), at_least(1, tokens[3], regex("^q")))))
+    texts = [None, "", "tok000! z", "tok000! xy z", "é tok tok", "\0tok003!\0tok069!", "q", "q tok002!", "tok000!\ntok001! z", "tok00", "1!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, code string")
+    got = sorted((r["n"], r["rule_pos"]) for r in scan_rules(df, own, "code", ["n"]).collect())
+    flat = lambda i, t: [k for k, r in enumerate(own) if holds(r["when"], t or "", {})]
+    assert got == sorted((i, k) for i, t in enumerate(texts) for k in flat(i, t))
+    plan = scan_rules(df, own, "code", ["n"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 10  # one for each rule of the pack before
+
+
 def test_rule_table_is_complete():
     ids = [r["id"] for r in [*CORE, *STRUCTURE]]
     assert len(ids) == 92 and len(set(ids)) == 91
