@@ -9,6 +9,7 @@ from auditlake.functions.numbers import band
 from auditlake.functions.text import fingerprint
 from auditlake.operators.scores import health_score
 from auditlake.plans.scan import raw_findings
+from auditlake.session import write_cut
 from auditlake.streaming.keyed import AuthorityChanges, Buckets, run_batches, run_to
 
 # Severity of an authority event.
@@ -129,7 +130,11 @@ def scan_stream(files: DataFrame, root: str, **trigger):
 
 
 def current_findings(spark, root: str) -> DataFrame:
-    """Findings of the latest scan of each file."""
-    files = spark.read.parquet(f"{root}/files").groupBy("file_path").agg(F.max("batch").alias("batch"))
-    found = spark.read.parquet(f"{root}/findings")
-    return found.join(files, ["file_path", "batch"], "left_semi").drop("batch")
+    """Findings of the latest scan of each file. Scans that a later one replaced are found among the files and written, so that all
+    findings only meet those few."""
+    scans = spark.read.parquet(f"{root}/files")
+    again = scans.groupBy("file_path").agg(F.max("batch").alias("_last"), F.min("batch").alias("_first")).where("_first < _last")
+    replaced = write_cut(scans.join(again, "file_path").where("batch < _last").select("file_path", "batch"))
+    found = spark.read.parquet(f"{root}/findings").where("file_path is not null")
+    done = found.join(F.broadcast(scans.select("batch").distinct()), "batch", "left_semi")
+    return done.join(replaced, ["file_path", "batch"], "left_anti").drop("batch")

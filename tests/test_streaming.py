@@ -181,6 +181,17 @@ def test_scan_stream_replaces_old_findings(spark, tmp_path, rows):
     assert rows(got, "file_path", "id") == rows(want, "file_path", "id") and got.count() > 0
 
 
+def test_findings_meet_only_replaced_scans(spark, tmp_path, rows):
+    root = str(tmp_path / "job")
+    found = [(0, "x", "A"), (0, "y", "A"), (0, None, "A"), (1, "x", "B"), (2, "z", "C"), (3, "y", "D")]
+    scanned = [(0, "x"), (0, "y"), (0, None), (1, "x"), (2, "z"), (2, "x")]  # batch 3 has no files yet
+    spark.createDataFrame(found, "batch int, file_path string, id string").write.partitionBy("batch").parquet(f"{root}/findings")
+    spark.createDataFrame(scanned, "batch int, file_path string").write.partitionBy("batch").parquet(f"{root}/files")
+    got = jobs.current_findings(spark, root)
+    assert got.columns == ["file_path", "id"] and rows(got, "file_path", "id") == [("y", "A"), ("z", "C")]
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scoreboard_and_dedupe(spark, tmp_path):
     data = [("a", 10, T0), ("b", 50, T0), ("a", 90, T0 + dt.timedelta(seconds=5)), ("b", 1, T0 - dt.timedelta(seconds=5))]
     schema = "program string, score int, ts timestamp"
