@@ -103,6 +103,47 @@ def test_account_safety_rules(spark):
     assert [tuple(r) for r in pairs] == [("source", "destination")]
 
 
+#: Heads without a type, types of one blank, nested types, comments and marks, which a cut at the fields must read like a search by pieces.
+ODD = """pub struct Odd<'info> {
+    pub none:, pub first: AccountInfo<'info>, pub blank:\t, pub two: A<B<C<D>>>,
+    // mut
+    xpub skipped: Signer<'info>, #[account(mut)] pub  third : Account < 'info , Mint >
+    #[account(has_one = first)] pub last: Vec<u8>
+}
+"""
+
+
+def made_texts(spark, text):
+    """The structs of a text that the plan can't read ahead."""
+    return extract_structs(spark.range(1).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("content"), "id"), keep=["id"])
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def compiled(df):
+    """The array of a field's tests is made neither twice, by a filter of its size, nor as the argument of a function that interprets it."""
+    return "size(" not in planned(df) and "knownnotcontainsnull(" not in planned(df)
+
+
+def test_fields_of_odd_declarations(spark):
+    s = extract_structs(source_string(spark, ODD + ODD.replace("// mut", "// \0")))
+    out = [tuple(r) for r in code.account_fields(s, ["struct_no"]).select("struct_no", "pos", "name", "type_text", "is_mutable").collect()]
+    want = [(0, "none", ",pubfirst:AccountInfo<'info>", False), (1, "blank", "", False), (2, "two", "A<B<C<D>>>", False), (3, "third", "Account<'info,Mint>", True),
+            (4, "last", "Vec<u8>", False)]
+    assert sorted(out) == [(i, *w) for i in (0, 1) for w in want]
+    whole = code.with_fields(s).select("struct_no", F.inline("fields"))
+    assert whole.exceptAll(code.account_fields(s, ["struct_no"])).count() == 0 and whole.count() == 10
+
+
+def test_aliasing_is_compiled(spark):
+    s = made_texts(spark, STRUCTS)
+    assert compiled(code.aliasing_findings(s, ["struct_name"]))
+    found = {(r["struct_name"], r["field"], r["id"]) for r in code.aliasing_findings(s, ["struct_name"]).collect()}
+    assert found == {("Bad", f, "SOL-ALIAS-02") for f in ("source", "destination", "oracle_program")}
+
+
 def test_alias_counts_match_pairs(spark):
     rng = random.Random(4)
     fields, links = [], []
