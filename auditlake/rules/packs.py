@@ -469,56 +469,53 @@ PROGRAM_FIELDS = ("system_program", "rent")
 
 def account_safety(structs: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Field checks: ownership, confusion, signer, derived address, close, framework constraints."""
-    from auditlake.operators.code import with_fields
-
-    fields = F.col("fields")
-    any_signer = F.exists(fields, lambda f: f["is_signer"])
-    any_mut = F.exists(fields, lambda f: F.contains(f["attr"], F.lit("mut")))
-    any_authority = F.exists(fields, lambda f: has_any(F.lower(f["name"]), AUTHORITY_WORDS))
-    any_close = F.exists(fields, lambda f: f["attr"].rlike(r"close\s*="))
-
-    def check(f):
-        attr, name, kind = f["attr"], f["name"], f["account_type"]
-        a = lambda t: F.contains(attr, F.lit(t))
-        low = F.lower(name)
-        raw, unchecked = kind == "RawAccountInfo", kind == "UncheckedAccount"
-        typed = kind.isin("TypedAccount", "TokenAccount") & F.contains(f["type_text"], F.lit("Account<"))
-        authority = has_any(low, AUTHORITY_WORDS)
-        privileged = name.isin(*PRIVILEGED) | name.rlike("_(?:" + "|".join(PRIVILEGED) + ")$")
-        pda_name = has_any(name, PDA_WORDS)
-        linked = F.exists(fields, lambda o: (o["name"] != name) & F.exists(o["constraints"], lambda c: (c["kind"] == "HasOne") & (c["arg"] == name)))
-        init = a("init") & ~a("init_if_needed")
-        tests = (
-            ("OWNER-01", raw & ~a("owner") & ~f["has_check"], "Critical"),
-            ("OWNER-02", unchecked & ~a("owner") & ~f["has_check"], "High"),
-            ("CONFUSION-01", raw & ~f["has_check"] & ~a("account("), "Critical"),
-            ("CONFUSION-02", unchecked & ~f["has_check"], "High"),
-            ("SIGNER-01", authority & ~f["is_signer"] & (raw | unchecked), "Critical"),
-            ("PDA-01", a("seeds") & ~a("bump") & ~a("init"), "Medium"),
-            ("PDA-02", a("seeds") & ~attr.rlike(r"seeds\s*=\s*\[[^\]]*,") & ~a('b"'), "High"),
-            ("PDA-03", pda_name & typed & ~a("seeds"), "High"),
-            ("CLOSE-01", a("init_if_needed"), "High"),
-            ("CLOSE-02", attr.rlike(r"close\s*=") & ~a("has_one") & ~a("constraint") & ~a("authority"), "High"),
-            ("CLOSE-03", a("init_if_needed") & any_close, "Critical"),
-            ("ANCHOR-OWNER", F.contains(name, F.lit("account")) & ~F.contains(name, F.lit("system")) & ~a("owner") & (raw | unchecked), "High"),
-            ("ANCHOR-CONSTRAINT", a("constraint =") & ~a("@"), "Medium"),
-            ("ANCHOR-SPACE", init & ~a("space"), "High"),
-            ("ANCHOR-REINIT", a("init_if_needed"), "Critical"),
-            ("ANCHOR-CLOSE", a("close") & ~a("has_one"), "High"),
-            ("ANCHOR-SIGNER", privileged & (raw | unchecked) & ~a("signer"), "Critical"),
-            ("ANCHOR-AUTHORITY", privileged & typed & ~linked & ~a("has_one") & ~f["is_signer"], "High"),
-            ("ANCHOR-BUMP", a("seeds") & ~a("bump"), "Critical"),
-            ("ANCHOR-SEEDS", a("seeds") & a('b"') & ~attr.rlike(r"\.key\(\)|as_ref\(\)|\.to_le_bytes\(\)|&\["), "Medium"),
-            ("ANCHOR-INIT-SEEDS", (kind == "TypedAccount") & ~a("seeds") & a("init"), "High"),
-            ("ANCHOR-PROGRAM", F.contains(name, F.lit("program")) & (raw | unchecked) & ~name.isin(*PROGRAM_FIELDS), "Critical"),
-        )
-        return F.array_compact(F.array(*[
-            F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(i).alias("id"), name.alias("field"), F.lit(s).alias("severity"))) for i, cond, s in tests]))
-
-    whole = F.when(any_mut & ~any_signer & ~any_authority, F.struct(
+    from auditlake.operators.code import any_signer, attribute, each_field, inline_found, piece_has, piece_points_at
+
+    rows, f = each_field(structs, keys, body)
+    fields, attr, name, kind = F.col("fields"), f["attr"], f["name"], f["account_type"]
+    a = lambda t: F.contains(attr, F.lit(t))
+    closing = lambda text: F.contains(text, F.lit("close")) & text.rlike(r"close\s*=")
+    authority = lambda c: has_any(F.lower(c), AUTHORITY_WORDS)
+    raw, unchecked = kind == "RawAccountInfo", kind == "UncheckedAccount"
+    wild = raw | unchecked
+    typed = kind.isin("TypedAccount", "TokenAccount") & F.contains(f["type_text"], F.lit("Account<"))
+    privileged = name.isin(*PRIVILEGED) | F.contains(name, F.lit("_")) & name.rlike("_(?:" + "|".join(PRIVILEGED) + ")$")
+    pda_name = has_any(name, PDA_WORDS)
+    linked = F.exists(fields, lambda o: piece_points_at(o, name) & (o["name"] != name))
+    any_close = F.exists(fields, lambda o: closing(attribute(o["lead"])))
+    any_mut = F.exists(fields, lambda o: piece_has(o, "Mutable"))
+    any_authority = F.exists(fields, lambda o: authority(o["name"]))
+    # cheap parts of a test come first
+    tests = (
+        ("OWNER-01", raw & ~a("owner") & ~f["has_check"], "Critical"),
+        ("OWNER-02", unchecked & ~a("owner") & ~f["has_check"], "High"),
+        ("CONFUSION-01", raw & ~f["has_check"] & ~a("account("), "Critical"),
+        ("CONFUSION-02", unchecked & ~f["has_check"], "High"),
+        ("SIGNER-01", wild & ~f["is_signer"] & authority(name), "Critical"),
+        ("PDA-01", a("seeds") & ~a("bump") & ~a("init"), "Medium"),
+        ("PDA-02", a("seeds") & ~a('b"') & ~attr.rlike(r"seeds\s*=\s*\[[^\]]*,"), "High"),
+        ("PDA-03", typed & ~a("seeds") & pda_name, "High"),
+        ("CLOSE-01", a("init_if_needed"), "High"),
+        ("CLOSE-02", closing(attr) & ~a("has_one") & ~a("constraint") & ~a("authority"), "High"),
+        ("CLOSE-03", a("init_if_needed") & any_close, "Critical"),
+        ("ANCHOR-OWNER", wild & F.contains(name, F.lit("account")) & ~F.contains(name, F.lit("system")) & ~a("owner"), "High"),
+        ("ANCHOR-CONSTRAINT", a("constraint =") & ~a("@"), "Medium"),
+        ("ANCHOR-SPACE", a("init") & ~a("init_if_needed") & ~a("space"), "High"),
+        ("ANCHOR-REINIT", a("init_if_needed"), "Critical"),
+        ("ANCHOR-CLOSE", a("close") & ~a("has_one"), "High"),
+        ("ANCHOR-SIGNER", wild & ~a("signer") & privileged, "Critical"),
+        ("ANCHOR-AUTHORITY", typed & ~f["is_signer"] & ~a("has_one") & privileged & ~linked, "High"),
+        ("ANCHOR-BUMP", a("seeds") & ~a("bump"), "Critical"),
+        ("ANCHOR-SEEDS", a("seeds") & a('b"') & ~attr.rlike(r"\.key\(\)|as_ref\(\)|\.to_le_bytes\(\)|&\["), "Medium"),
+        ("ANCHOR-INIT-SEEDS", (kind == "TypedAccount") & a("init") & ~a("seeds"), "High"),
+        ("ANCHOR-PROGRAM", wild & F.contains(name, F.lit("program")) & ~name.isin(*PROGRAM_FIELDS), "Critical"),
+    )
+    # a struct's own finding comes with its first field
+    whole = F.when((f["pos"] == 0) & any_mut & ~any_signer(fields) & ~any_authority, F.struct(
         F.lit("SIGNER-02").alias("id"), F.lit("").alias("field"), F.lit("High").alias("severity")))
-    found = F.concat(F.flatten(F.transform(fields, check)), F.array_compact(F.array(whole)))
-    return with_fields(structs, body).select(*keys, F.inline(found))
+    found = F.array(*[
+        F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(i).alias("id"), name.alias("field"), F.lit(s).alias("severity"))) for i, cond, s in tests], whole)
+    return inline_found(rows, keys, found)
 
 
 def related_names(a, b):

@@ -144,6 +144,14 @@ def test_aliasing_is_compiled(spark):
     assert found == {("Bad", f, "SOL-ALIAS-02") for f in ("source", "destination", "oracle_program")}
 
 
+def test_account_safety_is_compiled(spark):
+    s = made_texts(spark, STRUCTS.replace("pub user: Signer", "#[account(mut)]\n    pub user: Program"))
+    out = packs.account_safety(s, ["struct_name"])
+    assert compiled(out)
+    # a struct's own finding comes once, whatever the number of its fields
+    assert sorted(r["struct_name"] for r in out.filter("id = 'SIGNER-02'").collect()) == ["Bad", "Good"]
+
+
 def test_alias_counts_match_pairs(spark):
     rng = random.Random(4)
     fields, links = [], []
