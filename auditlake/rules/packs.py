@@ -530,18 +530,22 @@ def related_names(a, b):
 
 def duplicate_mutable(structs: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Related mutable accounts of a struct without a check that they differ."""
-    from auditlake.operators.code import with_fields
+    from auditlake.operators.code import KIND_TOKENS, _field_pieces, attribute, inline_found, piece_has
 
-    fields = F.filter("fields", lambda f: f["is_mutable"] & has_any(f["type_text"], ("Account<", "AccountInfo", "UncheckedAccount<")))
-    said = F.array_join(F.transform("fields", lambda f: f["attr"]), " ")
+    fields = F.col("fields")
+    said = F.array_join(F.transform(fields, lambda f: attribute(f["lead"])), " ")
+    differs = lambda x, y: F.contains(said, F.concat(x["name"], F.lit(".key() != "), y["name"], F.lit(".key()")))
 
     def pair(a, b):
-        differs = lambda x, y: F.contains(said, F.concat(x["name"], F.lit(".key() != "), y["name"], F.lit(".key()")))
         risky = (a["pos"] < b["pos"]) & related_names(a["name"], b["name"]) & ~differs(a, b) & ~differs(b, a)
         return F.when(risky, F.struct(a["name"].alias("account_a"), b["name"].alias("account_b")))
 
-    pairs = F.flatten(F.transform(fields, lambda a: F.array_compact(F.transform(fields, lambda b: pair(a, b)))))
-    return with_fields(structs, body).select(*keys, F.inline(pairs))
+    mutable = F.filter(fields, lambda f: piece_has(f, "Mutable") & has_any(f["type_text"], ("Account<", "AccountInfo", "UncheckedAccount<")))
+    pairs = lambda some: F.flatten(F.transform(some, lambda a: F.array_compact(F.transform(some, lambda b: pair(a, b)))))
+    # a pair has the token of mutable fields twice in its body, before each of the two
+    twice = F.substring_index(body, KIND_TOKENS["Mutable"], 2) != F.col(body)
+    # inside an array the mutable fields are a finished value that both loops read
+    return inline_found(_field_pieces(structs.filter(twice), keys, body), keys, F.flatten(F.transform(F.array(mutable), pairs)))
 
 
 #: Line events and the evidence that answers them within a window of lines before and after.

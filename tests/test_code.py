@@ -152,6 +152,15 @@ def test_account_safety_is_compiled(spark):
     assert sorted(r["struct_name"] for r in out.filter("id = 'SIGNER-02'").collect()) == ["Bad", "Good"]
 
 
+def test_duplicate_mutable_skips_bodies(spark):
+    body = "#[account(mut)]\n    pub source: AccountInfo<'info>,\n    #[account(mut, constraint = {})]\n    pub dest: AccountInfo<'info>,\n"
+    texts = [body.format(c) for c in ("dest.key() != source.key()", "x")] + [body.replace("mut", "", 1).format("x")]
+    s = made_texts(spark, "".join(f"pub struct S{i}<'info> {{\n{t}}}\n" for i, t in enumerate(texts)))
+    out = packs.duplicate_mutable(s, ["struct_name"])
+    assert ", mut, 2)" in planned(out)
+    assert [tuple(r) for r in out.collect()] == [("S1", "source", "dest")]
+
+
 def test_alias_counts_match_pairs(spark):
     rng = random.Random(4)
     fields, links = [], []
