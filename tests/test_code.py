@@ -326,3 +326,26 @@ def test_line_of_a_syscall_is_counted_without_a_pattern(spark):
     out = packs.syscall_usage(df, keep=["content"])
     assert sorted((r["syscall"], r["line_no"]) for r in out.collect()) == [("sol_log", 1), ("sol_log", 3)]
     assert "regexp_replace" not in _plan(out)
+
+
+def test_call_edges_query_runs_the_operator_on_whole_calls(spark, tmp_path, monkeypatch):
+    """Every call reaches code.call_edges with its caller, arguments and line, and both sides are counted."""
+    from auditlake.catalog import load
+
+    li = [(k, 1 + k % 3, 10 + k, 1 + k % 2, float(k)) for k in range(1, 41)] + [(7, 1, 11, None, 3.0), (None, 2, 12, 1, 4.0)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
+    spark.createDataFrame(li, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen, plain = [], code.call_edges
+
+    def spied(sites, units, by="program"):
+        seen.append((sites, *plain(sites, units, by)))
+        return seen[-1][1:]
+
+    monkeypatch.setattr(code, "call_edges", spied)
+    got = load()[0]["call_edges"](spark, str(tmp_path)).collect()
+    (sites, inside, outside), = seen
+    for side in (inside, outside):
+        assert {"caller", "callee", "path", "args", "line_no", "file_path"} <= set(side.columns)
+    assert sum(r["n"] for r in got if r["internal"]) == inside.count() > 0
+    assert sum(r["n"] for r in got if not r["internal"]) == outside.count() > 0
+    assert sum(r["n"] for r in got) == sites.count()
