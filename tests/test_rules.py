@@ -4,6 +4,8 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
+
 from auditlake.plans.scan import ALL_RULES, all_findings, raw_findings, scan_report, validated_findings
 from auditlake.rules import packs
 from auditlake.rules.core_pack import CORE
@@ -251,3 +253,24 @@ def test_gates_hold_wherever_their_pattern_is_found(spark):
     hits = lambda rules: sorted((r["i"], r["id"]) for r in scan_rules(df, rules, keep=["i"]).collect())
     plain = [{**r, "when": bare(r["when"])} for r in STRUCTURE]
     assert hits(STRUCTURE) == hits(plain) and len(hits(STRUCTURE)) > 6 and plain != STRUCTURE
+
+
+def test_evidence_is_the_same_from_the_files_and_from_the_own_row(spark):
+    """Findings that carry their text and are asked about all ids at once are cleared as single ones joined with their files."""
+    from auditlake.rules import context as ctx
+    from auditlake.rules.mitigations import MITIGATIONS, SHARED, proven_safe, with_evidence
+
+    texts = [VULNERABLE, VULNERABLE + "\nfn get_x() {}\n", "use anchor_lang::prelude::*;\nfn a(x: AccountInfo<'info>) {\n    invoke_signed(x);\n    let t = twap;\n}\n", "fn b() {\n    1\n}\n"]
+    rows = [(f"p{i % 2}", f"src/f{i}.rs", f"f{i}.rs", t) for i, t in enumerate(texts)] + [("p0", None, None, texts[2])]
+    files = spark.createDataFrame(rows, "program string, file_path string, file_name string, content string")
+    units = units_with_context(files.withColumn("src", F.when(F.col("file_path").isNotNull(), F.col("content"))), keep=["program", "file_path", "file_name", "src"])
+    found = units.select("program", "file_path", F.coalesce("file_name", F.lit("x")).alias("location"), F.col("fn_name").alias("function_name"),
+                         F.col("line").alias("line_number"), F.col("code").alias("vulnerable_code"), "src")
+    ids = [*MITIGATIONS, *SHARED, "SOL-999"]
+    context, functions = ctx.project_context(files), ctx.function_signals(files)
+    one = with_evidence(found.drop("src").withColumn("id", F.explode(F.lit(ids))), files.where("file_path is not null"), context, functions)
+    all_at_once = with_evidence(found, None, context, functions, ids)
+    shown = lambda df: sorted(map(str, df.select("program", "file_path", "function_name", "line_number", "id", proven_safe().alias("safe")).collect()))
+    assert shown(one) == shown(all_at_once)
+    safe = {r["safe"] for r in one.select(proven_safe().alias("safe")).collect()}
+    assert safe == {True, False}
