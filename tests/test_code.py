@@ -349,3 +349,19 @@ def test_call_edges_query_runs_the_operator_on_whole_calls(spark, tmp_path, monk
     assert sum(r["n"] for r in got if r["internal"]) == inside.count() > 0
     assert sum(r["n"] for r in got if not r["internal"]) == outside.count() > 0
     assert sum(r["n"] for r in got) == sites.count()
+
+
+def test_levels_from_one_reading_of_the_statements(spark):
+    """Statements that carry their function's parameters give the levels that written assignments and parameters give."""
+    from auditlake.plans import families
+
+    text = ("fn f(x: u64, y: AccountInfo) {\n let a = x;\n let b = a + y;\n}\nfn f(z: Pubkey) {\n let c = b;\n b = z;\n}\nfn empty() {}\n"
+            "pub(crate) fn g(q: bool) -> u64 { let w = q; }\n")
+    rows = [("p", "a.rs", text), ("p", "a.rs", "fn f(k: i64) {\n c = k;\n}\n"), ("p", None, "fn f(m: u64) {\n let a = m;\n let t = oracle;\n}\n"),
+            (None, "b.rs", "pub fn h(v: u128) {\n let d = v;\n let e = 5\n}\n"), ("q", "c.rs", None)]
+    units = extract_units(spark.createDataFrame(rows, "program string, file_path string, content string"), keep=["program", "file_path"])
+    keys = code.UNIT_KEYS
+    carried = code.unit_statements(code.with_parameter_levels(units), ["seeds", *keys])
+    once, written = families.unit_levels(units, carried, keys), families.unit_levels(units, code.unit_statements(units), keys)
+    shown = lambda df: sorted(map(str, df.select(*keys, "var", "level").collect()))
+    assert shown(once) == shown(written) and once.count() == 10
