@@ -330,7 +330,7 @@ def _holding(trees: tuple, n_rules: int, tokens: tuple[str, ...]):
 
 
 def _rules_that_hold(units: DataFrame, rules: list[dict], text: str, keep: list[str]) -> DataFrame | None:
-    """keep and `_at`, the places of the rules that hold, in order; None for packs with few tokens. A null text counts as empty."""
+    """keep and `_at`, the places of the rules that hold, in order after nulls; None for packs with few tokens. A null text counts as empty."""
     trees = [r["when"] for r in rules]
     tokens = tuple(dict.fromkeys(t for tree in trees for t in tokens_of(tree) if t))
     if len(tokens) < FEW_TOKENS or any("\0" in t for t in tokens):
@@ -349,7 +349,8 @@ def _rules_that_hold(units: DataFrame, rules: list[dict], text: str, keep: list[
     places = F.transform("_found.hits", lambda k: F.get(F.lit(plain), k)) if dear else F.col("_found.hits")
     if not dear:
         return units.select(*keep, places.alias("_at"))
-    more = F.expr(f"array_compact(array({', '.join(f'case when {sql} then {i} end' for i, sql in tests.items())}))")
+    # nulls stay: a function that drops them here would have all the tests interpreted
+    more = F.expr(f"array({', '.join(f'case when {sql} then {i} end' for i, sql in tests.items())})")
     return units.select(*keep, F.sort_array(F.concat(places, more)).alias("_at"))
 
 
@@ -364,7 +365,7 @@ def scan_rules(units: DataFrame, rules: list[dict], text: str = "code", keep: li
         about = ", ".join(
             f"named_struct('id', {quote(r['id'])}, 'rule_pos', {i}, 'vuln_type', {quote(r['name'])}, 'severity', {r['severity']}, 'category', "
             f"{quote(r['category'])}, 'cwe', cast({quote(r['cwe']) if r['cwe'] else 'null'} as string))" for i, r in enumerate(rules))
-        rows = held.select(*keep, F.explode("_at").alias("_i"))
+        rows = held.select(*keep, F.explode_outer("_at").alias("_i")).filter("_i is not null")
         return rows.select(*keep, F.expr(f"get(array({about}), _i)").alias("_r")).select(*keep, "_r.*")
     units, test = with_token_test(units, [r["when"] for r in rules], text)
     hit = [
@@ -388,7 +389,7 @@ def rule_hits(units: DataFrame, rules: list[dict], text: str = "code", keep: lis
     keep = keep or [c for c in units.columns if c != text]
     held = _rules_that_hold(units, rules, text, keep)
     if held is not None:
-        return held.select(*keep, F.transform("_at", lambda i: F.get(F.lit([r["id"] for r in rules]), i)).alias("ids"))
+        return held.select(*keep, F.transform(F.array_compact("_at"), lambda i: F.get(F.lit([r["id"] for r in rules]), i)).alias("ids"))
     units, test = with_token_test(units, [r["when"] for r in rules], text)
     hit = [f"case when {condition_sql(r['when'], text, test)} then {quote(r['id'])} end" for r in rules]
     return units.select(*keep, F.expr(f"array_compact(array({', '.join(hit)}))").alias("ids"))
